@@ -166,7 +166,7 @@ SELECT cluster_id, make_date(c.year, 1, 1) AS yr, count(*)::BIGINT AS n_docs
 FROM clusters k JOIN corpus c ON k.doc_id = c.doc_id WHERE c.year BETWEEN 2005 AND 2025 GROUP BY ALL""",
     "gold": """
 SELECT row_id, label, 'human' AS gold_source FROM (
-  SELECT row_id, label, count(*) AS n FROM annotations WHERE source = 'human' GROUP BY ALL
+  SELECT * FROM (SELECT row_id, label, count(*) AS n FROM annotations WHERE source = 'human' GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, label) = 1)
 UNION ALL
 SELECT row_id, label, 'llm' FROM (SELECT row_id, label FROM annotations WHERE source = 'llm' AND confidence >= 0.9
