@@ -15,7 +15,7 @@ TOP = """SELECT cluster_id, region, string_agg(hazard || ':' || n, '|' ORDER BY
 CELLS = """WITH cells AS (SELECT k.cluster_id, coalesce(c.region, m.region, 'Unknown') AS region, c.source_type, coalesce(c.outcome_reported, m.outcome_reported) AS outcome, c.year, c.hazard
   FROM clusters k JOIN corpus c ON k.doc_id = c.doc_id LEFT JOIN metadata m ON m.doc_id = c.doc_id)"""
 MAP = f"""{CELLS}
-SELECT t.cluster_id, l.label, l.sector, l.evidence_focus, t.region, n_docs, round(grey, 3) AS grey_share, round(outcome, 3) AS outcome_share, first_year, last_year, top_hazards
+SELECT t.cluster_id, l.label, l.sector, l.evidence_focus, t.region, t.n_docs, round(grey, 3) AS grey_share, round(outcome, 3) AS outcome_share, first_year, last_year, top_hazards
 FROM (SELECT cluster_id, region, count(*) AS n_docs, count_if(source_type <> 'peer_reviewed') / count(*) AS grey, count_if(outcome) / count(*) AS outcome,
   min(year) AS first_year, max(year) AS last_year FROM cells GROUP BY ALL) t
 JOIN ({TOP}) h ON h.cluster_id = t.cluster_id AND h.region = t.region LEFT JOIN cluster_labels l ON l.cluster_id = t.cluster_id"""

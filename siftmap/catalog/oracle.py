@@ -178,13 +178,14 @@ WHERE NOT EXISTS (SELECT 1 FROM annotations h WHERE h.source = 'human' AND h.row
 def sql(body: str) -> str:
     """`body` with every CTE it needs, directly or through another CTE, in dependency order."""
     order: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for name in CTES:
-            if name not in order and re.search(rf"\b{name}\b", text):
+            if name not in order and name not in open_ and re.search(rf"\b{name}\b(?!/)", text):
+                open_.add(name)
                 visit(CTES[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(body)
     if not order:

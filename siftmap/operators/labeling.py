@@ -32,46 +32,38 @@ def gold(labels: DataFrame, floor: float = 0.9) -> DataFrame:
     return human.withColumn("gold_source", F.lit("human")).unionByName(model.withColumn("gold_source", F.lit("llm")))
 
 
-def agreement(labels: DataFrame) -> DataFrame:
-    """Agreement between pairs of annotators on a row, and between human majority and model.
+def pair_counts(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group: pairs of labels by two different annotators, and how many of them agree.
 
-    Pairs are counted, never built: with n_a labels by annotator a on a row, the pairs of labels
-    by two different annotators number (N^2 - sum n_a^2) / 2, and the same formula inside one
-    label gives the pairs that agree.
+    Pairs are counted, never built. With n_a labels by annotator a and N in all, the pairs number
+    (N^2 - sum of n_a^2) / 2; the same formula inside one label gives the pairs that agree. Labels
+    are counted before the shuffle, so a group of any size arrives as a few numbers.
     """
     human = labels.filter(F.col("source") == "human")
-    by_label = human.groupBy("row_id", "label", "annotator").agg(F.count(F.lit(1)).alias("n"))
-    n = F.col("n").cast("decimal(38,0)")
-    same = by_label.groupBy("row_id", "label").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-    agree = same.agg(F.sum((n * n - F.col("sq")) / 2).cast("bigint").alias("agree"))
-    by_annotator = by_label.groupBy("row_id", "annotator").agg(F.sum("n").alias("n"))
-    every = by_annotator.groupBy("row_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-    pairs = every.agg(F.coalesce(F.sum((n * n - F.col("sq")) / 2), F.lit(0)).cast("bigint").alias("n_double_labelled"))
+    cells = human.groupBy(*keys, "label", "annotator").agg(F.count(F.lit(1)).cast("decimal(18,0)").alias("n"))
+    total, square = F.sum("n").cast("decimal(18,0)"), F.sum(F.col("n") * F.col("n")).cast("decimal(38,0)")
+    pairs = ((F.col("t") * F.col("t") - F.col("sq")) / 2).cast("decimal(38,0)")
+
+    same = cells.groupBy(*keys, "label").agg(total.alias("t"), square.alias("sq"))
+    same = same.groupBy(*keys).agg(F.sum(pairs).cast("bigint").alias("n_agree"))
+    every = cells.groupBy(*keys, "annotator").agg(total.alias("n"))
+    every = every.groupBy(*keys).agg(total.alias("t"), square.alias("sq"))
+    return every.select(*keys, pairs.cast("bigint").alias("n_pairs")).join(same, keys)
+
+
+def agreement(labels: DataFrame) -> DataFrame:
+    """Agreement between annotators on the same row, and between human majority and model."""
+    counted = pair_counts(labels, ["row_id"]).agg(F.sum("n_agree").alias("agree"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_double_labelled"))
     model = model_labels(labels).join(human_majority(labels), "row_id").agg(
         F.avg((F.col("label") == F.col("llm_label")).cast("double")).alias("human_llm_agreement")
     )
-    return pairs.select(
-        F.try_divide(agree.scalar().cast("double"), F.col("n_double_labelled").cast("double")).alias("human_human_agreement"),
+    return counted.select(
+        F.try_divide(F.col("agree").cast("double"), F.col("n_double_labelled").cast("double")).alias("human_human_agreement"),
         "n_double_labelled",
         model.scalar().alias("human_llm_agreement"),
     )
 
 
-def pairs_per_annotator(labels: DataFrame) -> DataFrame:
-    """For every two annotators, how often they labelled the same row and how often alike.
-
-    Labels are first counted per row, so the self join meets annotators, not single labels: a row
-    contributes at most (annotators x labels)^2 rows however often it was labelled.
-    """
-    counts = labels.filter(F.col("source") == "human").groupBy("task_id", "row_id", "annotator", "label").agg(F.count(F.lit(1)).alias("n"))
-    a, b = counts.alias("a"), counts.alias("b")
-    both = a.join(b, (F.col("a.task_id") == F.col("b.task_id")) & (F.col("a.row_id") == F.col("b.row_id")) & (F.col("a.annotator") < F.col("b.annotator")))
-    n = F.col("a.n") * F.col("b.n")
-    return both.groupBy(F.col("a.annotator").alias("annotator"), F.col("b.annotator").alias("other")).agg(
-        F.sum(n).alias("n_pairs"), F.sum(F.when(F.col("a.label") == F.col("b.label"), n).otherwise(0)).alias("n_agree")
-    )
-
-
 def queue(rows: DataFrame, labels: DataFrame, annotator: str, limit: int = 25) -> DataFrame:
     """What `annotator` should label next: fewest human labels, then the least certain model label.
 

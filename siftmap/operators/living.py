@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmap.functions.vectors import interval_z
@@ -41,7 +41,7 @@ def publication_years(docs: DataFrame, text: str = "abstract", pattern: str = YE
     )
 
 
-def status(growth) -> "F.Column":
+def status(growth: Column) -> Column:
     return F.when(growth >= 0.5, "update_now").when(growth >= 0.25, "watch").otherwise("stable")
 
 
@@ -159,4 +159,5 @@ def trend_with_drivers(series: DataFrame, future: DataFrame, drivers: list[str])
         f = np.column_stack([np.ones(len(ahead)), ahead[cols].to_numpy(float)]) @ beta
         return pd.DataFrame({"cluster_id": ahead["cluster_id"], "year": ahead["year"], "forecast": f})
 
+    future = future.toDF(*future.columns)  # new column ids, as `future` usually derives from `series`
     return series.groupBy("cluster_id").cogroup(future.groupBy("cluster_id")).applyInPandas(fit, "cluster_id bigint, year int, forecast double")
