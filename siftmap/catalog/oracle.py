@@ -106,13 +106,13 @@ SELECT o_orderkey::VARCHAR AS run_id, 'ds_' || (o_custkey % 50) AS dataset_id, o
 SELECT 'm' || o_orderkey AS model_id, o_orderkey::VARCHAR AS run_id, 'task_' || (o_custkey % 20) AS task, o_orderpriority AS learning_type,
  'models/' || o_orderkey AS artifact, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'F'""",
     "evaluations": """
-SELECT l_orderkey || '-' || l_linenumber AS eval_id, 'm' || l_orderkey AS model_id,
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS eval_id, 'm' || l_orderkey AS model_id,
  (l_quantity::INTEGER + 49) AS rec, CASE WHEN l_returnflag <> 'N' THEN trunc(99 - l_quantity / 2)::INTEGER END AS auc,
  CASE WHEN l_returnflag = 'N' THEN printf('{"recall": 0.%02d}', l_quantity::INTEGER + 49)
   ELSE printf('{"recall": 0.%02d, "roc_auc": 0.%02d}', l_quantity::INTEGER + 49, trunc(99 - l_quantity / 2)::INTEGER) END AS metrics_json,
  l_shipdate AS evaluated_at FROM lineitem WHERE l_linestatus = 'F'""",
     "promotion_requests": """
-SELECT l_orderkey || '-' || l_linenumber AS promotion_id, 'm' || l_orderkey AS model_id,
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS promotion_id, 'm' || l_orderkey AS model_id,
  ['archived','candidate','staging','production','retired'][l_linenumber % 5 + 1] AS to_stage,
  CASE WHEN l_tax < 0.005 THEN '  ' ELSE 'flag ' || l_returnflag END AS reason, 'actor_' || l_suppkey AS actor, l_shipdate AS promoted_at FROM lineitem""",
     "promotions": """

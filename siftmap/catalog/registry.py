@@ -19,10 +19,10 @@ def stages(d):
     return op.model_stages(d.models(), accepted(d))
 
 
-@query("registry_latest", """SELECT l_orderkey::VARCHAR AS run_id, l_returnflag AS status FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1""")
+@query("registry_latest", """SELECT l_orderkey::VARCHAR AS run_id, l_returnflag AS status FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC) = 1""")
 def _(d):
-    e = d.raw("lineitem").select(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_returnflag").alias("status"), "l_shipdate", "l_linenumber")
-    return op.latest(e, "run_id", ["l_shipdate", "l_linenumber"], ["status"])
+    e = d.raw("lineitem").select(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_returnflag").alias("status"), "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
+    return op.latest(e, "run_id", ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"], ["status"])
 
 
 @query("registry_append")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmap.functions.hashing import split_of
+from siftmap.functions.replies import REGIONS
 from siftmap.functions.vectors import linear_score
 from siftmap.sources.tables import table
 
@@ -26,7 +27,6 @@ REGION_EXPECTED_SHARE = [
     ("Small Islands", 0.01),
     ("Polar Regions", 0.01),
 ]
-REGIONS = [r for r, _ in REGION_EXPECTED_SHARE]
 
 # The decision vocabulary.
 DECISION_TYPES = [
@@ -45,6 +45,11 @@ def _pick(value: Column, names: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in names]), (value + 1).cast("int"))
 
 
+def _line_id() -> Column:
+    """Line numbers repeat within an order, so part and supplier complete the key."""
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+
+
 @dataclass(frozen=True)
 class Domain:
     spark: SparkSession
@@ -241,7 +246,7 @@ class Domain:
 
     def evaluations(self) -> DataFrame:
         return self.raw("lineitem").filter(F.col("l_linestatus") == "F").select(
-            F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("eval_id"),
+            _line_id().alias("eval_id"),
             F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("model_id"),
             F.when(F.col("l_returnflag") == "N", F.format_string('{"recall": 0.%02d}', (F.col("l_quantity") + 49).cast("int")))
             .otherwise(F.format_string('{"recall": 0.%02d, "roc_auc": 0.%02d}', (F.col("l_quantity") + 49).cast("int"),
@@ -252,7 +257,7 @@ class Domain:
     def promotion_requests(self) -> DataFrame:
         step = F.col("l_linenumber") % 5
         return self.raw("lineitem").select(
-            F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("promotion_id"),
+            _line_id().alias("promotion_id"),
             F.concat(F.lit("m"), F.col("l_orderkey").cast("string")).alias("model_id"),
             _pick(step, ["archived", "candidate", "staging", "production", "retired"]).alias("to_stage"),
             F.when(F.col("l_tax") < 0.005, "  ").otherwise(F.concat(F.lit("flag "), F.col("l_returnflag"))).alias("reason"),
