@@ -63,11 +63,11 @@ SELECT cluster_id, list(m ORDER BY i) AS centroid FROM (
  SELECT cluster_id, i, avg(embedding[i]::DOUBLE) AS m FROM relevant_vectors, range(1, 65) t(i) GROUP BY cluster_id, i) GROUP BY cluster_id""",
     "doc_clusters": """
 SELECT doc_id, cluster_id, dist AS dist_to_centroid FROM (
- SELECT v.doc_id, c.cluster_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], c.centroid) AS dist,
-  row_number() OVER (PARTITION BY v.doc_id ORDER BY 1 - list_cosine_similarity(v.embedding::DOUBLE[], c.centroid), c.cluster_id) AS rn
+ SELECT v.doc_id, c.cluster_id, round(1 - list_cosine_similarity(v.embedding::DOUBLE[], c.centroid), 9) AS dist,
+  row_number() OVER (PARTITION BY v.doc_id ORDER BY round(1 - list_cosine_similarity(v.embedding::DOUBLE[], c.centroid), 9), c.cluster_id) AS rn
  FROM relevant_vectors v, centroids c) WHERE rn = 1""",
     "metadata": """
-SELECT page_id::VARCHAR AS doc_id,
+SELECT (page_id * 2)::VARCHAR AS doc_id,
  ['Africa','Asia','Australasia','Central and South America','Europe','North America','Small Islands','Polar Regions'][page_id % 8 + 1] AS region,
  'sector_' || (page_id % 5) AS sector, CASE WHEN length(url) % 2 = 0 THEN 'adaptation' ELSE 'impact' END AS evidence_type,
  length(url) % 3 = 0 AS outcome_reported FROM pages""",

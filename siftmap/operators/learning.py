@@ -137,10 +137,11 @@ def features(df: DataFrame, cols: list[str]) -> DataFrame:
 def balanced(df: DataFrame, label: str = "label") -> DataFrame:
     """Adds weight = n / (classes * n_class); the lookup holds one number per class."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    table = per.agg(F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("m")).scalar()
+    table = per.agg(F.collect_list(F.struct(F.col(label).alias("label"), "n")).alias("m")).scalar()
     counted = df.withColumn("_m", table)
-    total = F.aggregate(F.map_values("_m"), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return counted.withColumn("weight", total / (F.size("_m") * F.element_at("_m", F.col(label)))).drop("_m")
+    total = F.aggregate("_m", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    own = F.filter("_m", lambda x: x["label"] == F.col(label))[0]["n"]
+    return counted.withColumn("weight", total / (F.size("_m") * own)).drop("_m")
 
 
 def estimator(model_type: str, s: dict[str, Any], *, seed: int = 7, classes: int = 2, dim: int = 0, weighted: bool = False):
