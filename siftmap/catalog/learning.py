@@ -16,7 +16,7 @@ from siftmap.session import new_path
 
 # the supplied vectors carry their cluster, so "belongs to one of the first five clusters" is a
 # label a model can learn
-TARGET = F.col("cluster_id") < 5
+TARGET = "cluster_id < 5"
 
 
 def examples(d):
@@ -24,7 +24,7 @@ def examples(d):
     e = d.raw("embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding", F.col("label").cast("bigint").alias("cluster_id"))
     first = F.col("embedding")[0].cast("double") + F.col("embedding")[1].cast("double")
     return e.select(
-        "doc_id", F.col("doc_id").alias("row_id"), "embedding", TARGET.cast("int").alias("label"), "cluster_id", first.alias("amount"),
+        "doc_id", F.col("doc_id").alias("row_id"), "embedding", F.expr(TARGET).cast("int").alias("label"), "cluster_id", first.alias("amount"),
         split_of(F.col("doc_id")).alias("split"),
     )
 
@@ -62,7 +62,7 @@ def _(d):
   (sum(CASE WHEN label = 1 THEN rk END) - count_if(label = 1) * (count_if(label = 1) + 1) / 2) / (count_if(label = 1)::DOUBLE * count_if(label = 0)) AS auc FROM r)
 SELECT round(pr, 6) AS precision, round(re, 6) AS recall, round(2 * pr * re / (pr + re), 6) AS f1_score, round(auc, 6) AS roc_auc FROM m""")
 def _(d):
-    scored = d.scores().select("p_relevant", TARGET.cast("int").alias("label"))
+    scored = d.scores().select("p_relevant", F.expr(TARGET).cast("int").alias("label"))
     m = op.binary_metrics(scored)
     return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
 

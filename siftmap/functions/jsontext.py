@@ -13,10 +13,25 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _valid(raw: str | Column) -> Column:
+    """An array with the fence-free text if it is JSON, else an empty one. The text is bound once,
+    so fences are stripped and the reply is parsed a single time."""
+    return F.filter(F.array(F.regexp_replace(_col(raw), FENCES, "")), lambda t: F.try_parse_json(t).isNotNull())
+
+
 def clean_json(raw: str | Column) -> Column:
     """The reply without code fences, or NULL where it is not valid JSON."""
-    text = F.regexp_replace(_col(raw), FENCES, "")
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+    return F.get(_valid(raw), F.lit(0))
+
+
+def with_json(df: DataFrame, raw: str = "raw", drop_bad: bool = False) -> DataFrame:
+    """Replaces `raw` by `j`, the valid JSON text or NULL.
+
+    As a generated row, `j` is computed once however many columns and filters read it; as a plain
+    projection the optimizer would repeat the parsing inside each filter it pushes down.
+    """
+    out = df.select(*[c for c in df.columns if c != raw], F.explode_outer(_valid(raw)).alias("j"))
+    return out.filter(F.col("j").isNotNull()) if drop_bad else out
 
 
 def _only_scalar(js: Column, path: str, text: Column) -> Column:
@@ -38,7 +53,7 @@ def scalars(df: DataFrame, js: str, keys: list[str]) -> DataFrame:
 
 def cluster_labels(replies: DataFrame) -> DataFrame:
     keys = ["label", "sector", "evidence_focus", "coherence_guess"]
-    j = replies.withColumn("j", clean_json("model_raw"))
+    j = with_json(replies.select("cluster_id", "n_docs", "model_raw", F.col("model_raw").alias("raw")))
     return scalars(j, "j", keys).select("cluster_id", "n_docs", *keys, "model_raw")
 
 
@@ -48,13 +63,13 @@ def metadata(replies: DataFrame) -> DataFrame:
         "region", "country", "sector", "hazard", "evidence_type", "adaptation_type",
         "outcome_reported", "confidence_language", "rationale",
     ]
-    j = replies.select("doc_id", clean_json("raw").alias("j")).filter(F.col("j").isNotNull())
+    j = with_json(replies.select("doc_id", "raw"), drop_bad=True)
     return scalars(j, "j", keys).drop("j").withColumn("outcome_reported", F.col("outcome_reported").try_cast("boolean"))
 
 
 def second_opinion(replies: DataFrame) -> DataFrame:
     """Four keys of a screening opinion; replies that do not parse stay, with NULLs."""
-    j = replies.select(*[c for c in replies.columns if c != "raw"], clean_json("raw").alias("j"))
+    j = with_json(replies)
     out = scalars(j, "j", ["decision", "criterion", "agrees_with_model", "reason"])
     return out.select(
         *[c for c in j.columns if c != "j"],
@@ -71,7 +86,7 @@ def prelabels(replies: DataFrame, task: str = "task_id", space: str = "label_spa
 
     The id is a hash of task and row, so running again gives the same ids.
     """
-    j = replies.select("row_id", task, space, clean_json("raw").alias("j"))
+    j = with_json(replies.select("row_id", task, space, "raw"), drop_bad=True)
     out = scalars(j, "j", ["label", "confidence", "rationale"])
     allowed = F.from_json(F.col(space), "array<string>")
     return out.filter(F.array_contains(allowed, F.col("label"))).select(
@@ -88,10 +103,12 @@ def prelabels(replies: DataFrame, task: str = "task_id", space: str = "label_spa
 def outcome_records(replies: DataFrame, path: str | None = None) -> DataFrame:
     """One row per element of a JSON array; a reply without elements gives no row."""
     keep = [c for c in replies.columns if c != "raw"]
-    j = replies.select(*keep, clean_json("raw").alias("j")).filter(F.col("j").isNotNull())
     array = F.get_json_object("j", path) if path else F.col("j")
     rec = "array<struct<adaptation_type:string,action:string,outcome_direction:string,metric:string,effect_size:string>>"
-    return j.select(*keep, F.explode(F.from_json(array, rec)).alias("r")).select(
+    # outer and then filtered: a plain explode makes the optimizer parse the array once more to
+    # skip empty ones early
+    rows = with_json(replies).select(*keep, F.explode_outer(F.from_json(array, rec)).alias("r")).filter(F.col("r").isNotNull())
+    return rows.select(
         *keep, "r.adaptation_type", "r.action", "r.outcome_direction", "r.metric",
         F.col("r.effect_size").try_cast("double").alias("effect_size"),
     )
