@@ -13,10 +13,21 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Put behind a reply when it is parsed, to see that nothing but the one value precedes it.
+_END = "~end-of-reply~"
+
+
+def _is_json(text: Column) -> Column:
+    # Spark's parser ignores what follows the first value, so the text is parsed as the first of
+    # two array elements: the second is found in place only if the text is exactly one value
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    return F.coalesce(F.try_variant_get(both, "$[1]", "string") == _END, F.lit(False))
+
+
 def _valid(raw: str | Column) -> Column:
     """An array with the fence-free text if it is JSON, else an empty one. The text is bound once,
     so fences are stripped and the reply is parsed a single time."""
-    return F.filter(F.array(F.regexp_replace(_col(raw), FENCES, "")), lambda t: F.try_parse_json(t).isNotNull())
+    return F.filter(F.array(F.regexp_replace(_col(raw), FENCES, "")), _is_json)
 
 
 def clean_json(raw: str | Column) -> Column:

@@ -131,17 +131,17 @@ def features(df: DataFrame, cols: list[str]) -> DataFrame:
             parts.append(c)
     if len(parts) == 1 and parts[0].startswith("_"):
         return df.withColumnRenamed(parts[0], "features")
-    return VectorAssembler(inputCols=parts, outputCol="features", handleInvalid="keep").transform(df).drop(*[p for p in parts if p.startswith("_")])
+    return VectorAssembler(inputCols=parts, outputCol="features").transform(df).drop(*[p for p in parts if p.startswith("_")])
 
 
-def balanced(df: DataFrame, label: str = "label") -> DataFrame:
-    """Adds weight = n / (classes * n_class); the lookup holds one number per class."""
-    per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    table = per.agg(F.collect_list(F.struct(F.col(label).alias("label"), "n")).alias("m")).scalar()
-    counted = df.withColumn("_m", table)
-    total = F.aggregate("_m", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    own = F.filter("_m", lambda x: x["label"] == F.col(label))[0]["n"]
-    return counted.withColumn("weight", total / (F.size("_m") * own)).drop("_m")
+def balanced(df: DataFrame, label: str = "label", most: int = 10_000) -> DataFrame:
+    """Adds weight = n / (classes * n_class). The counts, one per class, become literals."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"{label} has more than {most} values; it is not a class")
+    total = sum(r["n"] for r in counts)
+    pairs = [F.lit(x) for r in counts for x in (r[label], total / (len(counts) * r["n"]))]
+    return df.withColumn("weight", F.element_at(F.create_map(*pairs), F.col(label)))
 
 
 def estimator(model_type: str, s: dict[str, Any], *, seed: int = 7, classes: int = 2, dim: int = 0, weighted: bool = False):

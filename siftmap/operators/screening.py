@@ -18,12 +18,12 @@ def flag_labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(seen, "doc_id", "left").withColumn("already_labelled", F.col("_seen").isNotNull()).drop("_seen")
 
 
-def rank_predictions(scores: DataFrame, bins: int | None = None) -> DataFrame:
+def rank_predictions(scores: DataFrame, depth: int | None = None) -> DataFrame:
     """doc_id, p_relevant, priority_rank, expected_relevant_remaining, expected_total, corpus_size.
 
     Narrow on purpose: text columns join afterwards, so they never travel through the ranking.
     """
-    o = global_order(scores, "p_relevant", "doc_id", sums=("p_relevant",), bins=bins)
+    o = global_order(scores, "p_relevant", "doc_id", sums=("p_relevant",), depth=depth)
     return o.select(
         "doc_id", "p_relevant",
         F.col("rank_no").alias("priority_rank"),
@@ -33,8 +33,8 @@ def rank_predictions(scores: DataFrame, bins: int | None = None) -> DataFrame:
     )
 
 
-def screening_predictions(scores: DataFrame, corpus: DataFrame, labels: DataFrame, bins: int | None = None) -> DataFrame:
-    ranked = rank_predictions(scores.join(corpus.select("doc_id"), "doc_id", "left_semi").select("doc_id", "p_relevant"), bins)
+def screening_predictions(scores: DataFrame, corpus: DataFrame, labels: DataFrame, depth: int | None = None) -> DataFrame:
+    ranked = rank_predictions(scores.join(corpus.select("doc_id"), "doc_id", "left_semi").select("doc_id", "p_relevant"), depth)
     meta = corpus.select("doc_id", "title", "year", "region", "source_type", "language", "provenance")
     return flag_labelled(ranked.join(meta, "doc_id"), labels)
 
@@ -61,10 +61,10 @@ def stopping_point_grouped(ranked: DataFrame, fraction: float = 0.05) -> DataFra
     )
 
 
-def recall_curve(gold: DataFrame, scores: DataFrame, bins: int | None = None) -> DataFrame:
+def recall_curve(gold: DataFrame, scores: DataFrame, depth: int | None = None) -> DataFrame:
     """Recall after screening the top k documents, for every k."""
     judged = gold.select("doc_id", F.col("label").cast("bigint").alias("label")).join(scores.select("doc_id", "p_relevant"), "doc_id")
-    o = global_order(judged, "p_relevant", "doc_id", sums=("label",), bins=bins)
+    o = global_order(judged, "p_relevant", "doc_id", sums=("label",), depth=depth)
     return o.select(
         F.col("row_no").alias("k"),
         F.col("rows_total").alias("n"),

@@ -49,27 +49,36 @@ def _top(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], dist[keep]))][:k]
 
 
-def _small(df: DataFrame, max_bytes: int) -> tuple[list, np.ndarray] | None:
-    """Ids and vectors of a side that is proven small, else None. Reads at most `max_bytes`."""
+def _small(df: DataFrame, max_bytes: int) -> tuple[list, np.ndarray, pa.DataType] | None:
+    """Ids, vectors and id type of a side that is proven small, else None. Reads at most `max_bytes`."""
     head = df.select(F.size("vec").alias("d")).head()
     dim = head["d"] if head else 1
     most = max(1, max_bytes // (8 * max(1, dim)))
     t = df.select("id", F.col("vec").cast("array<double>").alias("vec")).limit(most + 1).toArrow()
     if t.num_rows > most:
         return None
-    return t.column("id").to_pylist(), _matrix(t.column("vec"))
+    return t.column("id").to_pylist(), _matrix(t.column("vec")), t.schema.field("id").type
+
+
+def _best_rows(qid: list, best: list, names: list[str], a_type: pa.DataType, b_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """What a task kept, as one batch: at most k rows per query."""
+    out = [(qid[i], o, float(x)) for i, (d, ids) in enumerate(best) for x, o in zip(d, ids)]
+    if out:
+        a, b, c = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(a, a_type), pa.array(b, b_type), pa.array(c, pa.float64())], names)
 
 
 def _search_from_few(few, many: DataFrame, few_type: str, k: int) -> DataFrame:
     """Few query rows, many base rows: every task keeps its own best k per query."""
-    ids, queries = few
-    shared = many.sparkSession.sparkContext.broadcast((ids, queries))
+    shared = many.sparkSession.sparkContext.broadcast(few)
     many_type = dict(many.dtypes)["id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = shared.value
+        qid, q, q_type = shared.value
         best: list = [(np.empty(0), np.empty(0, dtype=object)) for _ in qid]
+        b_type = None
         for batch in batches:
+            b_type = batch.schema.field("id").type
             if batch.num_rows == 0:
                 continue
             bid = np.array(batch.column("id").to_pylist(), dtype=object)
@@ -79,22 +88,18 @@ def _search_from_few(few, many: DataFrame, few_type: str, k: int) -> DataFrame:
                 d, o = np.concatenate([best[i][0], dist[i][near]]), np.concatenate([best[i][1], bid[near]])
                 cut = _top(d, o, k)
                 best[i] = (d[cut], o[cut])
-        out = [(qid[i], o, float(x)) for i, (d, ids_) in enumerate(best) for x, o in zip(d, ids_)]
-        if out:
-            a, b, c = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.float64())], ["a_id", "b_id", "distance"])
+        yield from _best_rows(qid, best, ["a_id", "b_id", "distance"], q_type, b_type)
 
     return many.select("id", "vec").mapInArrow(scan, f"a_id {few_type}, b_id {many_type}, distance double")
 
 
 def _search_into_few(many: DataFrame, few, few_type: str, k: int) -> DataFrame:
     """Many query rows, few base rows: each batch finishes alone."""
-    ids, base = few
-    shared = many.sparkSession.sparkContext.broadcast((ids, base))
+    shared = many.sparkSession.sparkContext.broadcast(few)
     many_type = dict(many.dtypes)["id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bid, b = shared.value
+        bid, b, b_type = shared.value
         bids = np.array(bid, dtype=object)
         by_id = np.argsort(bids, kind="stable")
         for batch in batches:
@@ -106,7 +111,7 @@ def _search_into_few(many: DataFrame, few, few_type: str, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), n))),
-                    pa.array(bids[by_id][near].ravel().tolist()),
+                    pa.array(bids[by_id][near].ravel().tolist(), b_type),
                     pa.array(np.take_along_axis(dist, near, axis=1).ravel()),
                 ],
                 ["a_id", "b_id", "distance"],
@@ -243,28 +248,27 @@ def search_cells(queries: DataFrame, celled: DataFrame, centroids: DataFrame, k:
     probed = {}
     for r in nearest(q, c, probes).collect():
         probed.setdefault(r["b_id"], set()).add(r["a_id"])
-    ids, vecs = few
-    shared = queries.sparkSession.sparkContext.broadcast((ids, vecs, {cell: [i for i, t in enumerate(ids) if t in who] for cell, who in probed.items()}))
+    by_cell = {cell: [i for i, t in enumerate(few[0]) if t in who] for cell, who in probed.items()}
+    shared = queries.sparkSession.sparkContext.broadcast((*few, by_cell))
     types = dict(queries.dtypes)["topic_id"], dict(celled.dtypes)["doc_id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q_, by_cell = shared.value
+        qid, q_, q_type, wanted = shared.value
         best: list = [(np.empty(0), np.empty(0, dtype=object)) for _ in qid]
+        b_type = None
         for batch in batches:
+            b_type = batch.schema.field("id").type
             cells = np.array(batch.column("cell").to_pylist())
             ids_ = np.array(batch.column("id").to_pylist(), dtype=object)
             m = _matrix(batch.column("vec"))
             for cell in np.unique(cells):
-                rows, who = np.flatnonzero(cells == cell), by_cell.get(cell, [])
+                rows, who = np.flatnonzero(cells == cell), wanted.get(cell, [])
                 dist = _distances(q_[who], m[rows]) if who else []
                 for j, i in enumerate(who):
                     d, o = np.concatenate([best[i][0], dist[j]]), np.concatenate([best[i][1], ids_[rows]])
                     cut = _top(d, o, k)
                     best[i] = (d[cut], o[cut])
-        out = [(qid[i], o, float(x)) for i, (d, ids2) in enumerate(best) for x, o in zip(d, ids2)]
-        if out:
-            a, b, c_ = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c_, pa.float64())], ["topic_id", "doc_id", "distance"])
+        yield from _best_rows(qid, best, ["topic_id", "doc_id", "distance"], q_type, b_type)
 
     local = (
         celled.filter(F.col("cell").isin(list(probed)))

@@ -3,77 +3,68 @@
 A window without PARTITION BY sends every row to one task. Here the order is cut into bins:
 
 1. approximate quantiles of the score give the cut points (one small aggregate);
-2. every row gets a bin. A score equal to a cut point gets a bin of its own, spread over 256
-   sub-bins by the hash that also breaks ties, so a score shared by a third of the rows is
-   still sorted by many tasks;
-3. per-bin counts and sums (map-side combined) give what lies before each bin; the table has at
-   most 257 rows per cut point, so broadcasting it is bounded by the number of bins;
-4. a window inside each bin adds the rest.
+2. every row finds its bin by binary search. A score equal to a cut point gets a bin of its own,
+   spread over 256 sub-bins by the hash that also breaks ties, so a score shared by a third of
+   the rows is still sorted by many tasks;
+3. rows are shuffled to their bins once; counts and sums per bin give what lies before each bin.
+   That table has at most 257 rows per cut point, so broadcasting it is bounded by the number of
+   bins, whatever the data;
+4. a window inside each bin adds the rest, on the same shuffle.
 
 Results are exact whatever the quality of the quantiles: they only balance the work.
-The input is repartitioned by its key once and that exchange is reused by all three passes.
+The input is repartitioned by its key once, and that exchange serves both the quantiles and the
+binning, so the input itself is read a single time.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SUB_BINS = 256
 
 
-def default_bins(spark: SparkSession) -> int:
-    return min(1024, max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+def default_depth(spark: SparkSession) -> int:
+    """Levels of the binary search: about four bins per shuffle partition, 32 to 1024 in all."""
+    wanted = 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return min(10, max(5, math.ceil(math.log2(wanted))))
 
 
-def _cuts(rows: DataFrame, score: str, bins: int) -> Column:
-    """Scalar subquery: the sorted cut points in blocks, and the first cut of each block."""
-    q = F.percentile_approx(score, [i / bins for i in range(bins + 1)], max(10000, 20 * bins))
-    step = math.isqrt(bins) + 1
-    blocks = math.ceil((bins + 1) / step)
-    nested = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.slice("q", i * step + 1, F.lit(step)))
-    first = F.transform(F.col("blocks"), lambda b: b[0])
-    return (
-        rows.agg(q.alias("q"))
-        .select(nested.alias("blocks"), F.lit(step).alias("step"))
-        .select(F.struct(first.alias("first"), "blocks", "step").alias("cuts"))
-        .scalar()
-    )
-
-
-def global_order(
-    df: DataFrame, score: str, key: str, sums: tuple[str, ...] = (), bins: int | None = None
-) -> DataFrame:
+def global_order(df: DataFrame, score: str, key: str, sums: tuple[str, ...] = (), depth: int | None = None) -> DataFrame:
     """`key`, `score`, `sums` plus, for the order (score desc, md5(key), key):
 
     `rank_no` (equal scores share a rank), `row_no`, and per summed column `<c>_running`
     (up to and including the row) and `<c>_total`; also `rows_total`. `key` must be unique.
+    There are 2**depth cut points.
     """
-    bins = bins or default_bins(df.sparkSession)
+    depth = default_depth(df.sparkSession) if depth is None else depth
+    n = 2**depth
     cols = list(dict.fromkeys([key, score, *sums]))
     rows = df.select(*cols).repartition(F.col(key))
-    cuts = _cuts(rows, score, bins)
-
-    top = bins + 2
     s = F.col(score)
-    withcut = rows.withColumn("_c", cuts)
-    block = F.size(F.filter(F.col("_c.first"), lambda x: x <= s))
-    upto = F.when(F.col("_k") < 1, 0).otherwise(
-        (F.col("_k") - 1) * F.col("_c.step")
-        + F.size(F.filter(F.get(F.col("_c.blocks"), F.col("_k") - 1), lambda x: x <= s))
-    )
-    at_cut = F.when(F.col("_k") < 1, None).otherwise(F.array_max(F.filter(F.get(F.col("_c.blocks"), F.col("_k") - 1), lambda x: x <= s)))
+
+    fractions = [i / max(1, n - 1) for i in range(n)]
+    cuts = rows.agg(F.percentile_approx(score, fractions, max(10000, 20 * n))).scalar()
+    # `_k` ends as the number of cut points <= score; one projection per level keeps the search
+    # inside generated code
+    found = rows.withColumn("_c", cuts).withColumn("_k", F.lit(0))
+    for level in reversed(range(depth)):
+        found = found.withColumn("_k", F.col("_k") + F.when(F.get("_c", F.col("_k") + (2**level - 1)) <= s, 2**level).otherwise(0))
+    found = found.withColumn("_k", F.col("_k") + F.when(F.get("_c", F.col("_k")) <= s, 1).otherwise(0))
+    tied = s.isNull() | F.coalesce(F.get("_c", F.col("_k") - 1) == s, F.lit(False))
     binned = (
-        withcut.withColumn("_k", F.when(s.isNull(), 0).otherwise(block))
-        .withColumn("_u", upto)
-        .withColumn("_tied", s.isNull() | F.coalesce(at_cut == s, F.lit(False)))
+        found.withColumn("_tied", tied)
         .withColumn("_h", F.md5(F.col(key).cast("string")))
-        # never NULL by type, so that no IS NOT NULL filter on the bins is pushed below the exchange
-        .withColumn("_b", F.coalesce((2 * top - 2 * F.col("_u") - F.when(F.col("_tied"), 0).otherwise(1)).cast("int"), F.lit(0)))
-        .withColumn("_s", F.coalesce(F.when(F.col("_tied"), F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")), F.lit(0)))
-        .drop("_c", "_k", "_u")
+        .select(
+            *cols, "_tied", "_h",
+            # larger scores first; scores between two cuts come before those equal to the lower cut;
+            # never NULL by type, or an IS NOT NULL filter repeating the whole search would be
+            # pushed below the exchanges
+            F.coalesce((2 * n + 2 - 2 * F.col("_k") - F.when(F.col("_tied"), 0).otherwise(1)).cast("int"), F.lit(0)).alias("_b"),
+            F.coalesce(F.when(F.col("_tied"), F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")), F.lit(0)).alias("_s"),
+        )
+        .repartition("_b", "_s")
     )
 
     per_bin = binned.groupBy("_b", "_s").agg(
@@ -95,17 +86,15 @@ def global_order(
     local = Window.partitionBy("_b", "_s").orderBy(F.desc_nulls_last(score), "_h", key)
     upto_row = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     by_score = Window.partitionBy("_b", "_s").orderBy(F.desc_nulls_last(score))
-    numbered = binned.join(F.broadcast(offsets), ["_b", "_s"]).select(
-        "*",
-        (F.col("_rows_before") + F.row_number().over(local)).cast("bigint").alias("row_no"),
-        *[(F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(upto_row), F.lit(0))).alias(f"{c}_running") for c in sums],
+    numbered = binned.select(
+        *cols, "_tied", "_b", "_s", "_h", F.row_number().over(local).alias("_row"), *[F.sum(c).over(upto_row).alias(f"_run_{c}") for c in sums]
     )
-    ranked = numbered.withColumn("_r", F.rank().over(by_score))
+    ranked = numbered.withColumn("_rank", F.rank().over(by_score)).join(F.broadcast(offsets), ["_b", "_s"])
     return ranked.select(
         *cols,
-        F.when(F.col("_tied"), F.col("_bin_before") + 1).otherwise(F.col("_rows_before") + F.col("_r")).cast("bigint").alias("rank_no"),
-        "row_no",
+        F.when(F.col("_tied"), F.col("_bin_before") + 1).otherwise(F.col("_rows_before") + F.col("_rank")).cast("bigint").alias("rank_no"),
+        (F.col("_rows_before") + F.col("_row")).cast("bigint").alias("row_no"),
         "rows_total",
-        *[f"{c}_running" for c in sums],
+        *[(F.col(f"_before_{c}") + F.coalesce(f"_run_{c}", F.lit(0))).alias(f"{c}_running") for c in sums],
         *[f"{c}_total" for c in sums],
     )

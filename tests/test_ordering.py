@@ -18,8 +18,8 @@ def plain(df):
     )
 
 
-def binned(df, bins):
-    o = global_order(df, "p", "id", sums=("v",), bins=bins)
+def binned(df, depth):
+    o = global_order(df, "p", "id", sums=("v",), depth=depth)
     return o.select("id", "rank_no", "row_no", F.round("v_running", 6).alias("run"))
 
 
@@ -36,11 +36,11 @@ CASES = {
 
 
 @pytest.mark.parametrize("case", CASES)
-@pytest.mark.parametrize("bins", [1, 4, 37])
-def test_equals_plain_window(spark, rows, case, bins):
+@pytest.mark.parametrize("depth", [0, 1, 3, 6])
+def test_equals_plain_window(spark, rows, case, depth):
     r = random.Random(11)
     df = spark.createDataFrame([(f"d{i}", CASES[case](r, i), r.random()) for i in range(400)], "id string, p double, v double")
-    assert rows(binned(df, bins)) == rows(plain(df))
+    assert rows(binned(df, depth)) == rows(plain(df))
 
 
 def test_totals_and_empty_input(spark):
@@ -53,7 +53,7 @@ def test_totals_and_empty_input(spark):
 def test_tied_rows_are_spread_over_sub_bins(spark):
     """A score shared by all rows must not end up in one window group."""
     df = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit(0.5).alias("p"))
-    plan = global_order(df, "p", "id", bins=8)
+    plan = global_order(df, "p", "id", depth=3)
     plan.collect()
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in text  # the input is read and shuffled once for all passes

@@ -11,7 +11,7 @@ def test_vote_tie_is_relevant_and_splits_stay_apart(spark, rows):
 
 def test_equal_scores_share_a_rank(spark, rows):
     s = spark.createDataFrame([("a", 0.9), ("b", 0.5), ("c", 0.5), ("d", 0.1)], "doc_id string, p_relevant double")
-    assert rows(op.rank_predictions(s, bins=3), "doc_id", "priority_rank") == [("a", 1), ("b", 2), ("c", 2), ("d", 4)]
+    assert rows(op.rank_predictions(s, depth=2), "doc_id", "priority_rank") == [("a", 1), ("b", 2), ("c", 2), ("d", 4)]
 
 
 def test_remaining_is_zero_at_the_end(spark):
