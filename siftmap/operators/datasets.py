@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmap.functions.hashing import content_hash, split_of
@@ -71,35 +72,38 @@ def schema_of(df: DataFrame) -> list[dict[str, str]]:
     return [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema]
 
 
+MANIFEST = (
+    "dataset_id string, name string, version bigint, path string, schema_json string, n_rows bigint, content_hash string, "
+    "source string, split_fracs string, created_by string, created_at timestamp, notes string"
+)
+
+
 def build(
     df: DataFrame, root: str, name: str, version: int, *, source: str = "", split: bool = True,
     fracs=(0.70, 0.15, 0.15), created_by: str = "job", notes: str = "",
 ) -> DataFrame:
     """Write `<root>/datasets/<name>/v<version>` and a manifest; returns the one-row manifest.
 
-    A version is written once: an existing path is an error, and so is an empty dataset. Rows
-    are counted while they are written. The hash reads the finished files, so it describes what
-    was stored even if the input could not be reproduced.
+    A version is written once: an existing path is an error, and so is an empty dataset. Count
+    and hash come from one pass over the finished files, so they describe what was stored even if
+    the input could not be reproduced.
     """
     spark: SparkSession = df.sparkSession
     if "row_id" not in df.columns:
         df = df.withColumn("row_id", F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
     out = with_split(df, fracs=fracs) if split else df
     path = f"{root.rstrip('/')}/datasets/{name}/v{version}"
-    seen = Observation("rows")
-    out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(f"{path}/data")
-    if seen.get["n"] == 0:
+    out.write.mode("errorifexists").parquet(f"{path}/data")
+    stored = content_hash(spark.read.schema(out.schema).parquet(f"{path}/data")).head()
+    if stored["n_rows"] == 0:
         raise ValueError("dataset is empty")
-    digest = content_hash(spark.read.schema(out.schema).parquet(f"{path}/data"))
-    manifest = digest.select(
-        F.sha2(F.concat_ws("@", F.lit(name), F.lit(str(version))), 256).alias("dataset_id"),
-        F.lit(name).alias("name"), F.lit(version).cast("bigint").alias("version"), F.lit(path).alias("path"),
-        F.lit(json.dumps(schema_of(out))).alias("schema_json"), "n_rows", "content_hash",
-        F.lit(source).alias("source"), F.lit(json.dumps(list(fracs) if split else None)).alias("split_fracs"),
-        F.lit(created_by).alias("created_by"), F.lit(datetime.now(timezone.utc)).alias("created_at"), F.lit(notes).alias("notes"),
+    row = (
+        hashlib.sha256(f"{name}@{version}".encode()).hexdigest(), name, version, path, json.dumps(schema_of(out)),
+        stored["n_rows"], stored["content_hash"], source, json.dumps(list(fracs) if split else None), created_by, datetime.now(timezone.utc), notes,
     )
+    manifest = spark.createDataFrame([row], MANIFEST)
     manifest.write.mode("errorifexists").json(f"{path}/manifest")
-    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+    return manifest
 
 
 def preview(df: DataFrame, n: int = 20, key: str = "row_id") -> DataFrame:
