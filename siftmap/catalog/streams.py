@@ -49,6 +49,6 @@ def _(d):
 WHERE day + INTERVAL 1 DAY <= (SELECT max(decided_at) FROM decisions) - INTERVAL 1 DAY""")
 def _(d):
     out = new_path(d.spark, "daily")
-    st.daily(streamed(d).decisions(), d.scores(), out, new_path(d.spark, "checkpoint"))
-    rows = d.spark.read.schema("day timestamp, decision_type string, n bigint, n_override bigint").parquet(out)
-    return rows.withColumn("day", F.to_date("day"))
+    st.daily_counts(streamed(d).decisions(), out, new_path(d.spark, "checkpoint"))
+    counts = d.spark.read.schema("day timestamp, doc_id string, decision_type string, n bigint").parquet(out)
+    return st.daily_report(counts.withColumn("day", F.to_date("day")), d.scores())

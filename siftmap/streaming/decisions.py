@@ -6,7 +6,7 @@ and progress live in the checkpoint folder, and a restarted job continues where
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmap.operators.monitoring import contradicts
@@ -66,19 +66,25 @@ def current(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
-def daily(decisions: DataFrame, scores: DataFrame, out: str, checkpoint: str, delay: str = "1 day", every: str = "1 day") -> None:
-    """Decisions, overrides and mix per day, written once the day is closed.
+def daily_counts(decisions: DataFrame, out: str, checkpoint: str, delay: str = "1 day", every: str = "1 day") -> None:
+    """Decisions per day, document and kind, written once the day is closed.
 
-    Scores are a static table; a document without a score counts as a decision but never as an
-    override.
+    Counting comes first and scores join later, in `daily_report`: a document that holds a third
+    of a day's decisions is combined map-side here and is one row per kind there.
     """
-    over: Column = F.coalesce(contradicts(), F.lit(False))
-    joined = decisions.withWatermark("decided_at", delay).join(scores.select("doc_id", "p_relevant"), "doc_id", "left")
-    per_day = joined.groupBy(F.window("decided_at", every), "decision_type").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(over).alias("n_override")
+    per_day = decisions.withWatermark("decided_at", delay).groupBy(F.window("decided_at", every), "doc_id", "decision_type").agg(
+        F.count(F.lit(1)).alias("n")
     )
     drain(
-        per_day.select(F.col("window.start").alias("day"), "decision_type", "n", "n_override")
+        per_day.select(F.col("window.start").alias("day"), "doc_id", "decision_type", "n")
         .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
+
+
+def daily_report(counts: DataFrame, scores: DataFrame) -> DataFrame:
+    """Decision mix and overrides per day; a decision without a score is never an override."""
+    over = F.coalesce(contradicts(), F.lit(False))
+    return counts.join(scores.select("doc_id", "p_relevant"), "doc_id", "left").groupBy("day", "decision_type").agg(
+        F.sum("n").alias("n"), F.sum(F.when(over, F.col("n")).otherwise(0)).alias("n_override")
+    )

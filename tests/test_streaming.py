@@ -43,6 +43,7 @@ def test_open_days_wait(spark, tmp_path):
     src, out, cp = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp"
     scores = spark.createDataFrame([("a", 0.9)], "doc_id string, p_relevant double")
     put(spark, src, ("1", "a", "screen_exclude", at(1)), ("2", "a", "screen_include", at(1)), ("3", "a", "screen_include", at(5)), ("4", "b", "screen_include", at(1)))
-    st.daily(stream(spark, src), scores, out, cp)
-    got = {(r.day.day, r.decision_type): (r.n, r.n_override) for r in spark.read.parquet(out).withColumn("day", F.to_date("day")).collect()}
+    st.daily_counts(stream(spark, src), out, cp)
+    report = st.daily_report(spark.read.parquet(out).withColumn("day", F.to_date("day")), scores)
+    got = {(r.day.day, r.decision_type): (r.n, r.n_override) for r in report.collect()}
     assert got == {(1, "screen_exclude"): (1, 1), (1, "screen_include"): (2, 0)}
