@@ -95,10 +95,16 @@ def _(d):
     return op.preview(rows, 20)
 
 
-@query("dataset_build")
+TUNING = """SELECT doc_id AS row_id, title, abstract, json_object('region', region, 'country', country, 'sector', sector, 'hazard', hazard, 'evidence_type', evidence_type,
+ 'adaptation_type', adaptation_type, 'outcome_reported', outcome_reported, 'confidence_language', confidence_language)::VARCHAR AS target_json FROM corpus WHERE provenance = 'synthetic' AND evidence_type <> 'off_topic'"""
+FOLD = "concat_ws('-', " + ", ".join(f"sum(('0x' || substr(h, {1 + 12 * i}, 12))::HUGEINT)::VARCHAR" for i in range(4)) + ")"
+
+
+@query("dataset_build", f"""SELECT 'tuning' AS name, 1::BIGINT AS version, count(*) AS n_rows, {FOLD} AS content_hash, '[0.7, 0.15, 0.15]' AS split_fracs, 'job' AS created_by FROM (
+ SELECT sha256(json_object('row_id', row_id, 'title', title, 'abstract', abstract, 'target_json', target_json, 'split', {lang_split('row_id')})::VARCHAR) AS h FROM ({TUNING}))""")
 def _(d):
     """A new version written with split and manifest; the manifest's row."""
-    m = op.build(op.screening(d.corpus(), d.embeddings(), d.screening_labels()), new_path(d.spark, "root"), "screening", 1, source="screening")
+    m = op.build(op.metadata_tuning(d.corpus()), new_path(d.spark, "root"), "tuning", 1, source="metadata_tuning")
     return m.select("name", "version", "n_rows", "content_hash", "split_fracs", "created_by")
 
 
@@ -107,7 +113,8 @@ def _(d):
     return op.build(op.unsupervised(d.embeddings()), new_path(d.spark, "root"), "vectors", 1, source="vectors", split=False).drop("path", "created_at")
 
 
-@query("schema_infer")
+@query("schema_infer", """SELECT (SELECT count(*) FROM corpus) AS n_rows, name, type FROM (VALUES ('doc_id', 'string'), ('year', 'bigint'), ('region', 'string'),
+ ('credibility_score', 'double'), ('outcome_reported', 'boolean')) t(name, type)""")
 def _(d):
     """Types found in a file of JSON lines, by a full pass instead of the first record."""
     path = new_path(d.spark, "infer")

@@ -25,11 +25,11 @@ def _(d):
     return op.latest(e, "run_id", ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"], ["status"])
 
 
-@query("registry_append")
+@query("registry_append", "SELECT run_id, dataset_id, status, started_at::DATE AS started_on FROM runs")
 def _(d):
     """Run events appended in two batches, then read back."""
     path = new_path(d.spark, "training_runs")
-    runs = d.runs().select("run_id", "dataset_id", "status", "started_at")
+    runs = d.runs().select("run_id", "dataset_id", "status", F.to_date("started_at").alias("started_on"))
     op.append(runs.filter("status = 'running'"), path)
     op.append(runs.filter("status <> 'running'"), path)
     return d.spark.read.schema(runs.schema).parquet(path)
