@@ -46,26 +46,24 @@ def global_order(df: DataFrame, score: str, key: str, sums: tuple[str, ...] = ()
 
     fractions = [i / max(1, n - 1) for i in range(n)]
     cuts = rows.agg(F.percentile_approx(score, fractions, max(10000, 20 * n))).scalar()
-    # `_k` ends as the number of cut points <= score; one projection per level keeps the search
-    # inside generated code
-    found = rows.withColumn("_c", cuts).withColumn("_k", F.lit(0))
-    for level in reversed(range(depth)):
-        found = found.withColumn("_k", F.col("_k") + F.when(F.get("_c", F.col("_k") + (2**level - 1)) <= s, 2**level).otherwise(0))
-    found = found.withColumn("_k", F.col("_k") + F.when(F.get("_c", F.col("_k")) <= s, 1).otherwise(0))
-    tied = s.isNull() | F.coalesce(F.get("_c", F.col("_k") - 1) == s, F.lit(False))
-    binned = (
-        found.withColumn("_tied", tied)
-        .withColumn("_h", F.md5(F.col(key).cast("string")))
-        .select(
-            *cols, "_tied", "_h",
-            # larger scores first; scores between two cuts come before those equal to the lower cut;
-            # never NULL by type, or an IS NOT NULL filter repeating the whole search would be
-            # pushed below the exchanges
-            F.coalesce((2 * n + 2 - 2 * F.col("_k") - F.when(F.col("_tied"), 0).otherwise(1)).cast("int"), F.lit(0)).alias("_b"),
-            F.coalesce(F.when(F.col("_tied"), F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")), F.lit(0)).alias("_s"),
-        )
-        .repartition("_b", "_s")
-    )
+    # The search: `_k<i>` counts cut points <= score, a power of two more precisely at each level.
+    # Later columns of one select refer to earlier ones, so it is analysed once and runs as a
+    # chain of projections in generated code.
+    search, k = [cuts.alias("_c")], F.lit(0)
+    for level in [*reversed(range(depth)), 0]:
+        name = f"_k{len(search)}"
+        search.append((k + F.when(F.get("_c", k + (2**level - 1)) <= s, 2**level).otherwise(0)).alias(name))
+        k = F.col(name)
+    tied = s.isNull() | F.coalesce(F.get("_c", k - 1) == s, F.lit(False))
+    found = rows.select(*cols, *search, tied.alias("_tied"), F.md5(F.col(key).cast("string")).alias("_h"))
+    binned = found.select(
+        *cols, "_tied", "_h",
+        # larger scores first; scores between two cuts come before those equal to the lower cut;
+        # never NULL by type, or an IS NOT NULL filter repeating the whole search would be pushed
+        # below the exchanges
+        F.coalesce((2 * n + 2 - 2 * k - F.when(F.col("_tied"), 0).otherwise(1)).cast("int"), F.lit(0)).alias("_b"),
+        F.coalesce(F.when(F.col("_tied"), F.conv(F.substring("_h", 1, 2), 16, 10).cast("int")), F.lit(0)).alias("_s"),
+    ).repartition("_b", "_s")
 
     per_bin = binned.groupBy("_b", "_s").agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in sums]
