@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from siftmap.catalog import query
 from siftmap.session import new_path
 from siftmap.sources.domain import DECISION_TYPES, Domain
@@ -51,4 +49,4 @@ def _(d):
     out = new_path(d.spark, "daily")
     st.daily_counts(streamed(d).decisions(), out, new_path(d.spark, "checkpoint"))
     counts = d.spark.read.schema("day timestamp, doc_id string, decision_type string, n bigint").parquet(out)
-    return st.daily_report(counts.withColumn("day", F.to_date("day")), d.scores())
+    return st.daily_report(counts.withColumn("day", st.utc_date("day")), d.scores())

@@ -6,19 +6,24 @@ and progress live in the checkpoint folder, and a restarted job continues where
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmap.operators.monitoring import contradicts
 from siftmap.operators.screening import validate_decisions
 
-EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+# `ts` is declared as an instant: zone-less times in the files then count as UTC in any session
+EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
 def read_events(spark: SparkSession, path: str, schema: str = EVENTS, files_per_batch: int = 1000) -> DataFrame:
-    """A stream over a Parquet file or folder; event time becomes a UTC timestamp."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+    """A stream over a Parquet folder, or over files given by a glob."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def utc_date(instant: str) -> Column:
+    """The UTC calendar day of an instant, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))
 
 
 def drain(query) -> None:

@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from siftmap.sources.domain import DECISION_TYPES
 from siftmap.streaming import decisions as st
 
@@ -44,6 +42,6 @@ def test_open_days_wait(spark, tmp_path):
     scores = spark.createDataFrame([("a", 0.9)], "doc_id string, p_relevant double")
     put(spark, src, ("1", "a", "screen_exclude", at(1)), ("2", "a", "screen_include", at(1)), ("3", "a", "screen_include", at(5)), ("4", "b", "screen_include", at(1)))
     st.daily_counts(stream(spark, src), out, cp)
-    report = st.daily_report(spark.read.parquet(out).withColumn("day", F.to_date("day")), scores)
+    report = st.daily_report(spark.read.parquet(out).withColumn("day", st.utc_date("day")), scores)
     got = {(r.day.day, r.decision_type): (r.n, r.n_override) for r in report.collect()}
     assert got == {(1, "screen_exclude"): (1, 1), (1, "screen_include"): (2, 0)}
