@@ -25,6 +25,52 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_toxicity(spark: SparkSession, base: str) -> DataFrame:
+    from siftmap.llm import toxicity
+    from siftmap.llm.langid import held_out
+
+    docs = table(spark, base, "documents")
+    model = toxicity.fit(docs, table(spark, base, "labels").where(~held_out()))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@_query
+def op2_learned_partitions(spark: SparkSession, base: str) -> DataFrame:
+    from siftmap.llm import learned_partitions
+
+    return learned_partitions.search(table(spark, base, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query
+def op3_line_templates(spark: SparkSession, base: str) -> DataFrame:
+    from siftmap.llm import line_templates
+
+    out = line_templates.dedup(table(spark, base, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query
+def op4_decontamination(spark: SparkSession, base: str) -> DataFrame:
+    from siftmap.llm import decontamination
+
+    return decontamination.matches(table(spark, base, "documents"), table(spark, base, "benchmark"))
+
+
+@_query
+def op5_secrets(spark: SparkSession, base: str) -> DataFrame:
+    from siftmap.llm import secrets
+
+    return secrets.digest(secrets.scan(table(spark, base, "documents")))
+
+
+@_query
+def op6_licenses(spark: SparkSession, base: str) -> DataFrame:
+    from siftmap.llm import licenses
+
+    return licenses.scan(table(spark, base, "documents"))
+
+
 @_query
 def op7_jaccard_tree(spark: SparkSession, base: str) -> DataFrame:
     from siftmap.llm import jaccard_tree

@@ -130,6 +130,15 @@ def words(chunk: Chunk, alphabet: Alphabet) -> Words:
     return Words(hashed, row, start, end, bounds)
 
 
+def heads(chunk: Chunk, w: Words, alphabet: Alphabet, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the first `size` bytes of every longer word, and the word's position in `w`."""
+    at = np.flatnonzero(w.end - w.start > size)
+    total = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        total += alphabet.value[chunk.data[w.start[at] + k]] * np.uint64(pow(_BASE, k + 1, 1 << 64))
+    return mix(total ^ np.uint64(0xB5297A4D00000000 + size)), at
+
+
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of every run of `size` words within a text, and its first word's position in `w`."""
     n = len(w.hash) - size + 1
