@@ -49,7 +49,7 @@ def _(d):
 
 @query("dataset_recipe_cluster_ts", "SELECT cluster_id || '-' || yr AS row_id, cluster_id, yr, n_docs FROM cluster_yearly")
 def _(d):
-    return op.cluster_series(yearly(d.clusters(), d.corpus().select("doc_id", "year"), last=2025))
+    return op.cluster_series(yearly(d.clusters(), d.corpus().select("doc_id", "year")))
 
 
 @query("dataset_recipe_metadata_tuning", """SELECT doc_id AS row_id, title, abstract, json_object('region', region, 'country', country, 'sector', sector, 'hazard', hazard, 'evidence_type', evidence_type,
@@ -142,10 +142,10 @@ def _(d):
     return d.spark.read.text(path).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("value").contains('"region":null')).alias("n_null_region"))
 
 
-@query("gold_export", "SELECT g.row_id, c.title, g.label, g.gold_source FROM gold g JOIN corpus c ON c.doc_id = g.row_id")
+@query("gold_export", "SELECT g.row_id, c.title, g.label, g.gold_source FROM gold g JOIN corpus c ON c.doc_id = g.row_id WHERE g.task_id = 'task_1'")
 def _(d):
     path = new_path(d.spark, "gold")
-    rows = op.gold_rows(labeling.gold(d.annotations()), d.corpus().select(F.col("doc_id").alias("row_id"), "title"), ["title"])
+    rows = op.gold_rows(labeling.gold(d.annotations().filter("task_id = 'task_1'")), d.corpus().select(F.col("doc_id").alias("row_id"), "title"), ["title"])
     ndjson.write(rows, path)
     return ndjson.read(d.spark, path, rows.schema)
 

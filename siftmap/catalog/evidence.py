@@ -83,7 +83,7 @@ def _(d):
     return op.cluster_documents(near, d.corpus(), 3)
 
 
-PIVOT_REGIONS = [*REGIONS, "Unknown"]
+PIVOT_REGIONS = [*REGIONS, "Global", "Unknown"]
 
 
 @query("evidence_map_pivot", f"""WITH per AS (SELECT k.cluster_id, coalesce(c.region, m.region, 'Unknown') AS region, count(*) AS n FROM clusters k JOIN corpus c ON k.doc_id = c.doc_id
@@ -92,7 +92,7 @@ SELECT cluster_id, {", ".join(f'''max(CASE WHEN region = '{r}' THEN n END)::BIGI
 FROM per GROUP BY cluster_id""")
 def _(d):
     p = op.pivot(emap(d).select("cluster_id", "region", "n_docs"), PIVOT_REGIONS)
-    return p.select("cluster_id", *[F.col(f"`{r}_n`") for r in PIVOT_REGIONS], *[F.round(f"`{r}_shade`", 6).alias(f"{r}_shade") for r in PIVOT_REGIONS])
+    return p.select("cluster_id", *[F.round(f"`{c}`", 6).alias(c) if c.endswith("_shade") else F.col(f"`{c}`") for c in p.columns[1:]])
 
 
 @query("cluster_coherence", """WITH sp AS (SELECT c.cluster_id, c.centroid, avg(k.dist_to_centroid) AS s FROM doc_clusters k JOIN centroids c ON k.cluster_id = c.cluster_id GROUP BY ALL),

@@ -138,10 +138,10 @@ def _(d):
     )
 
 
-@query("training_data_select", """SELECT vec_id::VARCHAR AS row_id, g.label, round(list_sum(embedding::DOUBLE[]), 4) AS vec_sum FROM embeddings JOIN gold g ON g.row_id = vec_id::VARCHAR
+@query("training_data_select", """SELECT vec_id::VARCHAR AS row_id, g.label, round(list_sum(embedding::DOUBLE[]), 4) AS vec_sum FROM embeddings JOIN gold g ON g.task_id = 'task_1' AND g.row_id = vec_id::VARCHAR
 WHERE ('0x'||substr(md5(vec_id::VARCHAR),1,8))::BIGINT % 100 < 70""")
 def _(d):
-    rows = op.training_rows(examples(d), SCREEN, "train", gold=labeling.gold(d.annotations()), keep=("row_id",))
+    rows = op.training_rows(examples(d), SCREEN, "train", gold=labeling.gold(d.annotations().filter("task_id = 'task_1'")), keep=("row_id",))
     total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
     return rows.select("row_id", "label", F.round(total, 4).alias("vec_sum"))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from siftmap.catalog import query
 from siftmap.operators import living as op
 
-LAST = 2025
 Z = op.interval_z(0.8)
 TREND = f"""SELECT cluster_id, h, (last + h)::INTEGER AS year, a + b * (last + h) AS fc,
  {Z!r}::DOUBLE * sqrt(greatest(0, syy - sxy * sxy / sxx) / (n - 2) * (1 + 1.0::DOUBLE / n + (last + h - mx) * (last + h - mx) / sxx)) AS half
@@ -16,7 +15,7 @@ FROM (SELECT cluster_id, regr_slope(v, x) AS b, regr_intercept(v, x) AS a, regr_
 
 
 def counts(d):
-    return op.yearly(d.clusters(), d.corpus().select("doc_id", "year"), last=LAST)
+    return op.yearly(d.clusters(), d.corpus().select("doc_id", "year"))
 
 
 @query("cluster_yearly", "SELECT * FROM cluster_yearly")
@@ -24,9 +23,10 @@ def _(d):
     return counts(d)
 
 
-@query("filter_year_range", "SELECT doc_id, year FROM corpus WHERE year IS NOT NULL AND year BETWEEN 2005 AND 2025")
+@query("filter_year_range", "SELECT doc_id, year FROM corpus WHERE year IS NOT NULL AND year BETWEEN 2005 AND (SELECT max(year) FROM corpus)")
 def _(d):
-    return d.corpus().select("doc_id", "year").filter(F.col("year").isNotNull() & F.col("year").between(2005, LAST))
+    years = d.corpus().select("doc_id", "year")
+    return years.filter(F.col("year").isNotNull() & F.col("year").between(2005, years.agg(F.max("year")).scalar()))
 
 
 PAIRS = """SELECT k.doc_id, k.cluster_id, p.y FROM clusters k JOIN (SELECT doc_id, 2005 + (n % 20) AS y FROM (SELECT user_id::VARCHAR AS doc_id, event_id // 50 AS n FROM events)) p ON k.doc_id = p.doc_id"""
@@ -73,11 +73,11 @@ def _(d):
     return counts(d).select("cluster_id", F.year("yr").alias("year"), "n_docs").orderBy("cluster_id", "year")
 
 
-@query("forecast_eval", """SELECT cluster_id, count(*) AS n_years, round(regr_r2(v, x), 6) AS r2,
- round(sqrt(greatest(0, regr_syy(v, x) - regr_sxy(v, x) * regr_sxy(v, x) / regr_sxx(v, x)) / count(*)), 6) AS rmse
+@query("forecast_eval", """SELECT cluster_id, count(*) AS n_years, round(regr_r2(v, x), 9) AS r2,
+ round(sqrt(greatest(0, regr_syy(v, x) - regr_sxy(v, x) * regr_sxy(v, x) / regr_sxx(v, x)) / count(*)), 9) AS rmse
 FROM (SELECT cluster_id, year(yr)::DOUBLE AS x, n_docs::DOUBLE AS v FROM cluster_yearly) GROUP BY cluster_id""")
 def _(d):
-    return op.trend_fit(counts(d)).select("cluster_id", "n_years", F.round("r2", 6).alias("r2"), F.round("rmse", 6).alias("rmse"))
+    return op.trend_fit(counts(d)).select("cluster_id", "n_years", F.round("r2", 9).alias("r2"), F.round("rmse", 9).alias("rmse"))
 
 
 @query("forecast_autoregressive")

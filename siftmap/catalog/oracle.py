@@ -88,7 +88,7 @@ SELECT event_id::VARCHAR AS decision_id, CASE WHEN value >= 2 THEN user_id::VARC
  CASE WHEN value BETWEEN 10 AND 12 THEN '' ELSE 'rev' || (user_id % 7) END AS reviewer,
  CASE WHEN value BETWEEN 150 AND 200 THEN repeat(props, 200) ELSE props END AS note, ts AS decided_at FROM events""",
     "annotations": """
-SELECT event_id::VARCHAR AS label_id, 'task_' || (user_id % 4) AS task_id, user_id::VARCHAR AS row_id, event_type AS label,
+SELECT event_id::VARCHAR AS label_id, 'task_' || (event_id // 3 % 4) AS task_id, user_id::VARCHAR AS row_id, event_type AS label,
  CASE WHEN event_id % 3 = 0 THEN 'llm' ELSE 'human' END AS source,
  CASE WHEN event_id % 3 = 0 THEN 'model' ELSE 'A' || (event_id % 5) END AS annotator,
  CASE WHEN event_id % 3 = 0 THEN round(least(1.0::DOUBLE, value / 50), 4) ELSE 1.0::DOUBLE END AS confidence,
@@ -110,7 +110,7 @@ SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey
  (l_quantity::INTEGER + 49) AS rec, CASE WHEN l_returnflag <> 'N' THEN trunc(99 - l_quantity / 2)::INTEGER END AS auc,
  CASE WHEN l_returnflag = 'N' THEN printf('{"recall": 0.%02d}', l_quantity::INTEGER + 49)
   ELSE printf('{"recall": 0.%02d, "roc_auc": 0.%02d}', l_quantity::INTEGER + 49, trunc(99 - l_quantity / 2)::INTEGER) END AS metrics_json,
- l_shipdate AS evaluated_at FROM lineitem WHERE l_linestatus = 'F'""",
+ l_shipdate AS evaluated_at FROM lineitem""",
     "promotion_requests": """
 SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS promotion_id, 'm' || l_orderkey AS model_id,
  ['archived','candidate','staging','production','retired'][l_linenumber % 5 + 1] AS to_stage,
@@ -163,15 +163,15 @@ FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS part, unnest(range(1, l
 WHERE trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''""",
     "cluster_yearly": """
 SELECT cluster_id, make_date(c.year, 1, 1) AS yr, count(*)::BIGINT AS n_docs
-FROM clusters k JOIN corpus c ON k.doc_id = c.doc_id WHERE c.year BETWEEN 2005 AND 2025 GROUP BY ALL""",
+FROM clusters k JOIN corpus c ON k.doc_id = c.doc_id WHERE c.year >= 2005 GROUP BY ALL""",
     "gold": """
-SELECT row_id, label, 'human' AS gold_source FROM (
-  SELECT * FROM (SELECT row_id, label, count(*) AS n FROM annotations WHERE source = 'human' GROUP BY ALL)
-  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n DESC, label) = 1)
+SELECT task_id, row_id, label, 'human' AS gold_source FROM (
+  SELECT * FROM (SELECT task_id, row_id, label, count(*) AS n FROM annotations WHERE source = 'human' GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY task_id, row_id ORDER BY n DESC, label) = 1)
 UNION ALL
-SELECT row_id, label, 'llm' FROM (SELECT row_id, label FROM annotations WHERE source = 'llm' AND confidence >= 0.9
-  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY labeled_at DESC, label_id DESC) = 1) l
-WHERE NOT EXISTS (SELECT 1 FROM annotations h WHERE h.source = 'human' AND h.row_id = l.row_id)""",
+SELECT task_id, row_id, label, 'llm' FROM (SELECT task_id, row_id, label FROM annotations WHERE source = 'llm' AND confidence >= 0.9
+  QUALIFY row_number() OVER (PARTITION BY task_id, row_id ORDER BY labeled_at DESC, label_id DESC) = 1) l
+WHERE NOT EXISTS (SELECT 1 FROM annotations h WHERE h.source = 'human' AND h.task_id = l.task_id AND h.row_id = l.row_id)""",
 }
 
 

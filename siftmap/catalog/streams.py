@@ -29,7 +29,7 @@ def _(d):
     out = new_path(d.spark, "decisions")
     s = streamed(d).submitted()
     st.ingest(s, DECISION_TYPES, out, new_path(d.spark, "checkpoint"))
-    return d.spark.read.schema(s.schema).parquet(out).drop("note", "decided_at")
+    return d.spark.read.schema(s.schema).parquet(out).drop("note", "decided_at", "batch")
 
 
 @query("stream_latest_decision", """SELECT doc_id, decision_type AS human_decision FROM decisions WHERE decision_type LIKE 'screen_%'
@@ -40,13 +40,11 @@ def _(d):
     return st.current(d.spark, out)
 
 
-@query("stream_monitoring_daily", """SELECT day, decision_type, n, n_override FROM (
- SELECT d.decided_at::DATE AS day, d.decision_type, count(*) AS n,
+@query("stream_monitoring_daily", """SELECT d.decided_at::DATE AS day, d.decision_type, count(*) AS n,
   count_if((d.decision_type = 'screen_include' AND s.p_relevant < 0.5) OR (d.decision_type = 'screen_exclude' AND s.p_relevant >= 0.5))::BIGINT AS n_override
- FROM decisions d LEFT JOIN scores s ON s.doc_id = d.doc_id GROUP BY ALL)
-WHERE day + INTERVAL 1 DAY <= (SELECT max(decided_at) FROM decisions) - INTERVAL 1 DAY""")
+ FROM decisions d LEFT JOIN scores s ON s.doc_id = d.doc_id GROUP BY ALL""")
 def _(d):
     out = new_path(d.spark, "daily")
     st.daily_counts(streamed(d).decisions(), out, new_path(d.spark, "checkpoint"))
-    counts = d.spark.read.schema("day timestamp, doc_id string, decision_type string, n bigint").parquet(out)
-    return st.daily_report(counts.withColumn("day", st.utc_date("day")), d.scores())
+    counts = d.spark.read.schema("day date, doc_id string, decision_type string, n bigint").parquet(out)
+    return st.daily_report(counts, d.scores())

@@ -37,10 +37,10 @@ def _synthesis(body: str) -> dict:
     found = [(m.group(1), line) for line in body.splitlines() if (m := re.match(CITATION, line))]
     if len(found) < 2:
         return {"synthesis": None, "confidence": None, "confidence_rationale": INSUFFICIENT, "gaps": [], "citations_used": []}
-    said = [re.sub(r"^(\[[^\]]+\]) (.{0,80}).*", r"\2 \1.", line) for _, line in found[:6]]
+    said = [re.sub(r"^(\[[^\]]+\]) (.*)", r"\2 \1.", line) for _, line in found]
     return {
         "synthesis": " ".join(said), "confidence": "medium" if len(found) > 3 else "low",
-        "confidence_rationale": f"{len(found)} passages", "gaps": [], "citations_used": sorted({i for i, _ in found[:6]}),
+        "confidence_rationale": f"{len(found)} passages", "gaps": [], "citations_used": sorted({i for i, _ in found}),
     }
 
 

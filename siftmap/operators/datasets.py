@@ -6,7 +6,7 @@ import hashlib
 import json
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmap.functions.hashing import content_hash, split_of
@@ -89,14 +89,18 @@ def build(
     the input could not be reproduced.
     """
     spark: SparkSession = df.sparkSession
+    if df.isEmpty():
+        raise ValueError("dataset is empty")
     if "row_id" not in df.columns:
-        df = df.withColumn("row_id", F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
+        content = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
+        nth = F.row_number().over(Window.partitionBy("_content").orderBy(F.lit(1)))
+        df = df.withColumn("_content", content).withColumn("_nth", nth).withColumn(
+            "row_id", F.when(F.col("_nth") == 1, F.col("_content")).otherwise(F.concat_ws("-", "_content", "_nth"))
+        ).drop("_content", "_nth")
     out = with_split(df, fracs=fracs) if split else df
     path = f"{root.rstrip('/')}/datasets/{name}/v{version}"
     out.write.mode("errorifexists").parquet(f"{path}/data")
     stored = content_hash(spark.read.schema(out.schema).parquet(f"{path}/data")).head()
-    if stored["n_rows"] == 0:
-        raise ValueError("dataset is empty")
     row = (
         hashlib.sha256(f"{name}@{version}".encode()).hexdigest(), name, version, path, json.dumps(schema_of(out)),
         stored["n_rows"], stored["content_hash"], source, json.dumps(list(fracs) if split else None), created_by, datetime.now(timezone.utc), notes,

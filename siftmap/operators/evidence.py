@@ -112,8 +112,10 @@ def top_titles(doc_clusters: DataFrame, corpus: DataFrame, k: int = 12) -> DataF
 def pivot(cells: DataFrame, regions: list[str]) -> DataFrame:
     """Cluster x region counts with colour intensity log1p(n) / log1p(max n).
 
-    The regions are given, so no pass is spent on finding them.
+    `regions` come first, further ones in the data follow by name: none is left out.
     """
+    found = [r[0] for r in cells.filter(F.col("region").isNotNull()).select("region").distinct().collect()]  # a handful of names
+    regions = [*regions, *sorted(set(found) - set(regions))]
     per = cells.groupBy("cluster_id", "region").agg(F.sum("n_docs").alias("n"))
     top = per.agg(F.greatest(F.lit(1), F.max("n")).alias("m")).scalar()
     shaded = per.withColumn("shade", F.log1p("n") / F.log1p(top))

@@ -6,29 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEWEST = ("labeled_at", "label_id")
+# a row may be in several tasks; its labels in one say nothing about another
+ITEM = ["task_id", "row_id"]
 
 
 def model_labels(labels: DataFrame, floor: float | None = None) -> DataFrame:
-    """The newest model label per row, all of its columns from one event."""
+    """The newest model label per task and row, all of its columns from one event."""
     m = labels.filter(F.col("source") == "llm")
     if floor is not None:
         m = m.filter(F.col("confidence") >= floor)
     newest = F.max_by(F.struct("label", "confidence", "rationale"), F.struct(*NEWEST))
-    return m.groupBy("row_id").agg(newest.alias("m")).select(
-        "row_id", F.col("m.label").alias("llm_label"), F.col("m.confidence").alias("llm_conf"), F.col("m.rationale").alias("llm_rationale")
+    return m.groupBy(*ITEM).agg(newest.alias("m")).select(
+        *ITEM, F.col("m.label").alias("llm_label"), F.col("m.confidence").alias("llm_conf"), F.col("m.rationale").alias("llm_rationale")
     )
 
 
 def human_majority(labels: DataFrame) -> DataFrame:
-    """Most voted label per row, ties to the smaller label. Votes are counted before rows meet."""
-    votes = labels.filter(F.col("source") == "human").groupBy("row_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy("row_id").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
+    """Most voted label per task and row, ties to the smaller label. Votes are counted before rows meet."""
+    votes = labels.filter(F.col("source") == "human").groupBy(*ITEM, "label").agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy(*ITEM).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"))
 
 
 def gold(labels: DataFrame, floor: float = 0.9) -> DataFrame:
     """Human majority; rows without human labels take a model label of at least `floor` confidence."""
     human = human_majority(labels)
-    model = model_labels(labels, floor).select("row_id", F.col("llm_label").alias("label")).join(human.select("row_id"), "row_id", "left_anti")
+    model = model_labels(labels, floor).select(*ITEM, F.col("llm_label").alias("label")).join(human.select(*ITEM), ITEM, "left_anti")
     return human.withColumn("gold_source", F.lit("human")).unionByName(model.withColumn("gold_source", F.lit("llm")))
 
 
@@ -52,27 +54,28 @@ def pair_counts(labels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def agreement(labels: DataFrame) -> DataFrame:
-    """Agreement between annotators on the same row, and between human majority and model."""
-    counted = pair_counts(labels, ["row_id"]).agg(F.sum("n_agree").alias("agree"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_double_labelled"))
-    model = model_labels(labels).join(human_majority(labels), "row_id").agg(
+    """Per task: agreement between annotators on the same row, and between human majority and model; one row per task with labels."""
+    counted = pair_counts(labels, ITEM).groupBy("task_id").agg(F.sum("n_agree").alias("agree"), F.sum("n_pairs").alias("n_double_labelled"))
+    model = model_labels(labels).join(human_majority(labels), ITEM).groupBy("task_id").agg(
         F.avg((F.col("label") == F.col("llm_label")).cast("double")).alias("human_llm_agreement")
     )
-    return counted.select(
+    return labels.select("task_id").distinct().join(counted, "task_id", "left").join(model, "task_id", "left").select(
+        "task_id",
         F.try_divide(F.col("agree").cast("double"), F.col("n_double_labelled").cast("double")).alias("human_human_agreement"),
-        "n_double_labelled",
-        model.scalar().alias("human_llm_agreement"),
+        F.coalesce("n_double_labelled", F.lit(0)).alias("n_double_labelled"),
+        "human_llm_agreement",
     )
 
 
-def queue(rows: DataFrame, labels: DataFrame, annotator: str, limit: int = 25) -> DataFrame:
-    """What `annotator` should label next: fewest human labels, then the least certain model label.
+def queue(rows: DataFrame, labels: DataFrame, task: str, annotator: str, limit: int = 25) -> DataFrame:
+    """What `annotator` should label next in `task`: fewest human labels, then the least certain model label.
 
     One aggregate over the labels answers all three questions (mine, model's, how many); rows
     without a model label count as least certain, and a hash breaks ties the same way each run.
     """
     human = F.col("source") == "human"
     newest = F.max_by(F.struct("label", "confidence", "rationale"), F.when(~human, F.struct(*NEWEST)))
-    per_row = labels.groupBy("row_id").agg(
+    per_row = labels.filter(F.col("task_id") == task).groupBy("row_id").agg(
         F.count_if(human).alias("n_human"),
         F.coalesce(F.bool_or(human & (F.col("annotator") == annotator)), F.lit(False)).alias("mine"),
         F.bool_or(~human).alias("has_model"),
@@ -93,21 +96,23 @@ def queue(rows: DataFrame, labels: DataFrame, annotator: str, limit: int = 25) -
 
 
 def progress(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per task: rows of its dataset, and how many of them people and models have labelled."""
     human, model = F.col("source") == "human", F.col("source") == "llm"
-    return labels.agg(
+    return labels.groupBy("task_id").agg(
         F.count_distinct(F.when(human, F.col("row_id"))).alias("n_human_rows"),
         F.count_distinct(F.when(model, F.col("row_id"))).alias("n_llm_rows"),
         F.count_distinct(F.when(human, F.col("annotator"))).alias("n_annotators"),
-    ).select(rows.agg(F.count(F.lit(1))).scalar().alias("n_rows"), "n_human_rows", "n_llm_rows", "n_annotators")
+    ).select("task_id", rows.agg(F.count(F.lit(1))).scalar().alias("n_rows"), "n_human_rows", "n_llm_rows", "n_annotators")
 
 
 def distribution(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
+    return labels.groupBy("task_id", "label", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
 def validate(labels: DataFrame, tasks: DataFrame, space: str = "label_space") -> DataFrame:
     """Adds `accepted`: the label is in the label space (a JSON array) of its task."""
     t = tasks.select("task_id", F.from_json(space, "array<string>").alias("_space"))
+    # tasks are few and labels crowd on some of them; Spark broadcasts the side while it is small and splits hot tasks beyond
     return labels.join(t, "task_id", "left").withColumn(
         "accepted", F.coalesce(F.array_contains("_space", F.col("label")), F.lit(False))
     ).drop("_space")

@@ -6,6 +6,7 @@ those of other engines with the same numbers.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
@@ -285,7 +286,23 @@ def grid(search: dict[str, list[Any]], trials: int) -> list[dict[str, Any]]:
             axes[name] = sorted({round(v) for v in values}) if all(isinstance(v, int) for v in given) else values
         else:
             axes[name] = given
-    return [dict(zip(axes, combo)) for combo in product(*axes.values())][: max(1, trials)]
+    return _spread([dict(zip(axes, combo)) for combo in product(*axes.values())], max(1, trials))
+
+
+def _spread(settings: list[dict], most: int) -> list[dict]:
+    """`most` of the settings, in their order: each next one has the most values not tried yet, a hash deciding between equals."""
+    if len(settings) <= most:
+        return settings
+    tried: set[tuple[str, str]] = set()
+    values = [{(k, repr(v)) for k, v in s.items()} for s in settings]
+    left = sorted(range(len(settings)), key=lambda i: hashlib.sha256(repr(settings[i]).encode()).hexdigest())
+    picked = []
+    for _ in range(most):
+        best = max(left, key=lambda i: len(values[i] - tried))
+        left.remove(best)
+        tried |= values[best]
+        picked.append(best)
+    return [settings[i] for i in sorted(picked)]
 
 
 def train(data: DataFrame, cfg: TrainConfig, gold: DataFrame | None = None) -> Trained:

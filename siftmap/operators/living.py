@@ -11,10 +11,11 @@ from siftmap.functions.vectors import interval_z
 
 
 def yearly(clusters: DataFrame, years: DataFrame, first: int = 2005, last: int | None = None, year: str = "year") -> DataFrame:
-    top = F.lit(last) if last else F.year(F.current_date())
+    """Documents per cluster and year, from `first` to `last`, or to the newest year there is."""
+    within = F.col("_y") >= first if last is None else F.col("_y").between(first, last)
     return (
         clusters.select("doc_id", "cluster_id").join(years.select("doc_id", F.col(year).alias("_y")), "doc_id")
-        .filter(F.col("_y").isNotNull() & F.col("_y").between(F.lit(first), top))
+        .filter(F.col("_y").isNotNull() & within)
         .groupBy("cluster_id", F.make_date("_y", F.lit(1), F.lit(1)).alias("yr"))
         .agg(F.count(F.lit(1)).alias("n_docs"))
     )

@@ -32,6 +32,8 @@ def _matrix(col) -> np.ndarray:
     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     if len(col) == 0:
         return np.zeros((0, 0))
+    if len(set(col.value_lengths().to_pylist())) > 1:
+        raise ValueError("vectors of different lengths")
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return _unit(flat.reshape(len(col), -1))
 
@@ -68,6 +70,11 @@ def _best_rows(qid: list, best: list, names: list[str], a_type: pa.DataType, b_t
         yield pa.RecordBatch.from_arrays([pa.array(a, a_type), pa.array(b, b_type), pa.array(c, pa.float64())], names)
 
 
+def _present(df: DataFrame) -> DataFrame:
+    """Rows with a vector."""
+    return df.filter(F.col("vec").isNotNull())
+
+
 def _search_from_few(few, many: DataFrame, few_type: str, k: int) -> DataFrame:
     """Few query rows, many base rows: every task keeps its own best k per query."""
     shared = many.sparkSession.sparkContext.broadcast(few)
@@ -158,6 +165,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int, max_bytes: int = BROADCAST_BYTES
     Both have columns `id` and `vec`. The smaller side is broadcast when it is proven to fit;
     otherwise both are cut into a grid. No step emits all pairs.
     """
+    a, b = _present(a), _present(b)
     few = _small(a, max_bytes)
     if few is not None:
         best = _search_from_few(few, b, dict(a.dtypes)["id"], k)
@@ -173,7 +181,7 @@ def nearest(a: DataFrame, b: DataFrame, k: int, max_bytes: int = BROADCAST_BYTES
 
 def assign(vectors: DataFrame, centroids: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, cluster_id, dist_to_centroid. With centroids that fit in a task this is a map step."""
-    v = vectors.select(F.col("doc_id").alias("id"), F.col("embedding").alias("vec"))
+    v = _present(vectors.select(F.col("doc_id").alias("id"), F.col("embedding").alias("vec")))
     c = centroids.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vec"))
     few = _small(c, max_bytes)
     best = _search_into_few(v, few, dict(c.dtypes)["id"], 1) if few is not None else nearest(v, c, 1, max_bytes)
@@ -231,26 +239,33 @@ def retrieve(topics: DataFrame, base: DataFrame, corpus: DataFrame, k: int, over
     )
 
 
-def search_cells(queries: DataFrame, celled: DataFrame, centroids: DataFrame, k: int, probes: int) -> DataFrame:
+def search_cells(queries: DataFrame, celled: DataFrame, centroids: DataFrame, k: int, probes: int, slice_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Approximate search: only vectors in the `probes` cells nearest to a query are compared.
-    With more queries than fit in a task the exact search answers instead.
 
     `celled` has doc_id, embedding and cell; written with partitionBy("cell"), cells nobody
-    probes are not even read. A hot cell is spread over as many tasks as it has files.
+    probes are not even read. A hot cell is spread over as many tasks as it has files. Queries are
+    sent to the tasks in slices of at most `slice_bytes`; more of them take more passes, with the same answer.
     """
-    q = queries.select(F.col("topic_id").alias("id"), F.col("embedding").alias("vec"))
-    few = _small(q, BROADCAST_BYTES)
-    if few is None:
-        base = celled.select(F.col("doc_id").alias("id"), F.col("embedding").alias("vec"))
-        exact = nearest(q, base, k)
-        return exact.select(F.col("a_id").alias("topic_id"), F.col("b_id").alias("doc_id"), "distance", "rn")
+    q = queries.select(F.col("topic_id").alias("id"), F.col("embedding").alias("vec")).filter(F.col("vec").isNotNull())
+    n, dim = q.agg(F.count(F.lit(1)), F.max(F.size("vec"))).head()
+    slices = max(1, -(-n * ((dim or 0) * 8 + 32) // slice_bytes))
+    part = F.pmod(F.xxhash64("id"), F.lit(slices))
+    found = [_search_slice(q.filter(part == i) if slices > 1 else q, celled, centroids, k, probes, dict(queries.dtypes)["topic_id"]) for i in range(slices)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
+
+
+def _search_slice(q: DataFrame, celled: DataFrame, centroids: DataFrame, k: int, probes: int, id_type: str) -> DataFrame:
+    few = _small(q, 4 * BROADCAST_BYTES)  # a slice by hash may be somewhat larger than the mean
     c = centroids.select(F.col("cluster_id").alias("id"), F.col("centroid").alias("vec"))
     probed = {}
     for r in nearest(q, c, probes).collect():
         probed.setdefault(r["b_id"], set()).add(r["a_id"])
     by_cell = {cell: [i for i, t in enumerate(few[0]) if t in who] for cell, who in probed.items()}
-    shared = queries.sparkSession.sparkContext.broadcast((*few, by_cell))
-    types = dict(queries.dtypes)["topic_id"], dict(celled.dtypes)["doc_id"]
+    shared = q.sparkSession.sparkContext.broadcast((*few, by_cell))
+    types = id_type, dict(celled.dtypes)["doc_id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q_, q_type, wanted = shared.value

@@ -32,59 +32,66 @@ def drain(query) -> None:
         raise query.exception()
 
 
-def ingest(decisions: DataFrame, types: list[str], out: str, checkpoint: str, delay: str = "1 day") -> None:
-    """Append accepted decisions, each id once.
+def ingest(decisions: DataFrame, types: list[str], out: str, checkpoint: str) -> None:
+    """Append accepted decisions, each id once, however late they come.
 
-    Duplicates are recognised within `delay` of each other, which bounds the state kept.
+    What has been stored is the memory: a batch is joined against the ids of earlier batches, so nothing has to be forgotten
+    and no state grows in the executors. A repeated batch overwrites its own folder.
     """
     good = validate_decisions(decisions, types).filter(F.col("rejected_because").isNull()).drop("rejected_because")
-    once = good.withWatermark("decided_at", delay).dropDuplicatesWithinWatermark(["decision_id"])
-    drain(
-        once.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+    spark = decisions.sparkSession
+    spark.createDataFrame([], good.schema).write.mode("ignore").parquet(f"{out}/batch=-1")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        before = spark.read.schema("decision_id string, batch bigint").parquet(out).filter(F.col("batch") < batch_id)
+        new = batch.dropDuplicates(["decision_id"]).join(before.select("decision_id"), "decision_id", "left_anti")
+        new.select(*batch.columns).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    drain(good.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def latest_per_document(decisions: DataFrame, out: str, checkpoint: str) -> None:
-    """The current decision of each document; every batch writes the documents it changed.
+    """The newest decision of each document within each batch; `current` merges the batches, `compact` their files.
 
-    Read with `current`. A repeated batch overwrites its own folder, so retries leave no copies.
+    Batches are summed up on their own, so no state is kept. A repeated batch overwrites its own folder, so retries leave no copies.
     """
-    latest = decisions.filter(F.col("decision_type").like("screen_%")).groupBy("doc_id").agg(
-        F.max_by(F.struct("decision_type", "decided_at", "decision_id"), F.struct("decided_at", "decision_id")).alias("s")
-    ).select("doc_id", "s.*")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        newest = F.max_by(F.struct("decision_type", "decided_at", "decision_id"), F.struct("decided_at", "decision_id"))
+        latest = batch.filter(F.col("decision_type").like("screen_%")).groupBy("doc_id").agg(newest.alias("s")).select("doc_id", "s.*")
+        latest.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    drain(decisions.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+LATEST = "doc_id string, decision_type string, decided_at timestamp, decision_id string"
 
-    drain(
-        latest.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
-        .outputMode("update").trigger(availableNow=True).start()
-    )
+
+def compact(spark: SparkSession, out: str, to: str) -> None:
+    """One row per document of all batches of `out`, written to the fresh folder `to` as its first batch."""
+    rows = spark.read.schema(f"{LATEST}, batch bigint").parquet(out)
+    newest = F.max_by(F.struct("decision_type", "decided_at", "decision_id"), F.struct("decided_at", "decision_id"))
+    rows.groupBy("doc_id").agg(newest.alias("s")).select("doc_id", "s.*").write.parquet(f"{to}/batch=-1")
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
-    schema = "doc_id string, decision_type string, decided_at timestamp, decision_id string, batch bigint"
-    rows = spark.read.schema(schema).parquet(out)
-    return rows.groupBy("doc_id").agg(
-        F.max_by("decision_type", F.struct("batch", "decided_at", "decision_id")).alias("human_decision")
-    )
+    rows = spark.read.schema(f"{LATEST}, batch bigint").parquet(out)
+    return rows.groupBy("doc_id").agg(F.max_by("decision_type", F.struct("decided_at", "decision_id")).alias("human_decision"))
 
 
-def daily_counts(decisions: DataFrame, out: str, checkpoint: str, delay: str = "1 day", every: str = "1 day") -> None:
-    """Decisions per day, document and kind, written once the day is closed.
+def daily_counts(decisions: DataFrame, out: str, checkpoint: str) -> None:
+    """Decisions per day, document and kind of each batch; the batches add up, so late rows count and no day has to be closed.
 
     Counting comes first and scores join later, in `daily_report`: a document that holds a third
     of a day's decisions is combined map-side here and is one row per kind there.
     """
-    per_day = decisions.withWatermark("decided_at", delay).groupBy(F.window("decided_at", every), "doc_id", "decision_type").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    drain(
-        per_day.select(F.col("window.start").alias("day"), "doc_id", "decision_type", "n")
-        .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        day = utc_date("decided_at").alias("day")
+        counts = batch.groupBy(day, "doc_id", "decision_type").agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    drain(decisions.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def daily_report(counts: DataFrame, scores: DataFrame) -> DataFrame:

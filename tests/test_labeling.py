@@ -21,8 +21,22 @@ def test_gold_rules(spark, rows):
         ("b", "x", "llm", "m", 0.9), ("c", "x", "llm", "m", 0.89),
         ("d", "x", "llm", "m", 0.95), ("d", "y", "llm", "m", 0.95),  # the newest model label
     ])
-    assert rows(op.gold(labels)) == [("a", "x", "human"), ("b", "x", "llm"), ("d", "y", "llm")]
-    assert rows(op.gold(labels, floor=2.0)) == [("a", "x", "human")]
+    assert rows(op.gold(labels)) == [("t", "a", "x", "human"), ("t", "b", "x", "llm"), ("t", "d", "y", "llm")]
+    assert rows(op.gold(labels, floor=2.0)) == [("t", "a", "x", "human")]
+
+
+def test_tasks_on_the_same_row_stay_apart(spark, rows):
+    data = [("1", "t1", "a", "relevant", "human", "A"), ("2", "t1", "a", "relevant", "human", "B"), ("3", "t2", "a", "flood", "human", "A"),
+            ("4", "t2", "a", "flood", "llm", "m"), ("5", "t1", "a", "other", "llm", "m"), ("6", "t3", "b", "x", "llm", "m")]
+    labels = spark.createDataFrame([(i, t, r, lab, s, who, 0.95, None, int(i)) for i, t, r, lab, s, who in data], SCHEMA)
+    assert rows(op.gold(labels)) == [("t1", "a", "relevant", "human"), ("t2", "a", "flood", "human"), ("t3", "b", "x", "llm")]
+    assert rows(op.agreement(labels)) == [("t1", 1.0, 1, 0.0), ("t2", None, 0, 1.0), ("t3", None, 0, None)]
+    assert rows(op.model_labels(labels), "task_id", "llm_label") == [("t1", "other"), ("t2", "flood"), ("t3", "x")]
+    assert rows(op.distribution(labels))[0] == ("t1", "other", "llm", 1)
+    items = spark.createDataFrame([("a",), ("b",), ("c",)], "row_id string")
+    assert rows(op.progress(items, labels)) == [("t1", 3, 1, 1, 2), ("t2", 3, 1, 1, 1), ("t3", 3, 0, 1, 0)]
+    assert [r.row_id for r in op.queue(items, labels, "t2", "B").orderBy("row_id").collect()] == ["a", "b", "c"]
+    assert [r.row_id for r in op.queue(items, labels, "t1", "B").orderBy("row_id").collect()] == ["b", "c"]
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -57,11 +71,11 @@ def test_queue_order(spark):
     labels = frame(spark, [
         ("a", "x", "human", "me", 1.0), ("b", "x", "human", "other", 1.0), ("c", "x", "llm", "m", 0.9), ("d", "x", "llm", "m", 0.55),
     ])
-    got = op.queue(rows_, labels, "me").collect()
+    got = op.queue(rows_, labels, "t", "me").collect()
     # mine is gone; no model label counts as least certain; rows with human labels come last
     assert [r.row_id for r in got] == ["e", "d", "c", "b"]
     assert got[0].llm_label is None and got[1].llm_conf == 0.55 and got[3].n_human_labels == 1
-    assert op.queue(rows_, labels, "me", limit=2).count() == 2
+    assert op.queue(rows_, labels, "t", "me", limit=2).count() == 2
 
 
 def test_validate(spark, rows):

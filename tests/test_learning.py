@@ -84,6 +84,11 @@ def test_clusters_components_and_anomalies(data):
     assert 10 <= odd.filter("is_anomaly").count() <= 30
 
 
+def test_grid_tries_every_candidate():
+    found = op.grid({"l1_reg": [1, 2, 3], "l2_reg": [4, 5, 6]}, 4)
+    assert len(found) == 4 and {f["l1_reg"] for f in found} == {1, 2, 3} and {f["l2_reg"] for f in found} == {4, 5, 6}
+
+
 def test_grid():
     assert op.grid({"l2_reg": [0.01, 1.0]}, 3) == [{"l2_reg": pytest.approx(v)} for v in (0.01, 0.1, 1.0)]
     assert op.grid({"subsample": [0.5, 1.0]}, 3) == [{"subsample": 0.5}, {"subsample": 0.75}, {"subsample": 1.0}]
