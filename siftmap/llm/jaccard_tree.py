@@ -2,9 +2,9 @@
 
 Two texts link when their sets of word n-grams have a Jaccard similarity of at least percent/100. No link is lost:
 
-1. Each set is cut by hash into parts, more parts than two linked sets can differ in; so linked sets agree on a whole part.
-   Parts agreed on give candidate families; a part that agrees holds several n-grams, so a line shared by many texts
-   forms no family.
+1. Each set is cut by hash into parts, more parts than two linked sets can differ in; so linked sets agree on several whole parts.
+   Parts agreed on give candidate families. N-grams that very many texts hold are left out of the parts, as long as enough is
+   left; so a passage or line shared by many texts forms no family.
 2. A family is cut, in order of set size, into blocks of bounded numbers of texts and n-grams. Each pair of blocks whose
    size ranges allow a link is one task group: a signature tree over each block holds OR-combined token bitmaps and size
    ranges, a dual traversal drops node pairs whose largest possible overlap is too small, and exact overlaps decide the rest.
@@ -34,9 +34,12 @@ BLOCK_TEXTS = 256
 BLOCK_GRAMS = 1 << 18
 #: Set sizes from 1.4^k on share the number of parts.
 BAND = 1.4
-#: So many parts beyond the needed number; empty parts count as agreeing only for sets with more empty ones.
-SPARE = 3
+#: Parts with fewer n-grams than this say little: if a set has more of them than spare parts, it looks by its full parts too.
+FEW = 2
 BITS = 4096
+#: Hash classes in which n-grams are counted to tell common ones.
+COUNTERS = 1 << 21
+TILES = "array<struct<fam bigint, i bigint, j bigint, side int>>"
 LEAF = 8
 FAN = 4
 
@@ -61,8 +64,13 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.nda
         yield chunk.first, grams, np.searchsorted(rows, np.arange(texts + 1))
 
 
-def _bands(n: int, percent: int) -> list[tuple[int, int]]:
-    """(band, parts) under which a set of n looks for partners: the bands that the smaller set of a link may be in."""
+def _bands(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(band, parts, spare) under which a set of n looks for partners: the bands that the smaller set of a link may be in.
+
+    Linked sets differ in at most parts - spare - 1 parts, with or without common n-grams. So they agree on more than `spare`
+    parts: on one with enough n-grams, or both have more than `spare` parts with few and look by their full parts too; there
+    again they agree on one that is not empty, or both have more than `spare` empty ones and look by all.
+    """
     out = []
     k = 0
     low = 1
@@ -70,29 +78,69 @@ def _bands(n: int, percent: int) -> list[tuple[int, int]]:
         high = max(low + 1, int(np.ceil(BAND ** (k + 1))))
         if high - 1 >= -(-n * percent // 100):
             differ = (high - 1) * (100 - percent) // percent
-            out.append((k, differ + 1 + (SPARE if differ else 0)))
+            spare = 3 + -(-differ // 10) if differ else 0
+            out.append((k, differ + 1 + spare, spare))
         low, k = high, k + 1
     return out
 
 
-def _parts(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of the parts of one set."""
+def _parts(grams: np.ndarray, common: np.ndarray | None, percent: int) -> np.ndarray:
+    """Signatures of the parts of one set: without common n-grams, and of the full set where that leaves too few."""
     out = []
-    place = mix(grams ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(16)
-    for band, parts in _bands(len(grams), percent):
-        part = (place % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        filled, first = np.unique(part[order], return_index=True)
-        total = np.add.reduceat(mix(grams[order]), first)
-        spare = SPARE if parts > 1 else 0
-        if parts - len(filled) > spare:
-            empty = np.setdiff1d(np.arange(parts), filled)
-            filled = np.concatenate([filled, empty])
-            total = np.concatenate([total, np.zeros(len(empty), np.uint64)])
-        out.append(mix(total + mix(filled.astype(np.uint64) + np.uint64(band << 40) + np.uint64(1))))
+    hashed = mix(grams ^ np.uint64(0x5851F42D4C957F2D))
+    place, mixed = hashed >> np.uint64(16), mix(grams)
+    light = np.ones(len(grams), bool) if common is None else ~common[(hashed % np.uint64(len(common))).astype(np.int64)]
+    for band, parts, spare in _bands(len(grams), percent):
+
+        def view(place, mixed, salt):
+            part = (place % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            size = np.bincount(part, minlength=parts)
+            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
+            end = np.cumsum(size)
+            return size, mix(running[end] - running[end - size] + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 40) + np.uint64(salt << 56)))
+
+        size, total = view(place[light], mixed[light], 1)
+        strong = size >= FEW
+        out.append(total[strong] if parts > 1 else total[:0])
+        if parts == 1 or parts - strong.sum() > spare:
+            size, total = view(place, mixed, 2)
+            out.append(total[size > 0] if parts - (size > 0).sum() <= spare else total)
     return np.concatenate(out).view(np.int64)
 
 
+def common_grams(docs: DataFrame, size: int = SIZE, counters: int = COUNTERS) -> np.ndarray:
+    """Which of `counters` hash classes hold n-grams of very many texts: far above the mean of a count over all documents.
+
+    The counts are added up by Spark in pieces; their number is fixed. What is called common changes the work, never the links.
+    """
+    step = 1 << 15
+
+    def count(batches):
+        total = np.zeros(counters, np.int64)
+        for batch in batches:
+            for _, grams, _ in _sets(batch.column(0), size):
+                total += np.bincount((mix(grams ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(counters)).astype(np.int64), minlength=counters)
+        for k in range(0, counters, step):
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int64()), "counts": pa.array([total[k:k + step].astype("<i8").tobytes()], pa.binary())})
+
+    def add(batches):
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own[k] = own.get(k, 0) + np.frombuffer(c, "<i8")
+        for k, c in own.items():
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int64()), "counts": pa.array([c.tobytes()], pa.binary())})
+
+    pieces = docs.select("text").mapInArrow(count, "piece bigint, counts binary")
+    rows = pieces.repartition(16, "piece").mapInArrow(add, "piece bigint, counts binary").toArrow()
+    total = np.zeros(counters, np.int64)
+    for k, c in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+        total[k:k + step] = np.frombuffer(c, "<i8")
+    mean = total.mean()
+    return total > 64 + mean + 12 * np.sqrt(mean)
+
+
 def _signature(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each set."""
     out = []
@@ -103,10 +151,13 @@ def _signature(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def sketches(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def sketches(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, common: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_shingles, sig (128 bits of the set; null if empty), key (64 of them), parts (null for a set repeated in the batch)."""
 
+    packed = None if common is None else np.packbits(common)
+
     def run(batches):
+        often = None if packed is None else np.unpackbits(packed).view(bool)
         for batch in batches:
             n = len(batch)
             counts = np.zeros(n, np.int64)
@@ -123,7 +174,7 @@ def sketches(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
                         keys[i] = int(low[k:k + 1].view(np.int64)[0])
                         if sigs[i] not in seen:
                             seen.add(sigs[i])
-                            parts[i] = _parts(own, percent)
+                            parts[i] = _parts(own, often, percent)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), pa.array(parts, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "sig", "key", "parts"],
@@ -133,20 +184,20 @@ def sketches(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
 
 
 def _with_sets(docs: DataFrame, size: int) -> DataFrame:
-    """fam, block and sig of each row and its n-grams, where they have that sig: ids may be null or repeat with other texts."""
+    """Tiles and sig of each row and its n-grams, where they have that sig: ids may be null or repeat with other texts."""
 
     def run(batches):
         for batch in batches:
             lists, right = [], []
-            want = batch.column(3)
+            want = batch.column(1)
             for first, grams, bounds in _sets(batch.column(0), size):
                 low, high = _signature(grams, bounds)
                 right += [want[first + k].as_py() == high[k].tobytes() + low[k].tobytes() for k in range(len(low))]
                 lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(grams.view(np.int64))))
             grams = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], grams], ["fam", "block", "sig", "grams"]).filter(pa.array(right, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], grams], ["sig", "tiles", "grams"]).filter(pa.array(right, pa.bool_()))
 
-    return docs.select("text", "fam", "block", "sig").mapInArrow(run, "fam bigint, block bigint, sig binary, grams array<bigint>")
+    return docs.select("text", "sig", "tiles").mapInArrow(run, f"sig binary, tiles {TILES}, grams array<bigint>")
 
 
 class _Tree:
@@ -306,22 +357,23 @@ def links(docs: DataFrame, sketch: DataFrame, size: int = SIZE, percent: int = P
         .withColumn("block", F.greatest(F.floor((F.row_number().over(rank) - 1) / BLOCK_TEXTS), F.floor((F.sum("n_shingles").over(rank) - F.col("n_shingles")) / BLOCK_GRAMS)))
     )
     members = stored(members, "members")
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(members, F.col("id").eqNullSafe(F.col("doc_id")))
-    sets = _with_sets(rows, size)
     blocks = members.groupBy("fam", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     a, b = blocks.alias("a"), blocks.alias("b")
     pairs = a.join(b, (F.col("a.fam") == F.col("b.fam")) & (F.col("a.block") <= F.col("b.block")) & (F.col("a.high") * 100 >= F.col("b.low") * percent)).select(
         F.col("a.fam").alias("fam"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
     sides = pairs.select("fam", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionAll(
         pairs.where("i < j").select("fam", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
-    tiles = sets.join(sides, ["fam", "block"]).select("fam", "i", "j", "side", "sig", "grams")
-    return tiles.groupBy("fam", "i", "j").applyInArrow(_tile(percent), "a binary, b binary")
+    tiles = sides.groupBy("fam", "block").agg(F.collect_list(F.struct("fam", "i", "j", "side")).alias("tiles"))
+    placed = members.join(tiles, ["fam", "block"]).select("doc_id", "sig", "tiles")
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(placed, F.col("id").eqNullSafe(F.col("doc_id")))
+    dealt = _with_sets(rows, size).select("sig", "grams", F.inline("tiles"))
+    return dealt.groupBy("fam", "i", "j").applyInArrow(_tile(percent), "a binary, b binary")
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per row of `docs` (doc_id, text; further columns are left alone): doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
-    sketch = stored(sketches(docs, size, percent), "sketch")
+    sketch = stored(sketches(docs, size, percent, common_grams(docs, size)), "sketch")
     tied = components(links(docs, sketch, size, percent), "a", "b")
     classes = sketch.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     named = classes.join(tied, F.col("sig") == F.col("node"), "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
