@@ -26,10 +26,12 @@ from siftmap.llm.graph import stored
 from siftmap.llm.wordhash import ALNUM, Chunk, Words, chunks, heads, mix, shingles, words
 
 MAX_ROWS = 16_000
-MAX_FEATURES = 1 << 15
+MAX_FEATURES = 3000
 MIN_DOCS = 4
+#: Standard errors by which a feature's share of toxic texts differs from the overall one; fewer are left out as chance.
+LEAST_Z = 2.2
 PENALTY = 4.0
-RIDGE = 0.3
+RIDGE = 0.5
 STEPS = 300
 #: Bytes of the beginnings of words that are features.
 HEADS = (4, 5, 6, 7, 8)
@@ -127,7 +129,7 @@ class Model:
         for chunk in chunks(pa.compute.utf8_lower(column)):
             row, f = self.held(chunk, words(chunk, ALNUM))
             z = np.bincount(row, self.weights[f], len(chunk.offsets) - 1) + self.bias
-            yield chunk.first, 1 / (1 + np.exp(-z))
+            yield chunk.first, 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def _select(sample: DataFrame, swaps: Swaps, max_features: int, min_docs: int) -> np.ndarray:
@@ -151,7 +153,7 @@ def _select(sample: DataFrame, swaps: Swaps, max_features: int, min_docs: int) -
     counts = sample.select("text", "label").mapInArrow(run, "key bigint, toxic bigint, rows bigint").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"))
     share = toxic / n
     z = F.abs(F.col("toxic") - F.col("rows") * share) / F.sqrt(F.col("rows") * share * (1 - share) + 1)
-    best = counts.where(F.col("rows") >= min_docs).orderBy(z.desc(), "key").limit(max_features).select("key").toArrow()
+    best = counts.where((F.col("rows") >= min_docs) & (z >= LEAST_Z)).orderBy(z.desc(), "key").limit(max_features).select("key").toArrow()
     return np.unique(np.concatenate([best.column("key").to_numpy().view(np.uint64), swaps.hash]))
 
 
@@ -206,7 +208,7 @@ def solve(features: list, labels: np.ndarray, gained: list, lost: list, size: in
     for t in range(1, steps + 1):
         w = theta[:-1]
         z = np.bincount(row, w[col], n) + theta[-1]
-        error = (1 / (1 + np.exp(-z)) - labels) / n
+        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels) / n
         g = np.bincount(col, error[row], size) + ridge * w / n
         if pairs:
             change = np.bincount(plus_row, w[plus], pairs) - np.bincount(minus_row, w[minus], pairs)
