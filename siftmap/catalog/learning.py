@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ def screening_data(d):
     )
 
 
-SCREEN = op.TrainConfig(name="screen", task="screening", learning_type="classification", model_type="LOGISTIC_REG")
+SCREEN = op.Recipe("classification", "LOGISTIC_REG")
+LIGHT = op.Recipe("classification", "LOGISTIC_REG", settings={"l2_reg": 0.01})
 
 
 def as_rows(spark, trained, name):
@@ -45,7 +47,7 @@ def as_rows(spark, trained, name):
 
 @query("screening_model_fit")
 def _(d):
-    m = op.train(screening_data(d), SCREEN).model.stages[-1]
+    m = op.train(screening_data(d), SCREEN).model.stages[0]
     coef = [(i, float(c)) for i, c in enumerate([m.intercept, *m.coefficients.toArray()])]
     return d.spark.createDataFrame(coef, "position int, coefficient double")
 
@@ -79,7 +81,7 @@ def _(d):
 
 @query("logreg_multiclass")
 def _(d):
-    cfg = op.TrainConfig(name="topic", task="topic", learning_type="classification", model_type="LOGISTIC_REG", label_col="cluster_id", hparams={"l2_reg": 0.01})
+    cfg = op.Recipe("classification", "LOGISTIC_REG", op.Examples(label="cluster_id"), {"l2_reg": 0.01})
     return as_rows(d.spark, op.train(examples(d), cfg), "LOGISTIC_REG")
 
 
@@ -87,7 +89,7 @@ def _(d):
 def _(d):
     out = None
     for kind in op.MODEL_TYPES["classification"]:
-        cfg = op.TrainConfig(name=kind, task="screening", learning_type="classification", model_type=kind, hparams={"l2_reg": 0.01} if kind == "LOGISTIC_REG" else {})
+        cfg = op.Recipe("classification", kind, settings={"l2_reg": 0.01} if kind == "LOGISTIC_REG" else {})
         rows = as_rows(d.spark, op.train(examples(d), cfg), kind)
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -97,7 +99,7 @@ def _(d):
 def _(d):
     out = None
     for kind in op.MODEL_TYPES["regression"]:
-        cfg = op.TrainConfig(name=kind, task="amount", learning_type="regression", model_type=kind, label_col="amount", hparams={"l2_reg": 0.001} if kind == "LINEAR_REG" else {})
+        cfg = op.Recipe("regression", kind, op.Examples(label="amount"), {"l2_reg": 0.001} if kind == "LINEAR_REG" else {})
         rows = as_rows(d.spark, op.train(examples(d), cfg), kind)
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -105,14 +107,14 @@ def _(d):
 
 @query("pca_reduce")
 def _(d):
-    cfg = op.TrainConfig(name="pca", task="reduce", learning_type="dimensionality_reduction", model_type="PCA")
+    cfg = op.Recipe("dimensionality_reduction", "PCA")
     m = op.train(examples(d), cfg).model
     return m.transform(op.features(d.embeddings(), ["embedding"])).select("doc_id", op.vector_to_array("reduced").alias("reduced"))
 
 
 @query("anomaly_score")
 def _(d):
-    cfg = op.TrainConfig(name="odd", task="odd", learning_type="anomaly_detection", model_type="AUTOENCODER")
+    cfg = op.Recipe("anomaly_detection", "AUTOENCODER")
     m = op.train(examples(d), cfg).model
     scored = op.reconstruction_error(m.transform(op.features(d.embeddings(), ["embedding"])))
     return op.anomalies(scored).select("doc_id", "anomaly", "is_anomaly")
@@ -127,15 +129,26 @@ def _(d):
 
 @query("train_config_run")
 def _(d):
-    """One run end to end, as the registry rows it would append."""
-    cfg = op.TrainConfig(name="screen", task="screening", learning_type="classification", model_type="LOGISTIC_REG", hparams={"l2_reg": 0.01})
-    t = op.train(examples(d), cfg)
-    path = new_path(d.spark, "model")
+    """One run end to end: the model is saved, and run, model and evaluation rows are appended to a registry and read back."""
+    started = datetime.now(timezone.utc)
+    t = op.train(examples(d), LIGHT)
+    path, root = new_path(d.spark, "model"), new_path(d.spark, "registry")
     t.model.save(path)
-    return d.spark.createDataFrame(
-        [(cfg.name, cfg.task, cfg.learning_type, cfg.model_type, json.dumps(t.metrics), t.passed, json.dumps(t.checks))],
-        "name string, task string, learning_type string, model_type string, metrics_json string, passed boolean, checks_json string",
-    )
+    rows = op.run_rows(d.spark, LIGHT, t, "run-1", "screening", path, started, datetime.now(timezone.utc))
+    for name, frame in zip(("runs", "models", "evaluations"), rows):
+        frame.write.mode("append").parquet(f"{root}/{name}")
+    runs, models, evaluations = (d.spark.read.schema(f.schema).parquet(f"{root}/{n}") for n, f in zip(("runs", "models", "evaluations"), rows))
+    return registry.check_gates(evaluations, op.GATES["classification"]).join(models, "model_id").join(runs.drop("learning_type"), "run_id").select(
+        "run_id", "model_id", "task", "learning_type", "status", "config_json", "metrics_json", "passed")
+
+
+@query("evidence_type_model")
+def _(d):
+    """Evidence types are text: a model of several classes, its metrics on the test split and how many labels it names."""
+    data = datasets.evidence_type(d.corpus(), d.embeddings()).withColumn("split", split_of(F.col("row_id")))
+    t = op.train(data, op.Recipe("classification", "LOGISTIC_REG", settings={"l2_reg": 0.01}))
+    named = t.model.transform(op.features(data, ["embedding"])).groupBy("predicted_label").agg(F.count(F.lit(1)).alias("n"))
+    return named.withColumn("recall", F.lit(t.metrics["recall"]))
 
 
 @query("training_data_select", """SELECT vec_id::VARCHAR AS row_id, g.label, round(list_sum(embedding::DOUBLE[]), 4) AS vec_sum FROM embeddings JOIN gold g ON g.task_id = 'task_1' AND g.row_id = vec_id::VARCHAR
@@ -148,16 +161,14 @@ def _(d):
 
 @query("hparam_search")
 def _(d):
-    cfg = op.TrainConfig(
-        name="tuned", task="screening", learning_type="classification", model_type="LOGISTIC_REG", search={"l2_reg": [0.001, 1.0]}, num_trials=4
-    )
+    cfg = op.Recipe("classification", "LOGISTIC_REG", candidates=op.Candidates({"l2_reg": [0.001, 1.0]}, 4))
     t = op.train(examples(d), cfg)
     return d.spark.createDataFrame([(i, json.dumps(s), float(v)) for i, (s, v) in enumerate(t.trials)], "trial_id int, hyperparameters string, objective double")
 
 
 @query("global_explain")
 def _(d):
-    cfg = op.TrainConfig(name="why", task="screening", learning_type="classification", model_type="LOGISTIC_REG", hparams={"l2_reg": 0.01})
+    cfg = LIGHT
     data = examples(d)
     return op.explain(op.train(data, cfg).model, op.features(op.training_rows(data, cfg), ["embedding"]))
 
@@ -165,7 +176,7 @@ def _(d):
 @query("predict_production")
 def _(d):
     """A model is saved, promoted to production, found through the alias, and applied."""
-    cfg = op.TrainConfig(name="prod", task="screening", learning_type="classification", model_type="LOGISTIC_REG", hparams={"l2_reg": 0.01})
+    cfg = LIGHT
     t = op.train(examples(d), cfg)
     path = new_path(d.spark, "model")
     t.model.save(path)

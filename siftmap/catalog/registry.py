@@ -59,7 +59,11 @@ def _(d):
     return d.runs().drop("sql_text").orderBy(F.desc("started_at"), "run_id").limit(50).drop("started_at")
 
 
-@query("stage_runs_recent", """SELECT run_id, learning_type AS stage, status FROM runs ORDER BY started_at DESC, run_id LIMIT 20""")
+STAGE_RUNS = """SELECT run_id, learning_type AS stage, status FROM runs ORDER BY started_at DESC, run_id LIMIT 20"""
+
+
+@query("stage_runs_recent", STAGE_RUNS)
+@query("pipeline_runs_recent", STAGE_RUNS)
 def _(d):
     return d.runs().orderBy(F.desc("started_at"), "run_id").limit(20).select("run_id", F.col("learning_type").alias("stage"), "status")
 

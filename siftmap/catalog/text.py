@@ -146,6 +146,6 @@ KEYWORDS = r"(^|[^a-z0-9_])(there|which|dans|avec|nicht|para|the[a-z0-9_]*ble)([
 
 
 @query("weak_label_keywords", f"""SELECT doc_id, CASE WHEN ('0x'||substr(md5(doc_id),1,8))::BIGINT % 5 = 0 THEN 'test' ELSE 'train' END AS split,
- regexp_matches(lower(title || ' ' || abstract), '{KEYWORDS}')::INTEGER AS label FROM corpus""")
+ regexp_matches(lower(title || ' ' || abstract), '{KEYWORDS}')::INTEGER AS label, 'keywords' AS label_origin FROM corpus""")
 def _(d):
     return weak_labels(d.corpus(), KEYWORDS)

@@ -97,22 +97,25 @@ def region_sector_plain(predictions: DataFrame, threshold: float = 0.5) -> DataF
 
 
 def ranked_counts(regions: DataFrame, value: str = "n_docs") -> DataFrame:
-    """Position, group count and total for each group count. The input is one row per region."""
-    everything = Window.orderBy(value, "region").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """Each region's place in the order of counts, with the number of regions and their total. The input is one row per region."""
+    ascending = Window.orderBy(value, "region")
+    whole = ascending.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return regions.select(
-        "region", F.col(value).alias("v"),
-        F.row_number().over(Window.orderBy(value, "region")).cast("bigint").alias("i"),
-        F.count(F.lit(1)).over(everything).alias("n"),
-        F.sum(value).over(everything).cast("bigint").alias("s"),
+        "region", F.col(value).alias("docs"), F.row_number().over(ascending).cast("bigint").alias("position"),
+        F.count(F.lit(1)).over(whole).alias("regions"), F.sum(value).over(whole).cast("bigint").alias("total"),
     )
 
 
 def gini(regions: DataFrame, value: str = "n_docs") -> DataFrame:
-    """0 = even, 1 = everything in one region; NULL when nothing is counted."""
-    top = F.sum(((2 * F.col("i") - F.col("n") - 1) * F.col("v")).cast("double"))
-    return ranked_counts(regions, value).groupBy("n", "s").agg(
-        F.round(F.try_divide(top, (F.col("n") * F.col("s")).cast("double")), 4).alias("gini_region")
-    ).select("gini_region")
+    """0 = even, 1 = everything in one region; NULL when nothing is counted.
+
+    Half the mean difference over the mean; in order of size every count enters as often as it is the larger of a pair, less
+    the times it is the smaller.
+    """
+    larger_less_smaller = F.col("position") - 1 - (F.col("regions") - F.col("position"))
+    spread = F.sum((larger_less_smaller * F.col("docs")).cast("double"))
+    most = F.max((F.col("regions") * F.col("total")).cast("double"))
+    return ranked_counts(regions, value).agg(F.round(F.try_divide(spread, most), 4).alias("gini_region"))
 
 
 def outcome_summary(outcomes: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Models with Spark ML: one configuration for every learning type, metrics and gates.
+"""Models with Spark ML: one recipe for every kind of learning, metrics and bounds.
 
 Regularisation strengths follow Spark's scaling; scores therefore resemble, but do not equal,
 those of other engines with the same numbers.
@@ -7,6 +7,7 @@ those of other engines with the same numbers.
 from __future__ import annotations
 
 import hashlib
+import json
 from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
@@ -16,7 +17,7 @@ from pyspark.ml import classification as mc
 from pyspark.ml import regression as mr
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PCA, IDF, HashingTF, Normalizer, Tokenizer, VectorAssembler
+from pyspark.ml.feature import PCA, IDF, HashingTF, IndexToString, Normalizer, StringIndexer, Tokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import TrainValidationSplit
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftmap.functions.hashing import holdout_of
 from siftmap.functions.vectors import as_double
-from siftmap.operators import vector
+from siftmap.operators import registry, vector
 from siftmap.plans.ordering import global_order
 
 # Model types per learning type, their default settings, what may be searched,
@@ -49,10 +50,20 @@ DEFAULTS: dict[str, dict[str, Any]] = {
     "PCA": {"num_principal_components": 32},
     "AUTOENCODER": {"hidden_units": [128, 32, 128]},
 }
-TUNABLE = {
-    "l1_reg", "l2_reg", "learn_rate", "max_tree_depth", "subsample", "dropout", "num_clusters",
-    "batch_size", "hidden_units", "num_parallel_tree", "min_split_loss",
+# What each model of Spark reads; another setting is refused instead of being ignored. Searches may vary all of them but the last row's.
+READS = {
+    "LOGISTIC_REG": {"l1_reg", "l2_reg", "max_iterations", "auto_class_weights"},
+    "LINEAR_REG": {"l1_reg", "l2_reg", "max_iterations"},
+    "BOOSTED_TREE_CLASSIFIER": {"max_iterations", "learn_rate", "max_tree_depth", "subsample", "min_split_loss", "auto_class_weights"},
+    "BOOSTED_TREE_REGRESSOR": {"max_iterations", "learn_rate", "max_tree_depth", "subsample", "min_split_loss"},
+    "RANDOM_FOREST_CLASSIFIER": {"num_parallel_tree", "max_tree_depth", "subsample", "min_split_loss", "auto_class_weights"},
+    "RANDOM_FOREST_REGRESSOR": {"num_parallel_tree", "max_tree_depth", "subsample", "min_split_loss"},
+    "DNN_CLASSIFIER": {"hidden_units", "max_iterations", "batch_size"},
+    "KMEANS": {"num_clusters", "distance_type"},
+    "PCA": {"num_principal_components"},
+    "AUTOENCODER": {"hidden_units"},
 }
+NOT_SEARCHED = {"max_iterations", "auto_class_weights", "distance_type", "num_principal_components"}
 GATES: dict[str, dict[str, float]] = {
     "classification": {"recall": 0.85, "roc_auc": 0.85},
     "regression": {"r2_score": 0.5},
@@ -62,62 +73,85 @@ GATES: dict[str, dict[str, float]] = {
 }
 
 
-@dataclass
-class TrainConfig:
-    name: str
-    task: str
-    learning_type: str
-    model_type: str
-    label_col: str | None = "label"
-    feature_cols: list[str] = field(default_factory=lambda: ["embedding"])
-    split_col: str | None = "split"
-    hparams: dict[str, Any] = field(default_factory=dict)
-    search: dict[str, list[Any]] = field(default_factory=dict)
-    num_trials: int = 0
-    gates: dict[str, float] = field(default_factory=dict)
+@dataclass(frozen=True)
+class Examples:
+    """Where a model's rows come from: feature columns (None: every number and vector but the others named), label and split columns."""
+
+    features: tuple[str, ...] | None = ("embedding",)
+    label: str = "label"
+    split: str = "split"
+    leave_out: tuple[str, ...] = ()
+
+    def columns(self, data: DataFrame) -> list[str]:
+        if self.features is not None:
+            return list(self.features)
+        apart = {self.label, self.split, *self.leave_out}
+        usable = ("int", "bigint", "double", "float", "smallint", "tinyint", "array<double>", "array<float>")
+        return [c for c, kind in data.dtypes if kind in usable and c not in apart]
+
+
+@dataclass(frozen=True)
+class Candidates:
+    """Values to try per setting, and how many combinations."""
+
+    values: dict[str, list[Any]]
+    trials: int
+
+
+@dataclass(frozen=True)
+class Recipe:
+    """What to fit: a kind of learning, a model of it with settings, on which examples, and the bounds its metrics must keep."""
+
+    kind: str
+    model: str
+    examples: Examples = Examples()
+    settings: dict[str, Any] = field(default_factory=dict)
+    candidates: Candidates | None = None
+    bounds: dict[str, float] = field(default_factory=dict)
     seed: int = 7
 
-    def validate(self) -> None:
-        if self.model_type not in MODEL_TYPES.get(self.learning_type, []):
-            raise ValueError(f"{self.model_type} is not a {self.learning_type} model")
-        unknown = set(self.search) - TUNABLE
-        if unknown:
-            raise ValueError(f"not tunable: {sorted(unknown)}")
-        if self.supervised and not self.label_col:
-            raise ValueError("supervised learning needs a label column")
+    def problems(self) -> list[str]:
+        """All that is wrong with it, in words."""
+        out = []
+        if self.model not in MODEL_TYPES.get(self.kind, ()):
+            out.append(f"no {self.kind} by {self.model}")
+        reads = READS.get(self.model, set())
+        out += [f"{self.model} has no setting {k}" for k in sorted(set(self.settings) - reads)]
+        if self.candidates:
+            out += [f"{k} can't be searched for {self.model}" for k in sorted(set(self.candidates.values) - (reads - NOT_SEARCHED))]
+        if self.labelled and not self.examples.label:
+            out.append(f"{self.kind} needs a label column")
+        return out
 
     @property
-    def supervised(self) -> bool:
-        return self.learning_type in ("classification", "regression")
+    def labelled(self) -> bool:
+        return self.kind in ("classification", "regression")
 
-    @property
-    def settings(self) -> dict[str, Any]:
-        return {**DEFAULTS[self.model_type], **self.hparams}
+    def complete(self) -> dict[str, Any]:
+        return DEFAULTS[self.model] | self.settings
 
 
 def weak_labels(corpus: DataFrame, pattern: str, origin: str = "keywords") -> DataFrame:
-    """A keyword label over the whole title and text, with a stable one-in-five test split."""
+    """A keyword label over the whole title and text, with a stable one-in-five test split and where the label comes from."""
     text = F.lower(F.concat_ws(" ", "title", "abstract"))
-    return corpus.select("doc_id", holdout_of(F.col("doc_id")).alias("split"), text.rlike(pattern).cast("int").alias("label"))
+    return corpus.select("doc_id", holdout_of(F.col("doc_id")).alias("split"), text.rlike(pattern).cast("int").alias("label"), F.lit(origin).alias("label_origin"))
 
 
 def training_rows(
-    data: DataFrame, cfg: TrainConfig, part: str | None = "train", gold: DataFrame | None = None, keep: tuple[str, ...] = ()
+    data: DataFrame, recipe: Recipe, part: str | None = "train", gold: DataFrame | None = None, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Features, and for supervised models the label, of one split; gold labels replace the column.
+    """Features, and where a label is learned also it, of one split; labels of a gold table (row_id, label) replace the column's.
 
     Rows without a label are left out only when the label is a column of the data.
     """
-    df = data
-    if cfg.split_col and cfg.supervised and part:
-        df = df.filter(F.col(cfg.split_col) == part)
-    cols = [*keep, *cfg.feature_cols]
-    if not cfg.supervised:
-        return df.select(*cols)
+    source = recipe.examples
+    cols = [*keep, *source.columns(data)]
+    if not recipe.labelled:
+        return data.select(*cols)
+    own = data.filter(F.col(source.split) == part) if source.split and part else data
     if gold is not None:
-        df = df.drop("label").join(gold.select("row_id", "label"), "row_id")
-        return df.select(*cols, "label")
-    return df.filter(F.col(cfg.label_col).isNotNull()).select(*cols, F.col(cfg.label_col).alias("label"))
+        return own.drop("label").join(gold.select("row_id", "label"), "row_id").select(*cols, "label")
+    return own.filter(F.col(source.label).isNotNull()).select(*cols, F.col(source.label).alias("label"))
 
 
 def features(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -135,14 +169,11 @@ def features(df: DataFrame, cols: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=parts, outputCol="features").transform(df).drop(*[p for p in parts if p.startswith("_")])
 
 
-def balanced(df: DataFrame, label: str = "label", most: int = 10_000) -> DataFrame:
-    """Adds weight = n / (classes * n_class). The counts, one per class, become literals."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(most + 1).collect()
-    if len(counts) > most:
-        raise ValueError(f"{label} has more than {most} values; it is not a class")
-    total = sum(r["n"] for r in counts)
-    pairs = [F.lit(x) for r in counts for x in (r[label], total / (len(counts) * r["n"]))]
-    return df.withColumn("weight", F.element_at(F.create_map(*pairs), F.col(label)))
+def balanced(df: DataFrame, label: str = "label") -> DataFrame:
+    """Adds weight = n / (classes * n_class), joined from a row per class."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg((F.sum("_n") / F.count(F.lit(1))).alias("w")).scalar()
+    return df.join(counts, label).withColumn("weight", total / F.col("_n")).drop("_n")
 
 
 def estimator(model_type: str, s: dict[str, Any], *, seed: int = 7, classes: int = 2, dim: int = 0, weighted: bool = False):
@@ -150,7 +181,7 @@ def estimator(model_type: str, s: dict[str, Any], *, seed: int = 7, classes: int
     w = {"weightCol": "weight"} if weighted else {}
     reg = s.get("l1_reg", 0.0) + s.get("l2_reg", 0.0)
     mix = {"regParam": reg, "elasticNetParam": s.get("l1_reg", 0.0) / reg if reg else 0.0}
-    trees = {"maxDepth": s.get("max_tree_depth", 5), "subsamplingRate": s.get("subsample", 1.0), "seed": seed}
+    trees = {"maxDepth": s.get("max_tree_depth", 5), "subsamplingRate": s.get("subsample", 1.0), "minInfoGain": s.get("min_split_loss", 0.0), "seed": seed}
     if model_type == "LOGISTIC_REG":
         return mc.LogisticRegression(maxIter=s["max_iterations"], **mix, **w)
     if model_type == "LINEAR_REG":
@@ -203,27 +234,27 @@ def binary_metrics(scored: DataFrame, p: str = "p_relevant", threshold: float =
 
 
 def classification_metrics(pred: DataFrame, classes: int) -> dict[str, float]:
-    def score(name):
-        return MulticlassClassificationEvaluator(metricName=name).evaluate(pred)
-
+    """Metrics of predictions from one count per (label, prediction); the area of two classes from one pass over the scores."""
+    cells = {(r["label"], r["prediction"]): r["n"] for r in pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(cells.values())
+    share: dict[float, list[float]] = {}
+    for c in {label for label, _ in cells}:
+        hit, said, is_ = cells.get((c, c), 0), sum(n for (_, p), n in cells.items() if p == c), sum(n for (y, _), n in cells.items() if y == c)
+        p, r = hit / said if said else 0.0, hit / is_ if is_ else 0.0
+        share[c] = [p, r, 2 * p * r / (p + r) if p + r else 0.0, is_]
     if classes > 2:
-        return {"precision": score("weightedPrecision"), "recall": score("weightedRecall"), "f1_score": score("f1"), "accuracy": score("accuracy")}
+        mean = [sum(v[k] * v[3] for v in share.values()) / total if total else 0.0 for k in range(3)]
+        return dict(zip(("precision", "recall", "f1_score"), mean)) | {"accuracy": sum(n for (y, p), n in cells.items() if y == p) / total if total else 0.0}
+    p, r, f1, _ = share.get(1.0, [0.0] * 4)
     raw = "rawPrediction" if "rawPrediction" in pred.columns else "prediction"
-    counts = pred.agg(
-        F.count_if((F.col("prediction") == 1) & (F.col("label") == 1)).alias("tp"),
-        F.count_if((F.col("prediction") == 1) & (F.col("label") == 0)).alias("fp"),
-        F.count_if((F.col("prediction") == 0) & (F.col("label") == 1)).alias("fn"),
-    ).head()
-    tp, fp, fn = counts["tp"], counts["fp"], counts["fn"]
-    precision, recall = tp / (tp + fp) if tp + fp else 0.0, tp / (tp + fn) if tp + fn else 0.0
-    f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-    auc = BinaryClassificationEvaluator(rawPredictionCol=raw).evaluate(pred)
-    return {"precision": precision, "recall": recall, "f1_score": f1, "roc_auc": auc}
+    return {"precision": p, "recall": r, "f1_score": f1, "roc_auc": BinaryClassificationEvaluator(rawPredictionCol=raw).evaluate(pred)}
 
 
 def regression_metrics(pred: DataFrame) -> dict[str, float]:
-    ev = RegressionEvaluator()
-    return {n: ev.evaluate(pred, {ev.metricName: m}) for n, m in [("r2_score", "r2"), ("mean_absolute_error", "mae"), ("mean_squared_error", "mse")]}
+    off = F.col("label") - F.col("prediction")
+    m = pred.agg(F.avg(F.abs(off)).alias("mae"), F.avg(off * off).alias("mse"), F.var_pop("label").alias("var")).head()
+    r2 = 1 - m["mse"] / m["var"] if m["var"] else 0.0
+    return {"r2_score": r2, "mean_absolute_error": m["mae"] or 0.0, "mean_squared_error": m["mse"] or 0.0}
 
 
 def kmeans_centroids(model, spark: SparkSession) -> DataFrame:
@@ -237,14 +268,20 @@ def fit_kmeans(vectors: DataFrame, k: int = 14, seed: int = 7) -> DataFrame:
     return kmeans_centroids(model, vectors.sparkSession)
 
 
-def reconstruction_error(df: DataFrame) -> DataFrame:
-    """Squared distance between a vector and its image in the principal subspace (`reduced`)."""
-    x = vector_to_array("features")
-    r = vector_to_array("reduced")
-    length = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-    kept = F.aggregate(r, F.lit(0.0), lambda a, v: a + v * v)
+def reconstruction_error(df: DataFrame, means: tuple[list[float], list[float]] | None = None) -> DataFrame:
+    """Squared distance between a vector and its image in the principal subspace (`reduced`) around the mean of the vectors.
+
+    `means` of `features` and `reduced` are those of `df` unless given.
+    """
+    if means is None:
+        m = df.agg(Summarizer.mean(F.col("features")).alias("x"), Summarizer.mean(F.col("reduced")).alias("r")).head()
+        means = [float(v) for v in m["x"].toArray()], [float(v) for v in m["r"].toArray()]
+
+    def square(column, mean):
+        return F.aggregate(F.zip_with(vector_to_array(column), F.lit(mean), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+
     # the components are orthonormal, so the lost part is what the projection does not keep
-    return df.withColumn("anomaly", F.greatest(F.lit(0.0), length - kept))
+    return df.withColumn("anomaly", F.greatest(F.lit(0.0), square("features", means[0]) - square("reduced", means[1])))
 
 
 def anomalies(df: DataFrame, score: str = "anomaly", share: float = 0.02) -> DataFrame:
@@ -258,18 +295,8 @@ class Trained:
     model: PipelineModel
     metrics: dict[str, float]
     passed: bool | None
-    checks: dict[str, bool | None]
     trials: list[tuple[dict[str, Any], float]]
-
-
-def gate(metrics: dict[str, float], gates: dict[str, float]) -> tuple[bool | None, dict[str, bool | None]]:
-    """Same rules as `registry.check_gates`, for the handful of metrics of one run."""
-    checks: dict[str, bool | None] = {}
-    for name, bound in gates.items():
-        value = metrics.get(name.removesuffix("_max"))
-        checks[name] = None if value is None else (value <= bound if name.endswith("_max") else value >= bound)
-    known = [c for c in checks.values() if c is not None]
-    return (all(known) and bool(known)) if gates else None, checks
+    labels: list[str] | None = None
 
 
 def grid(search: dict[str, list[Any]], trials: int) -> list[dict[str, Any]]:
@@ -305,64 +332,102 @@ def _spread(settings: list[dict], most: int) -> list[dict]:
     return [settings[i] for i in sorted(picked)]
 
 
-def train(data: DataFrame, cfg: TrainConfig, gold: DataFrame | None = None) -> Trained:
-    """Fit, evaluate on the test split, and check the gates."""
-    cfg.validate()
-    rows = features(training_rows(data, cfg, "train", gold), cfg.feature_cols)
-    s, classes, dim, weighted = cfg.settings, 2, 0, False
-    if cfg.learning_type == "classification":
-        rows = rows.withColumn("label", F.col("label").cast("double"))
-        shape = rows.agg(F.max("label").alias("c"), F.first(F.size(vector_to_array("features"))).alias("d")).head()
-        classes, dim = max(2, int(shape["c"]) + 1), shape["d"]
-        weighted = bool(s.get("auto_class_weights"))
-        rows = balanced(rows) if weighted else rows
-    trials: list[tuple[dict[str, Any], float]] = []
-    if cfg.num_trials and cfg.search:
-        trials, best = search(rows, cfg, classes, dim, weighted)
-        s = {**s, **best}
-    model = Pipeline(stages=[estimator(cfg.model_type, s, seed=cfg.seed, classes=classes, dim=dim, weighted=weighted)]).fit(rows)
-    metrics = evaluate(data, cfg, model, classes, gold)
-    passed, checks = gate(metrics, {**GATES[cfg.learning_type], **cfg.gates})
-    return Trained(model, metrics, passed, checks, trials)
-
-
-def evaluate(data: DataFrame, cfg: TrainConfig, model: PipelineModel, classes: int = 2, gold: DataFrame | None = None) -> dict[str, float]:
-    fitted = model.stages[-1]
-    if cfg.supervised:
-        test = features(training_rows(data, cfg, "test", gold), cfg.feature_cols).withColumn("label", F.col("label").cast("double"))
-        pred = model.transform(test)
-        return classification_metrics(pred, classes) if cfg.learning_type == "classification" else regression_metrics(pred)
-    if cfg.model_type == "KMEANS":
+def train(data: DataFrame, recipe: Recipe, gold: DataFrame | None = None) -> Trained:
+    """Fit on the train split, evaluate on the test split, and hold the metrics against the bounds.
+
+    Class labels that are text are numbered by frequency in the train split; the model then also gives `predicted_label`.
+    """
+    if problems := recipe.problems():
+        raise ValueError("; ".join(problems))
+    columns = recipe.examples.columns(data)
+    rows = features(training_rows(data, recipe, "train", gold), columns)
+    names: list[str] | None = None
+    shape: dict[str, Any] = {"classes": 2, "dim": 0, "weighted": False}
+    if recipe.kind == "classification":
+        if dict(rows.dtypes)["label"] == "string":
+            names = StringIndexer(inputCol="label", outputCol="_n", stringOrderType="frequencyDesc").fit(rows).labels
+        rows = numbered(rows, names)
+        seen = rows.agg(F.max("label").alias("c"), F.first(F.size(vector_to_array("features"))).alias("d")).head()
+        if seen["c"] is None:
+            raise ValueError("no labelled rows to train on")
+        shape |= {"classes": max(2, int(seen["c"]) + 1), "dim": seen["d"], "weighted": bool(recipe.complete().get("auto_class_weights"))}
+        rows = balanced(rows) if shape["weighted"] else rows
+    settings, trials = recipe.complete(), []
+    if recipe.candidates and recipe.candidates.trials:
+        trials, best = search(rows, recipe, shape)
+        settings |= best
+    fitted = estimator(recipe.model, settings, seed=recipe.seed, **shape).fit(rows)
+    stages = [fitted] if names is None else [fitted, IndexToString(inputCol="prediction", outputCol="predicted_label", labels=names)]
+    model = PipelineModel(stages=stages)
+    metrics = evaluate(data, recipe, model, shape["classes"], gold, names)
+    spark = data.sparkSession
+    report = spark.createDataFrame([(json.dumps(metrics),)], "metrics_json string")
+    passed = registry.check_gates(report, GATES[recipe.kind] | recipe.bounds).head()["passed"]
+    return Trained(model, metrics, passed, trials, names)
+
+
+def numbered(rows: DataFrame, names: list[str] | None) -> DataFrame:
+    """Labels as numbers; rows with a text label that the train split lacks are left out."""
+    if names is None:
+        return rows.withColumn("label", F.col("label").cast("double"))
+    place = F.array_position(F.array(*(F.lit(n) for n in names)), F.col("label"))
+    return rows.withColumn("label", F.when(place > 0, (place - 1).cast("double"))).filter(F.col("label").isNotNull())
+
+
+def evaluate(
+    data: DataFrame, recipe: Recipe, model: PipelineModel, classes: int = 2, gold: DataFrame | None = None, names: list[str] | None = None
+) -> dict[str, float]:
+    """Metrics of a fitted model, on the test split where labels are learned."""
+    fitted = model.stages[0]
+    if recipe.labelled:
+        test = features(training_rows(data, recipe, "test", gold), recipe.examples.columns(data))
+        pred = model.transform(numbered(test, names))
+        return classification_metrics(pred, classes) if recipe.kind == "classification" else regression_metrics(pred)
+    if recipe.model == "KMEANS":
         c = kmeans_centroids(fitted, data.sparkSession)
-        q = vector.cluster_quality(vector.assign(data.select("doc_id", "embedding"), c), c).head()
+        own = data.select("doc_id", F.col(recipe.examples.columns(data)[0]).alias("embedding"))
+        q = vector.cluster_quality(vector.assign(own, c), c).head()
         return {"davies_bouldin_index": q["davies_bouldin_index"], "mean_squared_distance": q["mean_squared_distance"]}
     return {"total_explained_variance_ratio": float(sum(fitted.explainedVariance))}
 
 
-def search(rows: DataFrame, cfg: TrainConfig, classes: int, dim: int, weighted: bool) -> tuple[list, dict[str, Any]]:
+def run_rows(spark: SparkSession, recipe: Recipe, trained: Trained, run_id: str, task: str, artifact: str, started_at, ended_at) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a run appends to the registry: a run, a model and an evaluation row."""
+    model_id = f"m-{run_id}"
+    spec = json.dumps({"kind": recipe.kind, "model": recipe.model, "settings": recipe.complete(), "bounds": recipe.bounds}, sort_keys=True)
+    run = spark.createDataFrame([(run_id, recipe.kind, "succeeded", spec, started_at, ended_at)],
+                                "run_id string, learning_type string, status string, config_json string, started_at timestamp, ended_at timestamp")
+    model = spark.createDataFrame([(model_id, run_id, task, recipe.kind, artifact, ended_at)],
+                                  "model_id string, run_id string, task string, learning_type string, artifact string, created_at timestamp")
+    scores = spark.createDataFrame([(f"e-{run_id}", model_id, json.dumps(trained.metrics, sort_keys=True), ended_at)],
+                                   "eval_id string, model_id string, metrics_json string, evaluated_at timestamp")
+    return run, model, scores
+
+
+def search(rows: DataFrame, recipe: Recipe, shape: dict[str, Any]) -> tuple[list, dict[str, Any]]:
     """Objective per setting on a held-out quarter, and the best setting."""
-    settings = grid(cfg.search, cfg.num_trials)
-    maps, results = [], []
-    if cfg.learning_type == "classification":
-        ev = BinaryClassificationEvaluator() if classes == 2 else MulticlassClassificationEvaluator(metricName="f1")
-    elif cfg.learning_type == "regression":
+    settings = grid(recipe.candidates.values, recipe.candidates.trials)
+    if recipe.kind == "classification":
+        ev = BinaryClassificationEvaluator() if shape["classes"] == 2 else MulticlassClassificationEvaluator(metricName="f1")
+    elif recipe.kind == "regression":
         ev = RegressionEvaluator(metricName="r2")
     else:
-        ev = ClusteringEvaluator(distanceMeasure=cfg.settings.get("distance_type", "COSINE").lower())
-    base = estimator(cfg.model_type, cfg.settings, seed=cfg.seed, classes=classes, dim=dim, weighted=weighted)
+        ev = ClusteringEvaluator(distanceMeasure=recipe.complete().get("distance_type", "COSINE").lower())
+    given = recipe.complete()
+    base = estimator(recipe.model, given, seed=recipe.seed, **shape)
+    maps = []
     for s in settings:
-        tuned = estimator(cfg.model_type, {**cfg.settings, **s}, seed=cfg.seed, classes=classes, dim=dim, weighted=weighted)
+        tuned = estimator(recipe.model, {**given, **s}, seed=recipe.seed, **shape)
         maps.append({base.getParam(p.name): v for p, v in tuned.extractParamMap().items() if tuned.isSet(p)})
-    tvs = TrainValidationSplit(estimator=base, estimatorParamMaps=maps, evaluator=ev, trainRatio=0.75, parallelism=4, seed=cfg.seed)
-    found = tvs.fit(rows)
-    results = list(zip(settings, found.validationMetrics))
+    tvs = TrainValidationSplit(estimator=base, estimatorParamMaps=maps, evaluator=ev, trainRatio=0.75, parallelism=4, seed=recipe.seed)
+    results = list(zip(settings, tvs.fit(rows).validationMetrics))
     pick = max if ev.isLargerBetter() else min
     return results, pick(results, key=lambda r: r[1])[0]
 
 
 def explain(model: PipelineModel, rows: DataFrame, top: int = 20) -> DataFrame:
     """The `top` features by importance, or by |coefficient| times the feature's deviation."""
-    fitted = model.stages[-1]
+    fitted = model.stages[0]
     if hasattr(fitted, "featureImportances"):
         weight = fitted.featureImportances.toArray()
     else:
