@@ -10,9 +10,10 @@ from siftmap.catalog.screening import predictions
 from siftmap.functions import jsontext, text
 from siftmap.operators import generate as gen
 from siftmap.operators import screening as scr
-from siftmap.operators.evidence import centroids
+from siftmap.operators.evidence import centroids, top_titles
 from siftmap.operators.learning import weak_labels
 from siftmap.operators.vector import assign
+from siftmap.session import new_path
 
 
 def js(path: str) -> str:
@@ -149,3 +150,39 @@ KEYWORDS = r"(^|[^a-z0-9_])(there|which|dans|avec|nicht|para|the[a-z0-9_]*ble)([
  regexp_matches(lower(title || ' ' || abstract), '{KEYWORDS}')::INTEGER AS label, 'keywords' AS label_origin FROM corpus""")
 def _(d):
     return weak_labels(d.corpus(), KEYWORDS)
+
+
+def in_two_runs(d, name, step, rows):
+    """A batch step which stops half way and goes on from what it has appended; its table."""
+    path = new_path(d.spark, name)
+    half = step(rows.filter("abs(xxhash64(doc_id)) % 2 = 0"))
+    half.write.mode("append").parquet(path)
+    done = d.spark.read.schema(half.schema).parquet(path)
+    step(gen.todo(rows, done)).write.mode("append").parquet(path)
+    return d.spark.read.schema(half.schema).parquet(path)
+
+
+@query("metadata_run", "SELECT doc_id, count(*) AS replies FROM corpus GROUP BY 1")
+def _(d):
+    out = in_two_runs(d, "metadata", gen.extract_metadata, d.corpus().select("doc_id", "title", "abstract"))
+    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("replies"))
+
+
+@query("outcome_run")
+def _(d):
+    return in_two_runs(d, "outcomes", gen.extract_outcomes, d.corpus().select("doc_id", "title", "abstract", "region", "sector", "hazard"))
+
+
+@query("cluster_naming_run", "SELECT cluster_id, count(*)::BIGINT AS n_docs FROM doc_clusters k JOIN corpus c ON c.doc_id = k.doc_id GROUP BY 1")
+def _(d):
+    near = assign(d.clustered(), centroids(d.clustered()))
+    return gen.label_clusters(top_titles(near, d.corpus())).filter("label IS NOT NULL").select("cluster_id", "n_docs")
+
+
+@query("prelabel_run", """SELECT t.task_id, count(*) AS n_rows FROM label_tasks t, corpus c WHERE t.task_id IN ('task_1', 'task_2') AND NOT EXISTS (
+  SELECT 1 FROM annotations a WHERE a.source = 'llm' AND a.task_id = t.task_id AND a.row_id = c.doc_id) GROUP BY 1""")
+def _(d):
+    tasks = d.label_tasks().filter("task_id IN ('task_1', 'task_2')")
+    rows = d.corpus().select(F.col("doc_id").alias("row_id"), "title", "abstract").withColumn("task_id", F.explode(F.array(F.lit("task_1"), F.lit("task_2"))))
+    out = gen.prelabel(rows, tasks, d.annotations(), {"Title": "title", "Abstract": "abstract"})
+    return out.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_rows"))

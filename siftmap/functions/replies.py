@@ -60,7 +60,8 @@ def rule_based(prompts: list[str]) -> list[str]:
             region = next((r for r in REGIONS if r.lower() in body.lower()), None)
             answer = {"region": region, "evidence_type": "impact" if region else "off_topic", "outcome_reported": False, "rationale": " ".join(body.split()[:12])}
         elif "JSON array" in head:
-            answer = []
+            found = [w for w, _ in Counter(_words(body)).most_common(1)]
+            answer = [{"action": w, "adaptation_type": w, "outcome_direction": "mixed", "effect_size": None} for w in found]
         else:
             space = re.search(r"from: ([^.]*)\. ", head)
             options = [o.strip() for o in space.group(1).split(",")] if space else ["unknown"]

@@ -448,6 +448,16 @@ def text_embedder(dim: int = 768) -> Pipeline:
     ])
 
 
+def fit_embedder(df: DataFrame, content: str, dim: int = 768) -> PipelineModel:
+    return text_embedder(dim).fit(df.select(F.col(content).alias("content")))
+
+
+def embedded(model: PipelineModel, df: DataFrame, key: str, content: str) -> DataFrame:
+    """key, embedding: vectors that can be compared with all others of the same model; texts without a known word get none."""
+    out = model.transform(df.select(key, F.col(content).alias("content"))).select(key, vector_to_array("_unit").alias("embedding"))
+    return out.filter(F.exists("embedding", lambda v: v != 0))
+
+
 def embed_text(df: DataFrame, key: str, content: str, dim: int = 768) -> DataFrame:
     rows = df.select(key, F.col(content).alias("content"))
     return text_embedder(dim).fit(rows).transform(rows).select(key, vector_to_array("_unit").alias("embedding"))
