@@ -9,7 +9,8 @@ next stage's input. All but the last return the columns of `documents`.
 4. decontamination    documents that hold a benchmark item go
 5. packing            pieces of the remaining documents, placed in sequences
 
-Rows with a null doc_id can be in no group of linked documents but by equal text, of which one stays.
+Of rows that repeat a doc_id and a text one stays after stage 3; a doc_id with several texts stays with all of them if one of them does.
+Rows without a doc_id stay unless their text links with one that has an id.
 """
 
 from __future__ import annotations
@@ -28,18 +29,10 @@ LEAST_SHARE = 0.5
 SHINGLE, PERCENT = 5, 80
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a number of their own in place of the id, which may be null or repeat."""
-    return stored(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _keyed(docs)
-    learn = rows.where(~langid.held_out())
-    langs, mass = langid.fit(learn, vocabulary("piece_bpe_32k.model"))
-    found = langid.predict(rows.select(F.col("row_id").alias("doc_id"), "text"), vocabulary("piece_bpe_32k.model"), langs, mass)
-    kept = found.where((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") > LEAST_SHARE)).select(F.col("doc_id").alias("row_id"))
-    return rows.join(kept, "row_id").select(*docs.columns)
+    pieces = vocabulary("piece_bpe_32k.model")
+    langs, mass = langid.fit(docs.where(~langid.held_out()), pieces)
+    return langid.keep(docs, pieces, langs, mass, LEAST_SHARE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +45,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = _keyed(docs)
-    # ids in order of (doc_id, row): the component's least one is the document that stays
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
-    found = stored(jaccard_tree.join(rows.select(F.col("row_id").alias("doc_id"), "text"), SHINGLE, PERCENT).select(
-        F.col("doc_id").alias("row_id"), F.col("component_id").alias("component")), "components")
-    first = rows.select("row_id", order.alias("place")).join(found, "row_id").groupBy("component").agg(F.min("place").alias("place"))
-    return rows.join(first.select(F.col("place.row_id").alias("row_id")), "row_id").select(*docs.columns)
+    found = jaccard_tree.join(docs, SHINGLE, PERCENT)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
+    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

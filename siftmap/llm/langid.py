@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from siftmap.llm.graph import stored
 from siftmap.llm.wordhash import CASED, Words, chunks, mix, words
@@ -301,29 +302,45 @@ def _lettered(column: pa.Array) -> np.ndarray:
     return found.fill_null(False).to_numpy(zero_copy_only=False)
 
 
+def _judged(vocabulary: str, langs: list[str], mass: np.ndarray, batches, text: int):
+    """Each batch with its predictions: language, its share, its negative log probability per byte."""
+    scorer = _Scorer(vocabulary, mass) if langs else None
+    for batch in batches:
+        n = len(batch)
+        best, share, nats = np.zeros(n, np.int64), np.zeros(n), np.full(n, np.nan)
+        known = _lettered(batch.column(text)) if langs else np.zeros(n, bool)
+        for first, log, size in scorer.score(batch.column(text)) if langs else ():
+            at = slice(first, first + len(log))
+            best[at] = log.argmax(axis=1)
+            top = log.max(axis=1)
+            share[at] = 1.0 / np.exp(log - top[:, None]).sum(axis=1)
+            nats[at] = -top / np.maximum(size, 1)
+        yield batch, known, best, np.where(known, share, 0.0), nats
+
+
 def predict(docs: DataFrame, vocabulary: str, langs: list[str], mass: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score (share of the likeliest language), nats_per_byte (its log probability, lower is better known) per row."""
 
     def run(batches):
-        scorer = _Scorer(vocabulary, mass) if langs else None
-        for batch in batches:
-            n = len(batch)
-            best, share, nats = np.zeros(n, np.int64), np.zeros(n), np.full(n, np.nan)
-            known = _lettered(batch.column(1)) if langs else np.zeros(n, bool)
-            for first, log, size in scorer.score(batch.column(1)) if langs else ():
-                at = slice(first, first + len(log))
-                best[at] = log.argmax(axis=1)
-                top = log.max(axis=1)
-                share[at] = 1.0 / np.exp(log - top[:, None]).sum(axis=1)
-                nats[at] = -top / np.maximum(size, 1)
+        for batch, known, best, share, nats in _judged(vocabulary, langs, mass, batches, 1):
             pred = [langs[b] if k else UNDECIDED for b, k in zip(best, known)]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(np.where(known, share, 0.0)),
-                "nats_per_byte": pa.array(nats, mask=~known)})
+                "doc_id": batch.column(0), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(share), "nats_per_byte": pa.array(nats, mask=~known)})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double, nats_per_byte double")
 
 
+def keep(docs: DataFrame, vocabulary: str, langs: list[str], mass: np.ndarray, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns, whose text is in some language with more than the share `least`. Nothing is shuffled."""
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch, known, _, share, _ in _judged(vocabulary, langs, mass, batches, text):
+            yield batch.filter(pa.array(known & (share > least)))
+
+    return docs.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in docs.schema]))
+
+
 def held_out(column: str = "doc_id"):
     """Documents kept from learning: a fifth by CRC-32 of the id, and null ids."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(True))
