@@ -98,3 +98,53 @@ def op10_language_id(spark: SparkSession, base: str) -> DataFrame:
 
     docs = table(spark, base, "documents")
     return langid.identify(docs, vocabulary("piece_bpe_32k.model")).withColumn("held_out", langid.held_out())
+
+
+def _lower(column: str) -> str:
+    """ASCII letters in lower case, in DuckDB."""
+    return f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+ORACLES["op7_jaccard_tree"] = rf"""WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS grams FROM worded),
+ each AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM each a JOIN each b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+ reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT links.y, other FROM reach JOIN links ON links.x = reach.doc_id)
+SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, r.component_id FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id"""
+
+
+def _license_sql() -> str:
+    from siftmap.llm import licenses as lic
+
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    given = ", ".join(f"({n}, '{label}', '{text}')" for n, (label, text) in enumerate(lic.TEMPLATES))
+
+    def places(phrase: str) -> str:
+        test = " AND ".join(f"w[i + {j}] = '{p}'" for j, p in enumerate(phrase.split(" "), 1))
+        return f"list_filter(range(len(w)), lambda i: {test})"
+
+    base = ", ".join(f"{places(p)} AS b{n}" for n, p in enumerate(lic.PHRASES))
+    every = "list_concat(" + ", ".join(f"b{n}" for n in range(len(lic.PHRASES))) + ")"
+    labels = "list_filter([" + ", ".join(f"CASE WHEN len(b{n}) > 0 THEN '{v}' END" for n, v in enumerate(lic.PHRASES.values())) + "], lambda v: v IS NOT NULL)"
+    k = lic.K
+    return rf"""WITH worded AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, {word}) AS w FROM documents),
+ templates AS (SELECT t, label, string_split(body, ' ') AS w FROM (VALUES {given}) v(t, label, body)),
+ known AS (SELECT t, label, len(w) - {k - 1} AS runs, unnest(range(len(w) - {k - 1})) AS place, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS run FROM templates),
+ hits AS (SELECT doc_id, t, label, runs, place, p AS at_word FROM (SELECT doc_id, unnest(range(greatest(len(w) - {k - 1}, 0))) AS p,
+   unnest(list_transform(range(1, greatest(len(w) - {k - 2}, 1)), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS run FROM worded) d JOIN known USING (run)),
+ marked AS (SELECT *, at_word - place AS diagonal FROM hits),
+ steps AS (SELECT doc_id, t, diagonal, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) <= {lic.GAP} THEN 0 ELSE 1 END AS apart FROM (SELECT DISTINCT doc_id, t, diagonal FROM marked)),
+ bands AS (SELECT doc_id, t, diagonal, sum(apart) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS band FROM steps),
+ spans AS (SELECT doc_id, label, count(DISTINCT place) / any_value(runs) AS coverage FROM marked JOIN bands USING (doc_id, t, diagonal) GROUP BY doc_id, t, label, band
+  HAVING count(DISTINCT place) / any_value(runs) >= {lic.COVER} AND max(at_word) - min(at_word) + {k} <= {lic.STRETCH} * (any_value(runs) + {k - 1})),
+ found AS (SELECT doc_id, list(DISTINCT label) AS more, max(coverage) AS coverage, count(*) AS n_spans FROM spans GROUP BY doc_id),
+ based AS (SELECT doc_id, len(w) AS n_words, {base} FROM worded)
+SELECT b.doc_id, n_words::BIGINT AS n_words, len({every})::BIGINT AS n_base, list_min({every})::BIGINT AS first_word, list_max({every})::BIGINT AS last_word,
+ array_to_string(list_sort(list_distinct({labels})), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat({labels}, coalesce(more, [])))), ',') AS labels,
+ greatest(coalesce(coverage, 0::DOUBLE), CASE WHEN len({every}) > 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END) AS score, coalesce(n_spans, 0)::BIGINT AS n_spans
+FROM based b LEFT JOIN found f ON f.doc_id = b.doc_id"""
+
+
+ORACLES["op6_licenses"] = _license_sql()
