@@ -150,17 +150,17 @@ def _(d):
     return ndjson.read(d.spark, path, rows.schema)
 
 
-@query("sft_export", f"""SELECT doc_id AS row_id, CASE WHEN split = 'test' THEN 'validation' ELSE 'train' END AS part,
+@query("sft_export", f"""SELECT CASE WHEN split = 'test' THEN 'validation' ELSE 'train' END AS part,
  json_object('systemInstruction', json_object('role', 'system', 'parts', [json_object('text', 'Return the target for the given text.')]),
   'contents', [json_object('role', 'user', 'parts', [json_object('text', 'title: ' || title || chr(10) || 'abstract: ' || abstract)]), json_object('role', 'model', 'parts', [json_object('text', evidence_type)])])::VARCHAR AS value
 FROM (SELECT *, {lang_split('doc_id')} AS split FROM corpus)""")
 def _(d):
-    """Chat lines written by part and read back."""
+    """Chat lines written as JSON-lines files by part; the lines of those files."""
     rows = d.corpus().select(F.col("doc_id").alias("row_id"), "title", "abstract", F.col("evidence_type").alias("target"))
     lines = op.chat_examples(op.with_split(rows), ["title", "abstract"], "target", "Return the target for the given text.")
-    path = new_path(d.spark, "tuning")
-    lines.write.partitionBy("part").parquet(path)
-    return d.spark.read.schema(lines.schema).parquet(path)
+    train, validation = op.write_chat(lines, new_path(d.spark, "tuning"))
+    return d.spark.read.text(train).select(F.lit("train").alias("part"), "value").unionAll(
+        d.spark.read.text(validation).select(F.lit("validation").alias("part"), "value"))
 
 
 @query("ctas_overwrite", "SELECT doc_id, round(p_relevant, 6) AS p_relevant FROM scores WHERE p_relevant >= 0.5")

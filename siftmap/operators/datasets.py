@@ -118,6 +118,15 @@ def gold_rows(gold: DataFrame, rows: DataFrame, text: list[str]) -> DataFrame:
     return gold.join(rows.select("row_id", *text), "row_id").select("row_id", *text, "label", "gold_source")
 
 
+def write_chat(lines: DataFrame, root: str) -> list[str]:
+    """JSON-lines files of the training and of the validation part, as tuning jobs read them; returns the two folders."""
+    folders = []
+    for part in ("train", "validation"):
+        folders.append(f"{root.rstrip('/')}/{part}")
+        lines.filter(F.col("part") == part).select("value").write.text(folders[-1])
+    return folders
+
+
 def chat_examples(df: DataFrame, text: list[str], target: str, system: str) -> DataFrame:
     """One chat-format JSON line per row; test rows go to validation, all others to training."""
     lines = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in text]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -18,8 +19,11 @@ def read(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
 
 def load(spark: SparkSession, path: str, schema: StructType | str, target: str) -> bool:
     """Replace the table at `target` with the file's rows; a missing file is skipped (False)."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
-        return False
-    read(spark, path, schema).write.mode("overwrite").parquet(target)
+    try:
+        rows = read(spark, path, schema)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    rows.write.mode("overwrite").parquet(target)
     return True
