@@ -11,6 +11,7 @@ Defined cases: a null or empty text is one piece of the end id alone; repeated r
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmap.llm.graph import stored
-from siftmap.llm.wordhash import Alphabet, chunks, words
+from siftmap.llm.wordhash import Alphabet, chunks, mix, words
 
 CAPACITY = 4096
 END_ID = 1
@@ -32,19 +33,55 @@ NODES = 20_000
 #: Undominated fillings looked at for one bin, best first.
 FILLINGS = 24
 #: Words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Plain words encoded in one call.
+JOINED = 256
 
 #: Text between ASCII spaces and line feeds; the vocabulary's ids of a text are those of its parts in order.
-PARTS = Alphabet(separators=b"\x20\x0a", fold_case=False)
+PARTS = Alphabet(separators=b"\x20\x0a")
+#: As PARTS, with case kept: a special token's spelling has a case.
+CASED = Alphabet(separators=b"\x20\x0a", fold_case=False)
+
+# Parts are cut further between letters or digits and ASCII marks, where the vocabulary's pattern always cuts. An apostrophe
+# may belong to a following letter, and < | > to a special token.
+_PLAIN, _SIGN = 1, 2
+_CLASS = np.zeros(256, np.int8)
+_CLASS[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = _PLAIN
+_CLASS[list(b"!\"#$%&()*+,-./:;=?@[]^_`{}~\\")] = _SIGN
+
+
+def breaks(data: np.ndarray) -> np.ndarray:
+    """Bytes before which a part ends though no space does."""
+    kind = _CLASS[data]
+    # two-byte letters of Latin-1 (U+00C0 to U+00FF but the two signs among them)
+    latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = data[latin]
+    kind[latin[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]] = _PLAIN
+    out = np.zeros(len(data), bool)
+    out[1:] = ((kind[:-1] == _PLAIN) & (kind[1:] == _SIGN)) | ((kind[:-1] == _SIGN) & ((kind[1:] == _PLAIN) | _starts_letter(data)[1:]))
+    return out
+
+
+def _starts_letter(data: np.ndarray) -> np.ndarray:
+    """First bytes of two-byte letters of Latin-1."""
+    out = np.zeros(len(data), bool)
+    first = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[first + 1]
+    out[first[(second != 0x97) & (second != 0xB7)]] = True
+    return out
 
 
 class Encoder:
     """Token ids of texts, each distinct part encoded once."""
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine's cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)  # ids that end a word
+        self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -54,22 +91,54 @@ class Encoder:
         self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and their number for each text.
+
+        Words of letters only end with exactly one id that ends a word, so many are encoded as one text and told apart again.
+        """
+        plain = np.array([t.lower().isalpha() for t in texts], bool)
+        count = np.zeros(len(texts), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        at = np.flatnonzero(plain)
+        groups = [at[i:i + JOINED] for i in range(0, len(at), JOINED)]
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(g) or (len(ids) and ends[-1] != len(ids)):
+                plain[g] = False
+                continue
+            count[g] = np.diff(ends, prepend=0)
+            found.append((g, ids))
+        rest = np.flatnonzero(~plain)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            count[i] = len(e.ids)
+            found.append((np.array([i]), np.array(e.ids, np.uint32)))
+        start = np.cumsum(count) - count
+        flat = np.zeros(count.sum(), np.uint32)
+        for g, ids in found:
+            n = count[g]
+            flat[np.repeat(start[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = ids
+        return flat, count
+
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            ids, k = e.ids, len(self.known)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k == len(self.first):
-                self.first, self.count = (np.concatenate([v, np.zeros_like(v)]) for v in (self.first, self.count))
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.first[k], self.count[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[h] = k
+        ids, count = self._ids(texts)
+        k, n = len(self.known), len(texts)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while k + n > len(self.first):
+            self.first, self.count = (np.concatenate([v, np.zeros_like(v)]) for v in (self.first, self.count))
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.first[k:k + n], self.count[k:k + n] = self.used + np.cumsum(count) - count, count
+        self.used += len(ids)
+        self.known.update(zip(hashes, range(k, k + n)))
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First row, flat ids and bounds for each chunk of texts."""
         for chunk in chunks(column):
-            w = words(chunk, PARTS)
+            special = b"<|" in chunk.data.tobytes()
+            w = words(chunk, CASED if special else PARTS, breaks(chunk.data))
+            if special:
+                w = w._replace(hash=mix(w.hash))
             if len(self.known) > REMEMBERED:
                 self.forget()
             if not len(w.hash):

@@ -1,7 +1,7 @@
 """64-bit hashes of the words of an Arrow text column, many texts at a time.
 
 A column's bytes are walked once with numpy: a table says which bytes belong to words and folds
-ASCII case, a polynomial hash comes from one running sum. Work goes in chunks of about a megabyte
+ASCII case, a polynomial hash comes from one running sum. Work goes in chunks of about half a megabyte
 of whole texts, so memory stays bounded however large an Arrow batch is (a longer single text is one chunk).
 """
 
@@ -13,7 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -101,7 +101,8 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         first = last
 
 
-def words(chunk: Chunk, alphabet: Alphabet) -> Words:
+def words(chunk: Chunk, alphabet: Alphabet, breaks: np.ndarray | None = None) -> Words:
+    """The words of a chunk's texts; `breaks` marks bytes at which a new word starts even if the byte before belongs to one."""
     data, offsets = chunk.data, chunk.offsets
     n, texts = len(data), len(offsets) - 1
     if n == 0:
@@ -113,12 +114,16 @@ def words(chunk: Chunk, alphabet: Alphabet) -> Words:
     before[1:] = inside[:-1]
     heads = offsets[:-1]
     before[heads[heads < n]] = False
+    if breaks is not None:
+        before &= ~breaks
     start = np.flatnonzero(inside & ~before)
     after = np.empty(n, bool)
     after[-1] = False
     after[:-1] = inside[1:]
     tails = offsets[1:] - 1
     after[tails[tails >= 0]] = False
+    if breaks is not None:
+        after[:-1] &= ~breaks[1:]
     end = np.flatnonzero(inside & ~after) + 1
     up, down = _power(n)
     total = np.empty(n + 1, np.uint64)

@@ -94,3 +94,20 @@ def test_search_is_never_worse_than_best_fit():
 
 def test_empty_table(spark):
     assert packing.pack(frame(spark, []), PATH).count() == 0
+
+
+MARKS = ["it's", "'s", "x's.b", ".'s", "'.s", "a.b,c", "É.", "é,ñ", "×.", "÷a", "»a", "«.»", "don't.", "(word)", "<|endoftext|>", "<|ENDOFTEXT|>", "a<|b", "|", "||x", "3.14", "İ", "İ.", "a-b_c", "\tq", "“a”,", "é.", "ǅ", "'LL", "x'", "\xa0y"]
+
+
+def test_parts_give_the_ids_of_the_whole_text():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(MARKS) + rng.choice(["", " ", "\n", " "]) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    encoder, whole = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    got = [ids[bounds[k]:bounds[k + 1]].tolist() for _, ids, bounds in encoder.encode(pa.array(texts)) for k in range(len(bounds) - 1)]
+    for text, ids in zip(texts, got):
+        assert ids == whole.encode(text, add_special_tokens=False).ids, text
+    for text in texts[:60]:  # alone: other chunks, other words learned together
+        for _, ids, _ in packing.Encoder(PATH).encode(pa.array([text])) if text in texts[:5] else ():
+            assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
