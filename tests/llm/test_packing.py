@@ -108,6 +108,6 @@ def test_parts_give_the_ids_of_the_whole_text():
     got = [ids[bounds[k]:bounds[k + 1]].tolist() for _, ids, bounds in encoder.encode(pa.array(texts)) for k in range(len(bounds) - 1)]
     for text, ids in zip(texts, got):
         assert ids == whole.encode(text, add_special_tokens=False).ids, text
-    for text in texts[:60]:  # alone: other chunks, other words learned together
-        for _, ids, _ in packing.Encoder(PATH).encode(pa.array([text])) if text in texts[:5] else ():
+    for text in texts[:5]:  # alone: other chunks, other words learned together
+        for _, ids, _ in packing.Encoder(PATH).encode(pa.array([text])):
             assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
