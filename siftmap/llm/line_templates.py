@@ -29,6 +29,8 @@ MIN_DOCS = 5
 DEPTH = 3
 CONSTANT = 0.7
 MIN_TOKENS = 3
+#: Hash classes of leaves by which lines are picked for a closer look; a class may hold others, which a join sorts out.
+CLASSES = 1 << 21
 
 #: Tokens lie between ASCII white space; a line feed also ends a line.
 TOKENS = Alphabet(separators=b"\x20\x09\x0a\x0b\x0c\x0d", fold_case=False)
@@ -80,44 +82,50 @@ def lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) ->
     return rows.mapInArrow(run, "doc_id bigint, text_key bigint, number int, leaf bigint, line bigint")
 
 
-def _tokens(docs: DataFrame, wanted: DataFrame, depth: int) -> DataFrame:
-    """leaf, line, docs, place, token of the lines in `wanted` (doc_id, lines: list of line hashes with their counts)."""
+def _leaf_classes(leaves: DataFrame) -> np.ndarray:
+    """Which of `CLASSES` hash classes hold a leaf of `leaves`: a bitmap of fixed size, put together by Spark."""
+    c = F.pmod("leaf", F.lit(CLASSES)) + 1
+    rows = leaves.select(F.bitmap_bucket_number(c).alias("bucket"), F.bitmap_bit_position(c).alias("bit")).groupBy("bucket").agg(
+        F.bitmap_construct_agg("bit").alias("bits")).toArrow()
+    out = np.zeros(CLASSES // 8, np.uint8)
+    for bucket, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist()):
+        at = (bucket - 1) * 4096
+        out[at:at + 4096] = np.frombuffer(bits, np.uint8)[:len(out) - at]
+    return out
+
+
+def _tokens(docs: DataFrame, classes: np.ndarray, depth: int, min_tokens: int) -> DataFrame:
+    """leaf, line, tokens, place, token of the lines in these classes of leaves, once per line and Arrow batch at least."""
 
     def run(batches):
+        chosen = np.unpackbits(classes, bitorder="little").view(bool)
         for batch in batches:
-            asked = batch.column(1)
             for chunk in chunks(batch.column(0)):
                 own = _Lines(chunk, depth)
-                heads = np.searchsorted(own.text, np.arange(len(chunk.offsets)))
-                picked, weight = [], []
-                for k in range(len(chunk.offsets) - 1):
-                    want = {h["line"]: h["docs"] for h in asked[chunk.first + k].as_py()}
-                    for r in range(heads[k], heads[k + 1]):
-                        n = want.pop(int(own.line[r:r + 1].view(np.int64)[0]), None)
-                        if n is not None:
-                            picked.append(r)
-                            weight.append(n)
-                r = np.array(picked, np.int64)
+                at = np.flatnonzero((own.count >= min_tokens) & chosen[own.leaf.view(np.int64) % CLASSES])
+                r = at[np.unique(own.line[at], return_index=True)[1]]
                 n = own.count[r]
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 token = own.token[place + np.repeat(own.bounds[r], n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(own.leaf[r].view(np.int64), n)), pa.array(np.repeat(own.line[r].view(np.int64), n)), pa.array(np.repeat(np.array(weight, np.int64), n)),
+                    [pa.array(np.repeat(own.leaf[r].view(np.int64), n)), pa.array(np.repeat(own.line[r].view(np.int64), n)),
                      pa.array(np.repeat(n, n), pa.int32()), pa.array(place, pa.int32()), pa.array(token.view(np.int64))],
-                    ["leaf", "line", "docs", "tokens", "place", "token"])
+                    ["leaf", "line", "tokens", "place", "token"])
 
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id") == F.col("doc_id")).select("text", "lines")
-    return rows.mapInArrow(run, "leaf bigint, line bigint, docs bigint, tokens int, place int, token bigint").dropDuplicates(["leaf", "line", "place"])
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "leaf bigint, line bigint, tokens int, place int, token bigint")
 
 
-def recurring(docs: DataFrame, found: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, constant: float = CONSTANT) -> DataFrame:
+def recurring(
+    docs: DataFrame, found: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, constant: float = CONSTANT, min_tokens: int = MIN_TOKENS
+) -> DataFrame:
     """leaf, line, template, keeper (smallest document) of every line of a recurring template; `found` is lines() as stored."""
-    distinct = found.groupBy("leaf", "line", "doc_id").agg(F.lit(1).alias("one")).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least"))
+    distinct = found.groupBy("leaf", "line", "doc_id").agg(F.lit(1).alias("one")).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"))
     leaves = found.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("a"), F.max("line").alias("b")).where(F.col("rows") >= min_docs)
     known = stored(distinct.join(leaves.select("leaf", (F.col("a") != F.col("b")).alias("mixed")), "leaf"), "lines")
     alone = known.where("NOT mixed").select("leaf", "line", F.col("line").alias("template"), F.lit(True).alias("fixed"))
-    wanted = known.where("mixed").groupBy(F.col("least").alias("doc_id")).agg(F.collect_list(F.struct("line", "docs")).alias("lines"))
-    tokens = stored(_tokens(docs, wanted, depth), "tokens")
+    mixed = known.where("mixed").select("leaf", "line", "docs")
+    spelt = _tokens(docs, _leaf_classes(mixed.select("leaf")), depth, min_tokens).dropDuplicates(["leaf", "line", "place"])
+    tokens = stored(spelt.join(mixed, ["leaf", "line"]), "tokens")
     backed = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("lines")).where(F.col("lines") >= min_docs).drop("lines")
     # a constant token's place and value enter the template's hash, so the order of the sum does not matter
     parts = tokens.join(backed, ["leaf", "place", "token"]).groupBy("leaf", "line", "tokens").agg(
@@ -132,7 +140,7 @@ def recurring(docs: DataFrame, found: DataFrame, min_docs: int = MIN_DOCS, depth
 def dropped(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, constant: float = CONSTANT, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, text_key, numbers: the lines to drop, for each text with some."""
     found = stored(lines(docs, depth, min_tokens), "found")
-    again = recurring(docs, found, min_docs, depth, constant)
+    again = recurring(docs, found, min_docs, depth, constant, min_tokens)
     gone = found.select("doc_id", "text_key", "number", "leaf", "line").join(again.select("leaf", "line", "keeper"), ["leaf", "line"]).where("doc_id != keeper")
     return stored(gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("numbers")), "dropped")
 
