@@ -38,7 +38,7 @@ BAND = 1.4
 FEW = 2
 BITS = 4096
 #: Hash classes in which n-grams are counted to tell common ones.
-COUNTERS = 1 << 21
+COUNTERS = 1 << 20
 TILES = "array<struct<fam bigint, i bigint, j bigint, side int>>"
 LEAF = 8
 FAN = 4
@@ -117,23 +117,24 @@ def common_grams(docs: DataFrame, size: int = SIZE, counters: int = COUNTERS) ->
     step = 1 << 15
 
     def count(batches):
-        total = np.zeros(counters, np.int64)
+        total = np.zeros(counters, "<u4")
         for batch in batches:
             for _, grams, _ in _sets(batch.column(0), size):
-                total += np.bincount((mix(grams ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(counters)).astype(np.int64), minlength=counters)
+                at, n = np.unique(mix(grams ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(counters), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
         for k in range(0, counters, step):
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int64()), "counts": pa.array([total[k:k + step].astype("<i8").tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int64()), "counts": pa.array([total[k:k + step].tobytes()], pa.binary())})
 
     def add(batches):
         own: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own[k] = own.get(k, 0) + np.frombuffer(c, "<i8")
+            for k, c in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own[k] = own.get(k, 0) + np.frombuffer(c.as_buffer(), "<u4").astype(np.int64)
         for k, c in own.items():
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int64()), "counts": pa.array([c.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int64()), "counts": pa.array([c.astype("<i8").tobytes()], pa.binary())})
 
     pieces = docs.select("text").mapInArrow(count, "piece bigint, counts binary")
-    rows = pieces.repartition(16, "piece").mapInArrow(add, "piece bigint, counts binary").toArrow()
+    rows = pieces.repartition(counters // step, "piece").mapInArrow(add, "piece bigint, counts binary").toArrow()
     total = np.zeros(counters, np.int64)
     for k, c in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
         total[k:k + step] = np.frombuffer(c, "<i8")

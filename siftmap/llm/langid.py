@@ -32,7 +32,7 @@ PRIOR = 0.05
 UNDECIDED = "und"
 STRETCH = 64
 #: Words whose scores a worker remembers; then it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Mass of a byte is scaled by this, so that products stay within floating point; taken off again in logarithms.
 SCALE = 12.0
 
