@@ -8,11 +8,12 @@ Two texts link when their sets of word n-grams have a Jaccard similarity of at l
 2. A family is cut, in order of set size, into blocks of bounded numbers of texts and n-grams. Each pair of blocks whose
    size ranges allow a link is one task group: a signature tree over each block holds OR-combined token bitmaps and size
    ranges, a dual traversal drops node pairs whose largest possible overlap is too small, and exact overlaps decide the rest.
-3. Links become components. Texts with equal sets are one class from the start.
+3. Links are counted per text and become components. Texts with equal sets are one class from the start, and linked to each other. A
+   task group returns the counts and, of its links, as many as tie its texts together; links() returns them all.
 
 Defined cases: a null or blank text has an empty set and links with nothing; a text of fewer than n words has its whole word
-sequence as the one n-gram; repeated rows are reported once per row; a null doc_id is reported as null with the component
-of its class. N-grams are compared by 64-bit hash, sets of equal texts by 128 bits.
+sequence as the one n-gram; repeated rows are reported once per row; a null doc_id is reported as null with the component of its class; n_links counts the
+other rows that a row links with, those with an equal set included. N-grams are compared by 64-bit hash, sets of equal texts by 128 bits.
 """
 
 from __future__ import annotations
@@ -185,7 +186,7 @@ def sketches(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, common:
 
 
 def _with_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Tiles and sig of each row and its n-grams, where they have that sig: ids may be null or repeat with other texts."""
+    """Sig, copies and tiles of each row and its n-grams, where they have that sig: ids may be null or repeat with other texts."""
 
     def run(batches):
         for batch in batches:
@@ -196,9 +197,9 @@ def _with_sets(docs: DataFrame, size: int) -> DataFrame:
                 right += [want[first + k].as_py() == high[k].tobytes() + low[k].tobytes() for k in range(len(low))]
                 lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(grams.view(np.int64))))
             grams = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], grams], ["sig", "tiles", "grams"]).filter(pa.array(right, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], grams], ["sig", "copies", "tiles", "grams"]).filter(pa.array(right, pa.bool_()))
 
-    return docs.select("text", "sig", "tiles").mapInArrow(run, f"sig binary, tiles {TILES}, grams array<bigint>")
+    return docs.select("text", "sig", "copies", "tiles").mapInArrow(run, f"sig binary, copies bigint, tiles {TILES}, grams array<bigint>")
 
 
 class _Tree:
@@ -265,10 +266,10 @@ def _candidates(a: _Tree, b: _Tree, same: bool, percent: int) -> tuple[np.ndarra
             x, y = x[keep], y[keep]
 
 
-def _links(sides: list[tuple[np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
-    """Links that tie together texts of one block, or of two: positions counted through both.
+def _links(sides: list[tuple[np.ndarray, np.ndarray]], percent: int) -> np.ndarray:
+    """All links between texts of one block, or of two: rows of two positions counted through both.
 
-    `sides`: for each block flat n-grams and bounds. Of texts which are tied already further links are left out.
+    `sides`: for each block flat n-grams and bounds.
     """
     flats = np.concatenate([f for f, _ in sides])
     _, ids = np.unique(flats, return_inverse=True)
@@ -293,68 +294,95 @@ def _links(sides: list[tuple[np.ndarray, np.ndarray]], percent: int) -> list[tup
     x, y = ranks[0][x], ranks[-1][y]
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
-    parent = np.arange(before)
-
-    def find(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
     flag = np.zeros(len(ids) + 1, np.int64)
     out = []
     heads = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else []
     for h, t in zip(heads, [*heads[1:], len(x)]):
         i = x[h]
-        root = find(i)
-        others = np.array([j for j in y[h:t] if find(j) != root], np.int64)
-        if not len(others):
-            continue
         own = ids[start[i]:start[i] + size[i]]
         flag[own] = 1
-        for k in range(0, len(others), 64):
-            some = others[k:k + 64]
+        for k in range(h, t, 64):
+            some = y[k:min(k + 64, t)]
             n = size[some]
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[some], n)
             both = np.add.reduceat(flag[ids[at]], np.cumsum(n) - n)
-            for j in some[100 * both >= percent * (size[i] + n - both)]:
-                p, q = find(i), find(j)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    out.append((int(i), int(j)))
+            linked = some[100 * both >= percent * (size[i] + n - both)]
+            out.append(np.stack([np.full(len(linked), i), linked], axis=1))
         flag[own] = 0
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of these pairs of n texts ties two groups that the pairs before it leave apart."""
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = np.zeros(len(pairs), bool)
+    apart = n - 1
+    for k, (i, j) in enumerate(pairs.tolist()):
+        p, q = find(i), find(j)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out[k] = True
+            apart -= 1
+            if not apart:
+                break
     return out
 
 
-def _tile(percent: int):
+def _tile(percent: int, every: bool):
+    """Pairs a, b of a task group's texts: all links; or, unless `every`, a forest of them with n null, and for each text a with links
+    how many rows n it is linked to, with b null."""
+
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        sigs = table.column("sig").combine_chunks()
+        sigs = table.column("sig").to_pylist()
+        copies = table.column("copies").to_numpy()
         lists = table.column("grams").combine_chunks()
         sides, index = [], []
         for s in np.unique(side):
-            at = np.flatnonzero(side == s)
+            # rows that repeat an id and a text bring their set more than once
+            at = np.array(list({sigs[k]: k for k in np.flatnonzero(side == s).tolist()}.values()))
             some = lists.take(pa.array(at))
             sides.append((some.values.to_numpy()[some.offsets[0].as_py():some.offsets[-1].as_py()], some.offsets.to_numpy().astype(np.int64) - some.offsets[0].as_py()))
             index.append(at)
-        if len(sides) == 1 and int(table.column("i")[0].as_py()) != int(table.column("j")[0].as_py()):
-            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
         index = np.concatenate(index)
-        found = _links(sides, percent)
-        return pa.table({"a": pa.array([sigs[int(index[p])].as_py() for p, _ in found], pa.binary()), "b": pa.array([sigs[int(index[q])].as_py() for _, q in found], pa.binary())})
+        if len(sides) == 1 and int(table.column("i")[0].as_py()) != int(table.column("j")[0].as_py()):
+            found = np.zeros((0, 2), np.int64)
+        else:
+            found = _links(sides, percent)
+        some = found if every else found[_forest(found, len(index))]
+        a, b = ([sigs[k] for k in index[some[:, c]].tolist()] for c in (0, 1))
+        n = [None] * len(some)
+        if not every:
+            rows = np.zeros(len(index), np.int64)
+            np.add.at(rows, found[:, 0], copies[index[found[:, 1]]])
+            np.add.at(rows, found[:, 1], copies[index[found[:, 0]]])
+            at = np.flatnonzero(rows)
+            a, b, n = a + [sigs[k] for k in index[at].tolist()], b + [None] * len(at), n + rows[at].tolist()
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array(n, pa.int64())})
 
     return run
 
 
 def links(docs: DataFrame, sketch: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Pairs a, b of set signatures that link; enough of them to tie every component together, no other pairs."""
+    """All pairs a, b of different set signatures that link, each once."""
+    return _compared(docs, sketch, size, percent, True).select("a", "b")
+
+
+def _compared(docs: DataFrame, sketch: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
     parts = sketch.where("parts IS NOT NULL").select("key", F.explode("parts").alias("part"))
     least = F.min("key").over(Window.partitionBy("part"))
     edges = parts.select("key", least.alias("least")).where("key > least").distinct()
     families = components(edges, "key", "least").select(F.col("node").alias("key"), F.col("root").alias("fam"))
     rank = Window.partitionBy("fam").orderBy("n_shingles", "sig")
     members = (
-        sketch.where("sig IS NOT NULL").groupBy("sig", "key", "n_shingles").agg(F.min("doc_id").alias("doc_id")).join(families, "key")
+        sketch.where("sig IS NOT NULL").groupBy("sig", "key", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).join(families, "key")
         .withColumn("block", F.greatest(F.floor((F.row_number().over(rank) - 1) / BLOCK_TEXTS), F.floor((F.sum("n_shingles").over(rank) - F.col("n_shingles")) / BLOCK_GRAMS)))
     )
     members = stored(members, "members")
@@ -365,21 +393,25 @@ def links(docs: DataFrame, sketch: DataFrame, size: int = SIZE, percent: int = P
     sides = pairs.select("fam", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionAll(
         pairs.where("i < j").select("fam", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
     tiles = sides.groupBy("fam", "block").agg(F.collect_list(F.struct("fam", "i", "j", "side")).alias("tiles"))
-    placed = members.join(tiles, ["fam", "block"]).select("doc_id", "sig", "tiles")
+    placed = members.join(tiles, ["fam", "block"]).select("doc_id", "sig", "copies", "tiles")
     rows = docs.select(F.col("doc_id").alias("id"), "text").join(placed, F.col("id").eqNullSafe(F.col("doc_id")))
-    dealt = _with_sets(rows, size).select("sig", "grams", F.inline("tiles"))
-    return dealt.groupBy("fam", "i", "j").applyInArrow(_tile(percent), "a binary, b binary")
+    dealt = _with_sets(rows, size).select("sig", "copies", "grams", F.inline("tiles"))
+    return dealt.groupBy("fam", "i", "j").applyInArrow(_tile(percent, every), "a binary, b binary, n bigint")
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of `docs` (doc_id, text; further columns are left alone): doc_id, n_shingles, component_id."""
+    """One row per row of `docs` (doc_id, text; further columns are left alone): doc_id, n_shingles, n_links, component_id."""
     docs = docs.select("doc_id", "text")
     sketch = stored(sketches(docs, size, percent, common_grams(docs, size)), "sketch")
-    tied = components(links(docs, sketch, size, percent), "a", "b")
-    classes = sketch.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    named = classes.join(tied, F.col("sig") == F.col("node"), "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
+    found = stored(_compared(docs, sketch, size, percent, False), "links")
+    tied = components(found.where("b IS NOT NULL"), "a", "b")
+    linked = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
+    classes = sketch.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    named = classes.join(tied, F.col("sig") == F.col("node"), "left").select("sig", "rep", "copies", F.coalesce("root", "sig").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    per_class = named.join(least, "root").select(F.col("sig").alias("s"), "component_id")
+    per_class = named.join(least, "root").join(linked, F.col("sig") == F.col("a"), "left").select(
+        F.col("sig").alias("s"), "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows = sketch.select("doc_id", "n_shingles", "sig")
     return rows.join(per_class, F.col("sig") == F.col("s"), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -75,6 +75,14 @@ def op6_licenses(spark: SparkSession, base: str) -> DataFrame:
 def op7_jaccard_tree(spark: SparkSession, base: str) -> DataFrame:
     from siftmap.llm import jaccard_tree
 
+    return jaccard_tree.join(table(spark, base, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@_query
+def op7_jaccard_links(spark: SparkSession, base: str) -> DataFrame:
+    """The same join, with each document's number of links."""
+    from siftmap.llm import jaccard_tree
+
     return jaccard_tree.join(table(spark, base, "documents"))
 
 
@@ -114,6 +122,9 @@ ORACLES["op7_jaccard_tree"] = rf"""WITH RECURSIVE worded AS (SELECT doc_id, rege
  reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT links.y, other FROM reach JOIN links ON links.x = reach.doc_id)
 SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, r.component_id FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = s.doc_id"""
 
+ORACLES["op7_jaccard_links"] = f"""SELECT j.doc_id, j.n_shingles, coalesce(l.n, 0)::BIGINT AS n_links, j.component_id FROM ({ORACLES["op7_jaccard_tree"]}) j LEFT JOIN (
+ {ORACLES["op7_jaccard_tree"].split(" reach AS")[0].rstrip().rstrip(",")} SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = j.doc_id"""
+
 
 def _license_sql() -> str:
     from siftmap.llm import licenses as lic

@@ -94,3 +94,30 @@ def test_tree_keeps_every_pair_that_can_link():
             if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
     got = {tuple(sorted(p)) for p in jaccard_tree._links([(flat, bounds)], 85)}
     assert got <= want and {frozenset(p) for p in got} == {frozenset(p) for p in want}
+
+
+def linked(texts):
+    """Positions of all pairs of texts that link."""
+    sets = [grams(t) for t in texts]
+    return [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+
+
+def test_every_link_of_a_family_counts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_tree, "BLOCK_TEXTS", 6)
+    rng = random.Random(4)
+    texts = family(rng, 20, 120, 3) + family(rng, 3, 40, 1)
+    texts += texts[:4] + [texts[0].upper(), "", None, "one"]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, texts[5]), (None, texts[5])]
+    pairs = linked([t for _, t in rows])
+    want = [0] * len(rows)
+    for i, j in pairs:
+        want[i] += 1
+        want[j] += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_links) for r in jaccard_tree.join(frame).collect()), key=str)
+    assert got == sorted(((d, n) for (d, _), n in zip(rows, want)), key=str)
+    assert max(want) > 15
+    # links() gives each pair of different sets once
+    distinct = list({grams(t): t for t in texts}.values())
+    found = jaccard_tree.links(frame, jaccard_tree.sketches(frame)).collect()
+    assert len(found) == len({frozenset((bytes(r.a), bytes(r.b))) for r in found}) == len(linked(distinct)) > len(distinct)
