@@ -9,8 +9,8 @@ next stage's input. All but the last return the columns of `documents`.
 4. decontamination    documents that hold a benchmark item go
 5. packing            pieces of the remaining documents, placed in sequences
 
-Of rows that repeat a doc_id and a text one stays after stage 3; a doc_id with several texts stays with all of them if one of them does.
-Rows without a doc_id stay unless their text links with one that has an id.
+Of rows that repeat a doc_id and a text one stays after stage 3; of a doc_id with several texts each is decided on its own.
+Rows without a doc_id come last in their group: one of them stays if none of the group has an id.
 """
 
 from __future__ import annotations
@@ -45,9 +45,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_tree.join(docs, SHINGLE, PERCENT)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    first = jaccard_tree.representatives(docs, SHINGLE, PERCENT).select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_key")), "left_semi")
     nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
     return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
 

@@ -154,7 +154,7 @@ def _signature(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sketches(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, common: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n_shingles, sig (128 bits of the set; null if empty), key (64 of them), parts (null for a set repeated in the batch)."""
+    """doc_id, n_shingles, sig (128 bits of the set; null if empty), key (64 of them), parts (null for a set repeated in the batch), text_key (a hash of the text)."""
 
     packed = None if common is None else np.packbits(common)
 
@@ -178,11 +178,12 @@ def sketches(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, common:
                             seen.add(sigs[i])
                             parts[i] = _parts(own, often, percent)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), pa.array(parts, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "sig", "key", "parts"],
+                [batch.column(0), pa.array(counts), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), pa.array(parts, pa.list_(pa.int64())), batch.column(2)],
+                ["doc_id", "n_shingles", "sig", "key", "parts", "text_key"],
             )
 
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, key bigint, parts array<bigint>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, key bigint, parts array<bigint>, text_key bigint")
 
 
 def _with_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -399,15 +400,19 @@ def _compared(docs: DataFrame, sketch: DataFrame, size: int, percent: int, every
     return dealt.groupBy("fam", "i", "j").applyInArrow(_tile(percent, every), "a binary, b binary, n bigint")
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of `docs` (doc_id, text; further columns are left alone): doc_id, n_shingles, n_links, component_id."""
-    docs = docs.select("doc_id", "text")
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketch of each row, what the task groups found, and for each set signature its component's root, smallest id and copies."""
     sketch = stored(sketches(docs, size, percent, common_grams(docs, size)), "sketch")
     found = stored(_compared(docs, sketch, size, percent, False), "links")
     tied = components(found.where("b IS NOT NULL"), "a", "b")
-    linked = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
     classes = sketch.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    named = classes.join(tied, F.col("sig") == F.col("node"), "left").select("sig", "rep", "copies", F.coalesce("root", "sig").alias("root"))
+    return sketch, found, classes.join(tied, F.col("sig") == F.col("node"), "left").select("sig", "rep", "copies", F.coalesce("root", "sig").alias("root"))
+
+
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """One row per row of `docs` (doc_id, text; further columns are left alone): doc_id, n_shingles, n_links, component_id."""
+    sketch, found, named = _classes(docs.select("doc_id", "text"), size, percent)
+    linked = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     per_class = named.join(least, "root").join(linked, F.col("sig") == F.col("a"), "left").select(
         F.col("sig").alias("s"), "component_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
@@ -415,3 +420,15 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     return rows.join(per_class, F.col("sig") == F.col("s"), "left").select(
         "doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id and text_key (xxhash64 of the text) of one row of each component: the one with the smallest id, null ids last.
+
+    Rows with an empty set stand for themselves, each doc_id and text once.
+    """
+    sketch, _, named = _classes(docs.select("doc_id", "text"), size, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.col("sig").alias("first_sig"), "text_key")
+    first = sketch.where("sig IS NOT NULL").groupBy("sig").agg(F.min(order).alias("first"))
+    kept = first.join(named.select("sig", "root"), "sig").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
+    return kept.unionAll(sketch.where("sig IS NULL").select("doc_id", "text_key").distinct())

@@ -65,3 +65,16 @@ def test_no_documents(spark, tmp_path):
     write(spark, [], str(tmp_path))
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_one_row_of_each_group_stays_with_and_without_ids(spark):
+    text = lambda c: [f"{c}{k}" for k in range(80)]
+    near = lambda c, k: " ".join([*text(c)[:40], f"x{k}", *text(c)[41:]])
+    a, b = " ".join(text("a")), " ".join(text("b"))
+    rows = [(None, "alone in here without an id"), (7, a), (None, a), (None, near("a", 1)), (8, near("a", 2)), (None, near("b", 1)), (None, near("b", 2)), (None, b), (None, b),
+            (3, " ".join(text("c"))), (9, near("c", 1)), (9, " ".join(text("d"))), (None, None), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], COLUMNS)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    ones = {(d, None if t is None else t[0]) for d, t in got}
+    assert len(got) == len(ones) == 6 and {x for x in ones if x != (None, "b")} == {(None, "a"), (7, "a"), (3, "c"), (9, "d"), (None, None)}
+    assert [t for d, t in got if d is None and t and t[0] == "a"] == [rows[0][1]]
