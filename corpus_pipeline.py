@@ -36,7 +36,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_templates.dedup(docs)
+    # copies of a whole text are the next stage's
+    out = line_templates.dedup(docs, exact_docs=line_templates.EXACT_DOCS, exact_texts=True)
     left = (F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")
     changed = out.where(left)
     if "n_chars" in docs.columns:

@@ -6,6 +6,9 @@ there; elsewhere the template has a variable field, so lines that differ in such
 if its lines are in at least `min_docs` documents and at least `constant` of its tokens are constant. Of a recurring template
 the lines of the document with the smallest id stay, so that no text is lost altogether; those of all others are dropped.
 
+With `exact_docs`, a line of at least `exact_tokens` tokens also recurs if that many documents hold it verbatim (the same tokens, digits
+included), whatever its template; again the document with the smallest id keeps it. With `exact_texts` copies of a whole text count once.
+
 Support is counted, not searched: every step is a grouped count whose parts combine before the shuffle, and no leaf is ever
 held by one task. What is shuffled per line are numbers; tokens are formed only for lines in leaves that can recur.
 
@@ -29,6 +32,8 @@ MIN_DOCS = 5
 DEPTH = 3
 CONSTANT = 0.7
 MIN_TOKENS = 3
+#: Documents with the same line, and tokens from which on a line is no chance sentence: for op3_line_templates and the pipeline.
+EXACT_DOCS, EXACT_TOKENS = 2, 8
 #: Hash classes of leaves by which lines are picked for a closer look; a class may hold others, which a join sorts out.
 CLASSES = 1 << 21
 
@@ -60,26 +65,33 @@ class _Lines:
         place = (np.arange(len(self.token)) - self.bounds[self.row]).astype(np.uint64)
         placed = mix(self.token + mix(place + np.uint64(1)))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(placed, dtype=np.uint64)])
+        raw = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash + mix(place + np.uint64(1))), dtype=np.uint64)])
+        self.exact = mix(raw[self.bounds[1:]] - raw[self.bounds[:-1]] + self.count.astype(np.uint64))
         self.line = mix(total[self.bounds[1:]] - total[self.bounds[:-1]] + self.count.astype(np.uint64))
         lead = np.minimum(self.bounds[:-1] + depth, self.bounds[1:])
         self.leaf = mix(total[lead] - total[self.bounds[:-1]] + mix(self.count.astype(np.uint64) + np.uint64(0x3C6EF372)))
 
 
-def lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc_id, text_key (a hash of the text), number (of the line in it, from 0), leaf, line of lines of at least `min_tokens` tokens."""
+def lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, exact_tokens: int | None = None) -> DataFrame:
+    """doc_id, text_key (a hash of the text), number (of the line in it, from 0), leaf, line, exact of lines of at least `min_tokens` tokens.
+
+    `exact` is a hash of all tokens, null for lines of fewer than `exact_tokens` or without such a number.
+    """
 
     def run(batches):
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 own = _Lines(chunk, depth)
                 at = np.flatnonzero(own.count >= min_tokens)
+                short = np.ones(len(at), bool) if exact_tokens is None else own.count[at] < exact_tokens
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(chunk.first + own.text[at])), batch.column(2).take(pa.array(chunk.first + own.text[at])),
-                     pa.array(own.number[at], pa.int32()), pa.array(own.leaf[at].view(np.int64)), pa.array(own.line[at].view(np.int64))],
-                    ["doc_id", "text_key", "number", "leaf", "line"])
+                     pa.array(own.number[at], pa.int32()), pa.array(own.leaf[at].view(np.int64)), pa.array(own.line[at].view(np.int64)),
+                     pa.array(own.exact[at].view(np.int64), mask=short)],
+                    ["doc_id", "text_key", "number", "leaf", "line", "exact"])
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, number int, leaf bigint, line bigint")
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, number int, leaf bigint, line bigint, exact bigint")
 
 
 def _leaf_classes(leaves: DataFrame) -> np.ndarray:
@@ -137,11 +149,24 @@ def recurring(
     return named.join(often.select("template", "keeper"), "template").select("leaf", "line", "template", "keeper")
 
 
-def dropped(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, constant: float = CONSTANT, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def repeated(found: DataFrame, exact_docs: int, exact_texts: bool = False) -> DataFrame:
+    """exact, keeper (smallest document) of every line that at least `exact_docs` documents (or different texts) hold verbatim."""
+    by = "text_key" if exact_texts else "doc_id"
+    holders = found.where("exact IS NOT NULL").groupBy("exact", by).agg(F.min("doc_id").alias("first"))
+    return holders.groupBy("exact").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("keeper")).where(F.col("n") >= exact_docs).select("exact", "keeper")
+
+
+def dropped(
+    docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, constant: float = CONSTANT, min_tokens: int = MIN_TOKENS,
+    exact_docs: int | None = None, exact_tokens: int = EXACT_TOKENS, exact_texts: bool = False,
+) -> DataFrame:
     """doc_id, text_key, numbers: the lines to drop, for each text with some."""
-    found = stored(lines(docs, depth, min_tokens), "found")
+    found = stored(lines(docs, depth, min_tokens, None if exact_docs is None else exact_tokens), "found")
     again = recurring(docs, found, min_docs, depth, constant, min_tokens)
-    gone = found.select("doc_id", "text_key", "number", "leaf", "line").join(again.select("leaf", "line", "keeper"), ["leaf", "line"]).where("doc_id != keeper")
+    gone = found.select("doc_id", "text_key", "number", "leaf", "line").join(again.select("leaf", "line", "keeper"), ["leaf", "line"]).where("doc_id != keeper").select("doc_id", "text_key", "number")
+    if exact_docs is not None:
+        same = found.select("doc_id", "text_key", "number", "exact").join(repeated(found, exact_docs, exact_texts), "exact")
+        gone = gone.unionAll(same.where("doc_id != keeper").select("doc_id", "text_key", "number"))
     return stored(gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("numbers")), "dropped")
 
 

@@ -46,7 +46,7 @@ def op2_learned_partitions(spark: SparkSession, base: str) -> DataFrame:
 def op3_line_templates(spark: SparkSession, base: str) -> DataFrame:
     from siftmap.llm import line_templates
 
-    out = line_templates.dedup(table(spark, base, "documents"))
+    out = line_templates.dedup(table(spark, base, "documents"), exact_docs=line_templates.EXACT_DOCS)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -94,3 +94,29 @@ def test_supplied_documents(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_verbatim_lines_of_few_documents(spark):
+    passage = " ".join(f"w{k}" for k in range(55))
+    other = passage.replace("w7 ", "w8 ")
+    rows = [(5, f"own five\n{passage}"), (3, f"{passage}\nown three\na chance sentence here"), (9, f"a chance sentence here\n{other}"), (None, passage), (11, "alone"),
+            (20, "\n".join(f"one line that is twice in one document only {'abc'[k % 2]}" for k in range(4))), (30, passage.replace(" ", "\t")), (40, "whole text of eight words is here twice"),
+            (41, "whole text of eight words is here twice")]
+    want = {5: "own five", 30: "", 41: ""}
+    assert run(spark, rows, exact_docs=2) == sorted(((d, want.get(d, t), int(d in want)) for d, t in rows), key=str)
+    want.pop(41)
+    assert run(spark, rows, exact_docs=2, exact_texts=True) == sorted(((d, want.get(d, t), int(d in want)) for d, t in rows), key=str)
+
+
+def test_query_drops_verbatim_lines_of_two_documents(spark):
+    from siftmap.llm.queries import op3_line_templates
+
+    base = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text").collect()]
+    seen = defaultdict(set)
+    for d, text in rows:
+        for line in (text or "").split("\n"):
+            seen[tuple(line.split())].add(d)
+    want = {d for t, docs in seen.items() if len(docs) > 1 and len(t) >= 8 for d in docs - {min(docs)}}
+    got = {r.doc_id for r in op3_line_templates(spark, base).where("n_dropped > 0").collect()}
+    assert want and want <= got
