@@ -96,3 +96,34 @@ def test_synthesis_without_passages(spark):
     assert all(r.synthesis is None and r.confidence_rationale == "insufficient evidence retrieved" for r in got.values())
     with pytest.raises(ValueError):
         generate.synthesise(topics, base, corpus, 21)
+
+
+def test_chunks_of_texts_against_brute_force(spark):
+    import numpy as np
+
+    from siftmap.functions import text
+    from siftmap.operators import generate, learning
+
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeo" for c in "klmn"]
+    docs = spark.createDataFrame([(str(k), " ".join(words[(k * 7 + j * j * (k % 5 + 1)) % len(words)] for j in range(60)), "AB"[k % 2]) for k in range(40)], "doc_id string, abstract string, region string")
+    topics = spark.createDataFrame([(f"t{k}", " ".join(words[k * 5:k * 5 + 6]), "A" if k == 2 else None) for k in range(6)], "topic_id string, topic string, region_filter string")
+    pieces = text.chunks(docs)
+    model = learning.fit_embedder(pieces, "text", 256)
+    vectors = lambda f, i, t: {r[i]: np.array(r.embedding, float) for r in learning.embedded(model, f, i, t).collect()}
+    base, asked = vectors(pieces, "chunk_id", "text"), vectors(topics, "topic_id", "topic")
+    region = {r.chunk_id: "AB"[int(r.doc_id) % 2] for r in pieces.collect()}
+    want = set()
+    for t, q in asked.items():
+        near = sorted((round(1 - q @ v / np.sqrt((q @ q) * (v @ v)), 6), c) for c, v in base.items())[:9]
+        want |= {(t, d, n) for n, (d, _) in enumerate([x for x in near if t != "t2" or region[x[1]] == "A"][:3], 1)}
+    got = {(r.topic_id, round(r.distance, 6), r.rn) for r in generate.retrieve_chunks(topics, docs, 3, 3).collect()}
+    assert len(got) > 12 and sorted(x[::2] for x in got) == sorted(x[::2] for x in want)
+    assert all(abs(a[1] - b[1]) < 2e-6 for a, b in zip(sorted(got, key=lambda x: (x[0], x[2])), sorted(want, key=lambda x: (x[0], x[2]))))
+
+
+def test_topics_are_all_rows_divisible_by_100(spark):
+    from siftmap.catalog.vectors import asked
+    from siftmap.sources.domain import Domain
+
+    d = Domain(spark, "/root/testdata/sf0.001")
+    assert sorted(r.topic_id for r in asked(d).collect()) == sorted(f"t{r.doc_id}" for r in d.corpus().collect() if int(r.doc_id) % 100 == 0)
