@@ -159,3 +159,27 @@ FROM based b LEFT JOIN found f ON f.doc_id = b.doc_id"""
 
 
 ORACLES["op6_licenses"] = _license_sql()
+
+
+@_query
+def op13_source_divergence(spark: SparkSession, base: str) -> DataFrame:
+    from siftmap.llm import divergence
+
+    return divergence.audit(table(spark, base, "documents"))
+
+
+ORACLES["op13_source_divergence"] = rf"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_lower("coalesce(text, '')")} AS text FROM documents),
+ occurring AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT i) AS docs FROM occurring GROUP BY ALL),
+ kept AS (SELECT lang, term, sum(n) AS n_lang FROM counts GROUP BY lang, term HAVING sum(docs) >= 10),
+ langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(n_lang)::HUGEINT AS total FROM kept GROUP BY lang),
+ groups AS (SELECT DISTINCT lang, source FROM d),
+ cells AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n, n_lang::HUGEINT AS n_lang, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source)::HUGEINT AS total
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+ parts AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (c.total + 2 * v) AS p, 1 + (1000000000::HUGEINT * (n_lang + 2)) // (l.total + 2 * v) AS q FROM cells c JOIN langs l USING (lang)),
+ sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM parts a JOIN parts b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+ terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM parts WHERE n > 0 AND p > q),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
