@@ -183,3 +183,26 @@ ORACLES["op13_source_divergence"] = rf"""WITH d AS (SELECT row_number() OVER ()
  terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM parts WHERE n > 0 AND p > q),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
+@_query
+def op11_spelling_variants(spark: SparkSession, base: str) -> DataFrame:
+    from siftmap.llm import spelling
+
+    return spelling.group(table(spark, base, "documents"))
+
+
+# DuckDB has no CRC-32: its table follows from the reversed polynomial, a word's bytes from its code points (none is above U+00FF)
+ORACLES["op11_spelling_variants"] = rf"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({_lower("coalesce(text, '')")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+ given AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY id, run),
+ bytes AS (SELECT id, run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b FROM given),
+ hashed AS (SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) AS h FROM bytes, crc),
+ words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+ cuts AS (SELECT word, n, i, left(word, i - 1) || '*' || substr(word, i + 1) AS hole, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+ pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b ON a.hole = b.hole AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN words b ON a.rest = b.word UNION SELECT b.word, b.n, a.word, a.n FROM cuts a JOIN words b ON a.rest = b.word),
+ near AS (SELECT word, n, count(*) AS n_near, arg_min(other, (-other_n, other)) AS best, max(other_n) AS best_n FROM pairs GROUP BY word, n),
+ forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN near ON near.word = w.word),
+ steps AS (SELECT word, coalesce(form, word) AS root, form IS NOT NULL AS more FROM forms UNION ALL SELECT s.word, coalesce(f.form, f.word), f.form IS NOT NULL FROM steps s JOIN forms f ON f.word = s.root WHERE s.more)
+SELECT f.word, f.form, s.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM forms f JOIN steps s ON s.word = f.word AND NOT s.more"""
