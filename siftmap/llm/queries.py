@@ -206,3 +206,10 @@ ORACLES["op11_spelling_variants"] = rf"""WITH RECURSIVE crc AS (SELECT list_tran
  forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN near ON near.word = w.word),
  steps AS (SELECT word, coalesce(form, word) AS root, form IS NOT NULL AS more FROM forms UNION ALL SELECT s.word, coalesce(f.form, f.word), f.form IS NOT NULL FROM steps s JOIN forms f ON f.word = s.root WHERE s.more)
 SELECT f.word, f.form, s.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM forms f JOIN steps s ON s.word = f.word AND NOT s.more"""
+
+
+@_query
+def op12_context_mixing(spark: SparkSession, base: str) -> DataFrame:
+    from siftmap.llm import context_mixing
+
+    return context_mixing.audit(table(spark, base, "documents"))
