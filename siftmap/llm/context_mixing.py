@@ -1,13 +1,13 @@
 """Language-model scores by online logistic mixing of hashed contexts.
 
 A text is a row of words and an end. The most frequent training words, none seen once only, have binary codes of a Huffman tree; any other word is an escape code
-and its bytes, eight bits each. Every bit is predicted:
+and the codes of its bytes, of a tree of their own. Every bit is predicted:
 
 1. Three predictors look up what training texts had at hashed contexts: the place in the tree alone, with one word before, with two words
    before; within a spelt word with one, two and three bytes before. Their counts are gathered from all training documents by Spark,
    each task adding up tables of its own; the table grows with the corpus to 2^MOST_BITS counters, a bound that also bounds the broadcast.
 2. Their log-odds are mixed with weights that a gate picks (kind of bit, and how much the longer contexts have seen). A document begins with
-   weights learned beforehand and adapts its own every STEP bits, by the gradient of the coding cost.
+   weights learned beforehand and adapts its own every 2^STEP_BITS bits, by the gradient of the coding cost.
 3. A refinement table maps the mixed probability to what was observed at such probabilities; the mean of both codes the bit.
 
 Weights and refinement come from a fifth of the documents (FOLD), predicted from the other training documents only; the final counts hold
@@ -44,15 +44,15 @@ LEAST_BITS, MOST_BITS = 16, 22
 PLAIN_BITS = 18
 #: Training documents with this remainder teach weights; remainder 1 is held out.
 FOLD = 2
-#: Bits between two changes of a document's weights, and how far a change goes.
-STEP = 256
+#: So many bits, in powers of two, lie between two changes of a document's weights; and how far a change goes.
+STEP_BITS = 9
 RATE = 0.4
-ROUNDS = 2
+ROUNDS = 1
 #: What a context has counted is smoothed by this.
 PRIOR = 0.3
 CHUNK = 1 << 17
 PIECE = 1 << 14
-KINDS, LEVELS, INPUTS = 2, 4, 4
+KINDS, LEVELS, INPUTS = 2, 4, 3
 GATES = KINDS * LEVELS * LEVELS
 #: Steps of the refinement table, over log-odds from -8 to 8.
 CELLS = 33
@@ -64,13 +64,15 @@ _FOLDED[65:91] += 32
 
 
 class Codes(NamedTuple):
-    """Frequent words: hashes in order, their training counts, codes and code lengths; and those of the escape."""
+    """Frequent words: hashes in order, their training counts, codes and code lengths; those of the escape, and of each byte."""
 
     hash: np.ndarray
     n: np.ndarray
     code: np.ndarray
     size: np.ndarray
     escape: tuple[int, int]
+    byte_code: np.ndarray
+    byte_size: np.ndarray
 
 
 class Model(NamedTuple):
@@ -114,19 +116,28 @@ def huffman(weights: list[int]) -> list[tuple[int, int]]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """hash and n of the words of all texts, ends included."""
+    """hash and n of the words of all texts, ends included; and n of each byte, with `byte` for `hash`."""
 
     def run(batches):
         for batch in batches:
-            parts = [words(c, SPACED).hash for c in chunks(batch.column(0))]
+            parts, letters = [], np.zeros(256, np.int64)
+            for c in chunks(batch.column(0)):
+                parts.append(words(c, SPACED).hash)
+                letters += np.bincount(_FOLDED[c.data], minlength=256)
             found, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             found, n = np.append(found, np.uint64(END)), np.append(n, len(batch))
-            yield pa.RecordBatch.from_pydict({"hash": pa.array(found.view(np.int64)), "n": pa.array(n, pa.int64())})
+            yield pa.RecordBatch.from_pydict({
+                "hash": pa.array(found.view(np.int64)).take(pa.array([*range(len(found)), *[None] * 256], pa.int64())),
+                "byte": pa.array([None] * len(found) + list(range(256)), pa.int32()), "n": pa.array(np.concatenate([n, letters]), pa.int64())})
+
+    return docs.select("text").mapInArrow(run, "hash bigint, byte int, n bigint").groupBy("hash", "byte").agg(F.sum("n").alias("n"))
 
-    return docs.select("text").mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
+def _split(built: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([c for c, _ in built], np.uint64), np.array([n for _, n in built], np.int64)
 
-def codes_of(counts: DataFrame, total: int, coded: int = CODED) -> Codes:
+
+def codes_of(counts: DataFrame, total: int, letters: dict[int, int], coded: int = CODED) -> Codes:
     """Codes of the most frequent words; at most `coded` rows reach the driver."""
     top = counts.where(F.col("n") >= LEAST_CODED).orderBy(F.desc("n"), "hash").limit(coded).toArrow()
     known = dict(zip(top.column("hash").to_numpy().view(np.uint64).tolist(), top.column("n").to_pylist()))
@@ -134,8 +145,8 @@ def codes_of(counts: DataFrame, total: int, coded: int = CODED) -> Codes:
     known.setdefault(END, 0)
     names = sorted(known)
     built = huffman([max(1, known[h]) for h in names] + [max(1, left)])
-    code, size = (np.array([c[k] for c in built], np.uint64 if k == 0 else np.int64) for k in (0, 1))
-    return Codes(np.array(names, np.uint64), np.array([known[h] for h in names], np.int64), code[:-1], size[:-1], (int(code[-1]), int(size[-1])))
+    return Codes(np.array(names, np.uint64), np.array([known[h] for h in names], np.int64), *_split(built[:-1]), built[-1],
+                 *_split(huffman([max(1, letters.get(b, 0)) for b in range(256)])))
 
 
 class _Tokens(NamedTuple):
@@ -180,10 +191,10 @@ def _bits(chunk, t: _Tokens, codes: Codes, table_bits: int) -> _Bits:
     width = np.where(spelt, t.end - t.start + 1, 0)
     head = np.cumsum(1 + width) - (1 + width)
     symbols = n + int(width.sum())
-    value, size = np.empty(symbols, np.uint64), np.full(symbols, 8, np.int64)
+    value, size = np.empty(symbols, np.uint64), np.empty(symbols, np.int64)
     value[head] = np.where(spelt, np.uint64(codes.escape[0]), codes.code[t.place])
     size[head] = np.where(spelt, codes.escape[1], codes.size[t.place])
-    kind = np.ones(symbols, np.int64)
+    kind = np.ones(symbols, np.uint8)
     kind[head] = 0
     ctx = [np.zeros(symbols, np.uint64) for _ in range(3)]
     ctx[1][head] = mix(one + np.uint64(1))
@@ -194,9 +205,9 @@ def _bits(chunk, t: _Tokens, codes: Codes, table_bits: int) -> _Bits:
         inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         source, last = np.repeat(t.start[at], m) + inner, inner == np.repeat(m, m) - 1
         data = _FOLDED[chunk.data]
-        letters = np.where(last, BLANK, data[np.minimum(source, len(data) - 1)]).astype(np.uint64)
+        letters = np.where(last, BLANK, data[np.minimum(source, len(data) - 1)])
         sym = np.repeat(head[at] + 1, m) + inner
-        value[sym] = letters
+        value[sym], size[sym] = codes.byte_code[letters], codes.byte_size[letters]
         before = []
         for back in (1, 2, 3):
             b = np.full(len(letters), BLANK, np.uint64)
@@ -208,16 +219,16 @@ def _bits(chunk, t: _Tokens, codes: Codes, table_bits: int) -> _Bits:
         ctx[1][sym] = mix(a + (b << np.uint64(8)) + np.uint64(1 << 41))
         ctx[2][sym] = mix(a + (b << np.uint64(8)) + (c << np.uint64(16)) + np.uint64(1 << 42))
     sym = np.repeat(np.arange(symbols), size)
-    inner = (np.arange(len(sym)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
-    left = size.astype(np.uint64)[sym] - inner
+    inner = (np.arange(len(sym)) - np.repeat(np.cumsum(size) - size, size)).view(np.uint64)
+    left = size.view(np.uint64)[sym] - inner
     code = value[sym]
-    node = mix((np.uint64(1) << inner) + (code >> left))
+    node = ((np.uint64(1) << inner) + (code >> left)) * _ODD[0]
     slots = []
     for k in range(3):
         bits = PLAIN_BITS if k == 0 else table_bits
-        slots.append((((ctx[k][sym] ^ node) * _ODD[k]) >> np.uint64(64 - bits)).astype(np.int64))
+        slots.append((((ctx[k][sym] ^ node) * _ODD[k]) >> np.uint64(64 - bits)).view(np.int64))
     row = np.repeat(np.repeat(t.row, 1 + width), size)
-    return _Bits(row, ((code >> (left - np.uint64(1))) & np.uint64(1)).astype(np.int64), kind[sym], slots)
+    return _Bits(row, ((code >> (left - np.uint64(1))) & np.uint64(1)).astype(np.uint8), kind[sym], slots)
 
 
 def _table_sizes(table_bits: int) -> list[int]:
@@ -297,9 +308,7 @@ def tables_of(counts: DataFrame, table_bits: int) -> tuple[list[np.ndarray], lis
 
 
 def plain_weights() -> np.ndarray:
-    out = np.full((GATES, INPUTS), 0.4)
-    out[:, -1] = 0.0
-    return out
+    return np.full((GATES, INPUTS), 0.4)
 
 
 def plain_refinement() -> np.ndarray:
@@ -317,40 +326,40 @@ class _Coded(NamedTuple):
 
 def _code(b: _Bits, texts: int, model: Model) -> _Coded:
     """Codes the bits of a chunk; the same step of all its texts is one numpy step."""
-    found = [t[s] for t, s in zip(model.tables, b.slots)]
-    gate = b.kind * (LEVELS * LEVELS) + (found[1] & 7) * LEVELS + (found[2] & 7)
     heads = np.searchsorted(b.row, np.arange(texts + 1))
-    step = (np.arange(len(b.row)) - heads[b.row]) // STEP
-    order = np.argsort(step, kind="stable")
-    x = np.empty((INPUTS, len(order)), np.float32)
-    for k in range(3):
-        x[k] = _STRETCH[found[k][order]]
-    x[3] = 0.3
-    row, bit = b.row[order], b.bit[order].astype(np.float32)
-    own = row * GATES + gate[order]
-    weights = np.ascontiguousarray(np.broadcast_to(model.weights.T[:, None, :], (INPUTS, texts, GATES))).reshape(INPUTS, -1)
-    odds = np.empty(len(order), np.float32)
-    ends = np.cumsum(np.bincount(step)) if len(step) else []
+    step = (np.arange(len(b.row)) - heads[b.row]) >> STEP_BITS
+    order = np.argsort(step.astype(np.uint16) if len(step) >> STEP_BITS < 1 << 16 else step, kind="stable")
+    found = [t[s[order]] for t, s in zip(model.tables, b.slots)]
+    kind = b.kind[order]
+    gate = (kind << 4) + ((found[1] & 7) << 2).astype(np.uint8) + (found[2] & 7).astype(np.uint8)
+    x = np.empty((len(order), INPUTS), np.float32)
+    for k in range(INPUTS):
+        x[:, k] = _STRETCH[found[k]]
+    bit = b.bit[order].astype(np.float32)
+    own = b.row[order] * GATES + gate
+    weights = np.tile(model.weights.astype(np.float32), (texts, 1))
+    odds, p = np.empty(len(order), np.float32), np.empty(len(order), np.float32)
+    ends = np.cumsum(np.bincount(step)) if len(step) else np.zeros(0, np.int64)
     low = 0
-    for high in np.asarray(ends).tolist():
-        at, some = own[low:high], x[:, low:high]
-        dot = (weights[:, at] * some).sum(axis=0)
+    for high in ends.tolist():
+        at, some = own[low:high], x[low:high]
+        dot = np.einsum("ij,ij->i", weights.take(at, axis=0), some)
         np.clip(dot, -12, 12, out=dot)
         odds[low:high] = dot
-        error = bit[low:high] - 1 / (1 + np.exp(-dot))
-        met, back, n = np.unique(at, return_inverse=True, return_counts=True)
+        guess = 1 / (1 + np.exp(-dot))
+        p[low:high] = guess
+        error = bit[low:high] - guess
+        # texts still open come first only by chance, so a short step of a long text counts its own gates alone
+        base = int(at.min())
+        at = at - base
+        scale = RATE / (np.bincount(at) + 32)
         for k in range(INPUTS):
-            weights[k, met] += RATE * np.bincount(back, error * some[k], len(met)) / (n + 32)
+            weights[base:base + len(scale), k] += scale * np.bincount(at, error * some[:, k])
         low = high
-    p = 1 / (1 + np.exp(-odds.astype(np.float64)))
-    place = np.clip(odds.astype(np.float64), -8, 8) * ((CELLS - 1) / 16) + (CELLS - 1) / 2
-    cell = np.minimum(place.astype(np.int64), CELLS - 2)
-    part = place - cell
-    kind = b.kind[order]
-    p = 0.5 * p + 0.5 * (model.refined[kind, cell] * (1 - part) + model.refined[kind, cell + 1] * part)
-    cost = -np.log2(np.where(bit > 0, p, 1 - p))
-    return _Coded(np.bincount(row, cost, texts), np.bincount(own, minlength=texts * GATES).reshape(texts, GATES),
-                  weights.reshape(INPUTS, texts, GATES).transpose(1, 2, 0), kind * CELLS + np.round(place).astype(np.int64), b.bit[order])
+    cell = np.round(np.clip(odds, -8, 8) * ((CELLS - 1) / 16) + (CELLS - 1) / 2).astype(np.int64) + kind * np.int64(CELLS)
+    p = (p + model.refined.astype(np.float32).ravel()[cell]) * np.float32(0.5)
+    cost = -np.log2(np.abs(1 - bit - p))
+    return _Coded(np.bincount(b.row[order], cost, texts), np.bincount(own, minlength=texts * GATES).reshape(texts, GATES), weights.reshape(texts, GATES, INPUTS), cell, bit)
 
 
 def learn(docs: DataFrame, model: Model, table_bits: int, rounds: int = ROUNDS) -> Model:
@@ -388,9 +397,11 @@ def _table_bits(total: int) -> int:
 
 def fit(train: DataFrame, coded: int = CODED) -> tuple[Model, DataFrame, int, int]:
     """The model, all word counts (hash, n), their sum and number, from rows (doc_id, text) to learn from."""
-    counts = stored(word_counts(train), "words")
+    gathered = stored(word_counts(train), "words")
+    letters = dict(gathered.where("byte IS NOT NULL").select("byte", "n").collect())
+    counts = gathered.where("byte IS NULL").select("hash", "n")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    codes = codes_of(counts, total, coded)
+    codes = codes_of(counts, total, letters, coded)
     bits = _table_bits(total)
     without, both = tables_of(context_counts(train, codes, bits), bits)
     fold = train.where(F.crc32(F.col("doc_id").cast("string")) % 5 == FOLD)
