@@ -15,7 +15,7 @@ Rows without a doc_id come last in their group: one of them stays if none of the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmap.llm import decontamination, jaccard_tree, langid, line_templates, packing
@@ -46,10 +46,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = jaccard_tree.representatives(docs, SHINGLE, PERCENT).select(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"))
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.xxhash64("text") == F.col("first_key")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
-    return kept.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    first = jaccard_tree.representatives(docs, SHINGLE, PERCENT).select(F.struct("doc_id", "text_key", "copies").alias("first"))
+    # the caller's columns travel as one struct, so none of theirs can clash with a helper's
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.join(first, (F.xxhash64("row.text") == F.col("first.text_key")) & F.col("row.doc_id").eqNullSafe(F.col("first.doc_id")))
+    # rows that repeat an id and a text become one where they are read, before anything is shuffled again
+    repeated = kept.where("first.copies > 1").groupBy("first").agg(F.first("row").alias("row"))
+    return kept.where("first.copies = 1").select("row.*").unionAll(repeated.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ Two texts link when their sets of word n-grams have a Jaccard similarity of at l
 1. Each set is cut by hash into parts, more parts than two linked sets can differ in; so linked sets agree on several whole parts.
    Parts agreed on give candidate families. N-grams that very many texts hold are left out of the parts, as long as enough is
    left; so a passage or line shared by many texts forms no family.
-2. A family is cut, in order of set size, into blocks of bounded numbers of texts and n-grams. Each pair of blocks whose
+2. A larger family is cut by classes of set size, and by hash within a class, into blocks of bounded numbers of texts and n-grams. Each pair of blocks whose
    size ranges allow a link is one task group: a signature tree over each block holds OR-combined token bitmaps and size
    ranges, a dual traversal drops node pairs whose largest possible overlap is too small, and exact overlaps decide the rest.
 3. Links are counted per text and become components. Texts with equal sets are one class from the start, and linked to each other. A
@@ -33,6 +33,8 @@ SIZE = 4
 #: Texts and n-grams of a block: the memory of one task group, not its result.
 BLOCK_TEXTS = 256
 BLOCK_GRAMS = 1 << 18
+#: Set sizes from CLASS^k on may share a block of a large family.
+CLASS = 1.05
 #: Set sizes from 1.4^k on share the number of parts.
 BAND = 1.4
 #: Parts with fewer n-grams than this say little: if a set has more of them than spare parts, it looks by its full parts too.
@@ -153,44 +155,59 @@ def _signature(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def sketches(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, common: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n_shingles, sig (128 bits of the set; null if empty), key (64 of them), parts (null for a set repeated in the batch), text_key (a hash of the text)."""
-
-    packed = None if common is None else np.packbits(common)
+def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, n_shingles, sig (128 bits of the set; null if empty), key (64 of them), text_key (a hash of the text)."""
 
     def run(batches):
-        often = None if packed is None else np.unpackbits(packed).view(bool)
         for batch in batches:
             n = len(batch)
             counts = np.zeros(n, np.int64)
-            sigs, keys, parts = [None] * n, [None] * n, [None] * n
-            seen = set()
+            sigs, keys = [None] * n, [None] * n
             for first, grams, bounds in _sets(batch.column(1), size):
                 low, high = _signature(grams, bounds)
-                for k in range(len(bounds) - 1):
-                    i = first + k
-                    own = grams[bounds[k]:bounds[k + 1]]
-                    counts[i] = len(own)
-                    if len(own):
-                        sigs[i] = high[k].tobytes() + low[k].tobytes()
-                        keys[i] = int(low[k:k + 1].view(np.int64)[0])
-                        if sigs[i] not in seen:
-                            seen.add(sigs[i])
-                            parts[i] = _parts(own, often, percent)
+                own = np.diff(bounds)
+                counts[first:first + len(own)] = own
+                for k in np.flatnonzero(own).tolist():
+                    sigs[first + k] = high[k].tobytes() + low[k].tobytes()
+                    keys[first + k] = int(low[k:k + 1].view(np.int64)[0])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), pa.array(parts, pa.list_(pa.int64())), batch.column(2)],
-                ["doc_id", "n_shingles", "sig", "key", "parts", "text_key"],
+                [batch.column(0), pa.array(counts), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), batch.column(2)],
+                ["doc_id", "n_shingles", "sig", "key", "text_key"],
             )
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, key bigint, parts array<bigint>, text_key bigint")
+    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, key bigint, text_key bigint")
+
+
+def set_parts(docs: DataFrame, size: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
+    """key and part of every set; a set repeated in a batch comes once. The hashes go straight into the shuffle and are stored nowhere else."""
+    packed = None if common is None else np.packbits(common)
+
+    def run(batches):
+        often = None if packed is None else np.unpackbits(packed).view(bool)
+        for batch in batches:
+            seen = set()
+            for _, grams, bounds in _sets(batch.column(0), size):
+                low, _ = _signature(grams, bounds)
+                keys, parts = [], []
+                for k in np.flatnonzero(np.diff(bounds)).tolist():
+                    if int(low[k]) not in seen:
+                        seen.add(int(low[k]))
+                        parts.append(_parts(grams[bounds[k]:bounds[k + 1]], often, percent))
+                        keys.append(np.full(len(parts[-1]), low[k], np.uint64))
+                if keys:
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "part": pa.array(np.concatenate(parts))})
+
+    return docs.select("text").mapInArrow(run, "key bigint, part bigint")
 
 
 def _with_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Sig, copies and tiles of each row and its n-grams, where they have that sig: ids may be null or repeat with other texts."""
+    """Sig, copies and tiles of each row and its n-grams; rows of the same set come once in a batch, and texts without that set (a clash of text hashes) go."""
 
     def run(batches):
         for batch in batches:
+            first = {s: k for k, s in reversed(list(enumerate(batch.column(1).to_pylist())))}
+            batch = batch.take(pa.array(sorted(first.values()), pa.int64()))
             lists, right = [], []
             want = batch.column(1)
             for first, grams, bounds in _sets(batch.column(0), size):
@@ -371,22 +388,31 @@ def _tile(percent: int, every: bool):
     return run
 
 
-def links(docs: DataFrame, sketch: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def links(docs: DataFrame, sketch: DataFrame, size: int = SIZE, percent: int = PERCENT, common: np.ndarray | None = None) -> DataFrame:
     """All pairs a, b of different set signatures that link, each once."""
-    return _compared(docs, sketch, size, percent, True).select("a", "b")
+    return _compared(docs, sketch, size, percent, True, common).select("a", "b")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members with a block number: one block for a family that fits it, else classes of set size, the larger ones cut by hash."""
+    whole = members.groupBy("fam").agg(F.count(F.lit(1)).alias("texts"), F.sum("n_shingles").alias("grams"))
+    large = whole.where((F.col("texts") > BLOCK_TEXTS) | (F.col("grams") > BLOCK_GRAMS)).select("fam", F.lit(True).alias("large"))
+    band = F.when(F.col("large"), F.floor(F.log("n_shingles") / float(np.log(CLASS)))).otherwise(0).cast("bigint")
+    classed = members.join(large, "fam", "left").withColumn("band", band).drop("large")
+    parts = classed.groupBy("fam", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)).alias("cuts"))
+    block = F.shiftleft("band", 32) + F.pmod(F.xxhash64("sig"), "cuts")
+    return classed.join(parts, ["fam", "band"]).withColumn("block", block).drop("band", "cuts")
 
 
-def _compared(docs: DataFrame, sketch: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
-    parts = sketch.where("parts IS NOT NULL").select("key", F.explode("parts").alias("part"))
+def _compared(docs: DataFrame, sketch: DataFrame, size: int, percent: int, every: bool, common: np.ndarray | None = None) -> DataFrame:
+    parts = set_parts(docs, size, percent, common)
     least = F.min("key").over(Window.partitionBy("part"))
     edges = parts.select("key", least.alias("least")).where("key > least").distinct()
     families = components(edges, "key", "least").select(F.col("node").alias("key"), F.col("root").alias("fam"))
-    rank = Window.partitionBy("fam").orderBy("n_shingles", "sig")
-    members = (
-        sketch.where("sig IS NOT NULL").groupBy("sig", "key", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).join(families, "key")
-        .withColumn("block", F.greatest(F.floor((F.row_number().over(rank) - 1) / BLOCK_TEXTS), F.floor((F.sum("n_shingles").over(rank) - F.col("n_shingles")) / BLOCK_GRAMS)))
-    )
-    members = stored(members, "members")
+    # one text stands for a set, wherever it comes from: ids may be null or repeat
+    one = F.min(F.struct("text_key", F.col("doc_id").isNull().alias("without"), "doc_id"))
+    members = sketch.where("sig IS NOT NULL").groupBy("sig", "key", "n_shingles").agg(one.alias("one"), F.count(F.lit(1)).alias("copies")).join(families, "key")
+    members = stored(_blocks(stored(members, "families")), "members")
     blocks = members.groupBy("fam", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     a, b = blocks.alias("a"), blocks.alias("b")
     pairs = a.join(b, (F.col("a.fam") == F.col("b.fam")) & (F.col("a.block") <= F.col("b.block")) & (F.col("a.high") * 100 >= F.col("b.low") * percent)).select(
@@ -394,16 +420,17 @@ def _compared(docs: DataFrame, sketch: DataFrame, size: int, percent: int, every
     sides = pairs.select("fam", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionAll(
         pairs.where("i < j").select("fam", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
     tiles = sides.groupBy("fam", "block").agg(F.collect_list(F.struct("fam", "i", "j", "side")).alias("tiles"))
-    placed = members.join(tiles, ["fam", "block"]).select("doc_id", "sig", "copies", "tiles")
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(placed, F.col("id").eqNullSafe(F.col("doc_id")))
+    placed = members.join(tiles, ["fam", "block"]).select("one", "sig", "copies", "tiles")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
+    rows = rows.join(placed, (F.col("hash") == F.col("one.text_key")) & F.col("id").eqNullSafe(F.col("one.doc_id")))
     dealt = _with_sets(rows, size).select("sig", "copies", "grams", F.inline("tiles"))
     return dealt.groupBy("fam", "i", "j").applyInArrow(_tile(percent, every), "a binary, b binary, n bigint")
 
 
 def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sketch of each row, what the task groups found, and for each set signature its component's root, smallest id and copies."""
-    sketch = stored(sketches(docs, size, percent, common_grams(docs, size)), "sketch")
-    found = stored(_compared(docs, sketch, size, percent, False), "links")
+    sketch = stored(sketches(docs, size), "sketch")
+    found = stored(_compared(docs, sketch, size, percent, False, common_grams(docs, size)), "links")
     tied = components(found.where("b IS NOT NULL"), "a", "b")
     classes = sketch.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     return sketch, found, classes.join(tied, F.col("sig") == F.col("node"), "left").select("sig", "rep", "copies", F.coalesce("root", "sig").alias("root"))
@@ -425,10 +452,13 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
 def representatives(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id and text_key (xxhash64 of the text) of one row of each component: the one with the smallest id, null ids last.
 
-    Rows with an empty set stand for themselves, each doc_id and text once.
+    Rows with an empty set stand for themselves, each doc_id and text once. `copies`: rows of this id and text.
     """
     sketch, _, named = _classes(docs.select("doc_id", "text"), size, percent)
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", F.col("sig").alias("first_sig"), "text_key")
     first = sketch.where("sig IS NOT NULL").groupBy("sig").agg(F.min(order).alias("first"))
     kept = first.join(named.select("sig", "root"), "sig").groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
-    return kept.unionAll(sketch.where("sig IS NULL").select("doc_id", "text_key").distinct())
+    kept = kept.unionAll(sketch.where("sig IS NULL").select("doc_id", "text_key").distinct())
+    more = sketch.groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = (F.col("text_key") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    return kept.join(more, same, "left").select("doc_id", "text_key", F.coalesce("n", F.lit(1)).alias("copies"))

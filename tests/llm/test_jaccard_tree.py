@@ -121,3 +121,34 @@ def test_every_link_of_a_family_counts(spark, monkeypatch):
     distinct = list({grams(t): t for t in texts}.values())
     found = jaccard_tree.links(frame, jaccard_tree.sketches(frame)).collect()
     assert len(found) == len({frozenset((bytes(r.a), bytes(r.b))) for r in found}) == len(linked(distinct)) > len(distinct)
+
+
+def test_rows_without_an_id_are_looked_up_by_text(spark, monkeypatch):
+    """400 rows with a null id: only the rows of the family go on to set building, each once."""
+    sent = []
+    build = jaccard_tree._with_sets
+
+    def counting(docs, size):
+        sent.append(docs.count())
+        return build(docs, size)
+
+    monkeypatch.setattr(jaccard_tree, "_with_sets", counting)
+    rng = random.Random(8)
+    rows = [(None, t) for t in family(rng, 200, 60, 2)] + [(None, f"alone {k} in here {k * k} or so") for k in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    links = sorted(r.n_links for r in jaccard_tree.join(frame).collect())
+    want = [0] * len(rows)
+    for i, j in linked([t for _, t in rows]):
+        want[i] += 1
+        want[j] += 1
+    assert links == sorted(want) and sent[0] <= 200
+
+
+def test_large_families_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_tree, "BLOCK_TEXTS", 5)
+    monkeypatch.setattr(jaccard_tree, "BLOCK_GRAMS", 400)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(130)]
+    texts = [" ".join(base[:n] + [f"x{rng.randrange(3)}"]) for n in range(100, 130) for _ in range(3)]
+    rows = list(enumerate(texts))
+    assert run(spark, rows) == brute(rows)

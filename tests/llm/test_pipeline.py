@@ -78,3 +78,11 @@ def test_one_row_of_each_group_stays_with_and_without_ids(spark):
     ones = {(d, None if t is None else t[0]) for d, t in got}
     assert len(got) == len(ones) == 6 and {x for x in ones if x != (None, "b")} == {(None, "a"), (7, "a"), (3, "c"), (9, "d"), (None, None)}
     assert [t for d, t in got if d is None and t and t[0] == "a"] == [rows[0][1]]
+
+
+def test_helper_names_as_extra_columns(spark):
+    names = ["first", "first_id", "first_key", "row", "copies", "text_key", "sig", "key", "__nth", "hash", "id", "one"]
+    rows = [(1, "a b c d e f g h", "en", "s", 1), (1, "a b c d e f g h", "en", "s", 1), (2, "a b c d e f g h", "de", "s", 1), (3, "another text of some words", "en", "s", 1)]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], COLUMNS + "".join(f", `{n}` int" for n in names))
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns and sorted(tuple(r) for r in out.collect()) == [(*r, *range(len(names))) for r in (rows[0], rows[3])]
