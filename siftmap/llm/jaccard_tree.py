@@ -31,8 +31,8 @@ from siftmap.llm.wordhash import SPACED, chunks, mix, shingles, whole, words
 PERCENT = 85
 SIZE = 4
 #: Texts and n-grams of a block: the memory of one task group, not its result.
-BLOCK_TEXTS = 256
-BLOCK_GRAMS = 1 << 18
+BLOCK_TEXTS = 1024
+BLOCK_GRAMS = 1 << 20
 #: Set sizes from CLASS^k on may share a block of a large family.
 CLASS = 1.05
 #: Set sizes from 1.4^k on share the number of parts.
