@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftmap.catalog import query
 from siftmap.functions.hashing import split_of
-from siftmap.operators import datasets, labeling, registry, vector
+from siftmap.operators import arima, datasets, labeling, living, registry, vector
 from siftmap.operators import learning as op
 from siftmap.operators.evidence import centroids
 from siftmap.session import new_path
@@ -40,6 +40,14 @@ SCREEN = op.Recipe("classification", "LOGISTIC_REG")
 LIGHT = op.Recipe("classification", "LOGISTIC_REG", settings={"l2_reg": 0.01})
 
 
+#: Documents per cluster and year; a run passes if forecasts of the last years were off by less than half of the values.
+VOLUME = op.Recipe("time_series", "ARIMA_PLUS", bounds={"mean_absolute_percentage_error_max": 0.5}, series=arima.Series("yr", "n_docs", "cluster_id"))
+
+
+def yearly_counts(d):
+    return living.yearly(d.clusters(), d.corpus().select("doc_id", "year"))
+
+
 def as_rows(spark, trained, name):
     rows = [(name, k, float(v)) for k, v in trained.metrics.items()]
     return spark.createDataFrame(rows, "model string, metric string, value double").withColumn("passed", F.lit(trained.passed).cast("boolean"))
@@ -159,6 +167,28 @@ def _(d):
     return rows.select("row_id", "label", F.round(total, 4).alias("vec_sum"))
 
 
+@query("training_data_select_series", "SELECT yr, n_docs, cluster_id FROM cluster_yearly")
+def _(d):
+    return op.training_rows(yearly_counts(d), VOLUME)
+
+
+@query("train_time_series_run")
+def _(d):
+    """A run over a table of series: models saved as a table, run, model and evaluation rows in a registry, the gate, and the saved models' forecast."""
+    started = datetime.now(timezone.utc)
+    t = op.train(yearly_counts(d), VOLUME)
+    path, root = new_path(d.spark, "model"), new_path(d.spark, "registry")
+    t.model.write.parquet(path)
+    rows = op.run_rows(d.spark, VOLUME, t, "run-ts", "cluster_volume", path, started, datetime.now(timezone.utc))
+    for name, frame in zip(("runs", "models", "evaluations"), rows):
+        frame.write.mode("append").parquet(f"{root}/{name}")
+    runs, models, evaluations = (d.spark.read.schema(f.schema).parquet(f"{root}/{n}") for n, f in zip(("runs", "models", "evaluations"), rows))
+    gated = registry.check_gates(evaluations, op.GATES["time_series"] | VOLUME.bounds).join(models, "model_id").join(runs.drop("learning_type"), "run_id")
+    saved = d.spark.read.schema(t.model.schema).parquet(gated.head()["artifact"])
+    ahead = op.series_forecast(saved, VOLUME).agg(F.count("forecast_value").alias("n_forecasts"), F.countDistinct("series").alias("n_forecast_series"))
+    return gated.select("run_id", "model_id", "task", "learning_type", "status", "config_json", "metrics_json", "passed").crossJoin(F.broadcast(ahead))
+
+
 @query("hparam_search")
 def _(d):
     cfg = op.Recipe("classification", "LOGISTIC_REG", candidates=op.Candidates({"l2_reg": [0.001, 1.0]}, 4))

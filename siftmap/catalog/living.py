@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftmap.catalog import query
+from siftmap.operators import arima
 from siftmap.operators import living as op
 
 Z = op.interval_z(0.8)
@@ -85,6 +86,40 @@ def _(d):
     return op.autoregressive(counts(d))
 
 
+SERIES = arima.Series("yr", "n_docs", "cluster_id")
+
+
+@query("forecast_arima")
+def _(d):
+    """Automatic ARIMA per cluster: three years ahead at 80 per cent."""
+    return arima.forecast(arima.fit(counts(d), SERIES), 3, 0.8).withColumnRenamed("series", "cluster_id")
+
+
+@query("forecast_arima_horizon", """SELECT c.cluster_id, n_points, make_date(last + h, 1, 1) AS forecast_timestamp, h > 0 AS has_value FROM
+ (SELECT cluster_id, (max(year(yr)) - min(year(yr)) + 1)::INTEGER AS n_points, max(year(yr))::INTEGER AS last FROM cluster_yearly GROUP BY 1) c, (VALUES (1), (2), (3)) t(h)""")
+def _(d):
+    """What the forecast covers: the years after each series' last one, and how many years the model has seen, gaps filled."""
+    models = arima.fit(counts(d), SERIES)
+    ahead = arima.forecast(models, 3).select(F.col("series").alias("of"), "forecast_timestamp", F.col("forecast_value").isNotNull().alias("has_value"))
+    return models.join(ahead, F.col("series") == F.col("of")).select(F.col("series").alias("cluster_id"), "n_points", "forecast_timestamp", "has_value")
+
+
+@query("forecast_arima_eval")
+def _(d):
+    """Orders, likelihood, criterion and variance per cluster."""
+    return arima.residual_report(arima.fit(counts(d), SERIES)).withColumnRenamed("series", "cluster_id")
+
+
+@query("forecast_arima_xreg")
+def _(d):
+    """ARIMA with the corpus' documents per year as a driver, which stays at its mean ahead."""
+    past = counts(d).withColumn("year", F.year("yr")).join(drivers(d), "year")
+    last = past.groupBy("cluster_id").agg(F.max("year").alias("y"), F.avg("corpus_docs").alias("corpus_docs"))
+    future = last.select("cluster_id", F.make_date(F.explode(F.sequence(F.col("y") + 1, F.col("y") + 3)), F.lit(1), F.lit(1)).alias("yr"), "corpus_docs")
+    driven = arima.Series("yr", "n_docs", "cluster_id", ("corpus_docs",))
+    return arima.forecast(arima.fit(past, driven), 3, future=future, series=driven).withColumnRenamed("series", "cluster_id")
+
+
 def drivers(d):
     """Documents per year in the whole corpus, as the outside driver of each cluster."""
     return d.corpus().groupBy("year").agg(F.count(F.lit(1)).cast("double").alias("corpus_docs"))

@@ -159,3 +159,31 @@ def test_embedding_is_deterministic_and_unit(spark):
     df = spark.createDataFrame([("a", "flood risk in cities"), ("b", "flood risk in cities"), ("c", "other words")], "k string, t string")
     got = {r.k: np.array(r.embedding) for r in op.embed_text(df, "k", "t", 64).collect()}
     assert np.allclose(got["a"], got["b"]) and np.isclose(np.linalg.norm(got["c"]), 1.0)
+
+
+def test_recipes_over_series(spark):
+    import datetime as dt
+
+    from siftmap.operators.arima import Series
+
+    rows = [(c, dt.date(1990 + k, 1, 1), float(10 * c + 2 * k + (k * 7 % 3)), float(k % 4)) for c in (1, 2, 3) for k in range(16)]
+    data = spark.createDataFrame(rows, "cluster_id bigint, yr date, n_docs double, x double")
+    s = Series("yr", "n_docs", "cluster_id")
+    good = op.Recipe("time_series", "ARIMA_PLUS", settings={"horizon": 2}, bounds={"mean_absolute_percentage_error_max": 0.3}, series=s)
+    t = op.train(data, good)
+    assert t.passed and t.metrics["n_series"] == 3 and t.metrics["n_compared"] == 6 and t.metrics["mean_absolute_error"] < 4
+    assert op.training_rows(data, good).columns == ["yr", "n_docs", "cluster_id"]
+    ahead = op.series_forecast(t.model, good).collect()
+    assert len(ahead) == 6 and all(r.prediction_interval_lower_bound <= r.forecast_value <= r.prediction_interval_upper_bound for r in ahead)
+    run, model, scores = op.run_rows(spark, good, t, "r1", "volume", "/models/r1", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))
+    assert run.head().learning_type == "time_series" and model.head().artifact == "/models/r1" and "n_series" in scores.head().metrics_json
+    fixed = op.Recipe("time_series", "ARIMA_PLUS", settings={"auto_arima": False, "non_seasonal_order": [0, 1, 1]}, series=s)
+    assert {(r.p, r.d, r.q) for r in op.train(data, fixed).model.collect()} == {(0, 1, 1)}
+    driven = op.Recipe("time_series", "ARIMA_PLUS_XREG", series=Series("yr", "n_docs", "cluster_id", ("x",)))
+    assert op.train(data, driven).metrics["n_series"] == 3
+    for bad in (
+        op.Recipe("time_series", "ARIMA_PLUS"), op.Recipe("time_series", "LINEAR_REG", series=s), op.Recipe("time_series", "ARIMA_PLUS", settings={"auto_arima": False}, series=s),
+        op.Recipe("time_series", "ARIMA_PLUS", settings={"data_frequency": "HOURLY"}, series=s), op.Recipe("time_series", "ARIMA_PLUS_XREG", series=s),
+        op.Recipe("time_series", "ARIMA_PLUS", candidates=op.Candidates({"horizon": [1, 2]}, 2), series=s), op.Recipe("time_series", "ARIMA_PLUS", settings={"holiday_region": "US"}, series=s),
+    ):
+        assert bad.problems()
