@@ -115,7 +115,8 @@ def _(d):
     """ARIMA with the corpus' documents per year as a driver, which stays at its mean ahead."""
     past = counts(d).withColumn("year", F.year("yr")).join(drivers(d), "year")
     last = past.groupBy("cluster_id").agg(F.max("year").alias("y"), F.avg("corpus_docs").alias("corpus_docs"))
-    future = last.select("cluster_id", F.make_date(F.explode(F.sequence(F.col("y") + 1, F.col("y") + 3)), F.lit(1), F.lit(1)).alias("yr"), "corpus_docs")
+    ahead = last.select("cluster_id", F.explode(F.sequence(F.col("y") + 1, F.col("y") + 3)).alias("year"), "corpus_docs")
+    future = ahead.withColumn("yr", F.make_date("year", F.lit(1), F.lit(1)))
     driven = arima.Series("yr", "n_docs", "cluster_id", ("corpus_docs",))
     return arima.forecast(arima.fit(past, driven), 3, future=future, series=driven).withColumnRenamed("series", "cluster_id")
 

@@ -6,6 +6,7 @@ from siftmap.catalog import query
 from siftmap.session import new_path
 from siftmap.sources.domain import DECISION_TYPES, Domain
 from siftmap.streaming import decisions as st
+from siftmap.streaming import keyed
 
 
 class _Streamed(Domain):
@@ -28,7 +29,7 @@ VALID = f"""SELECT decision_id, doc_id, cluster_id, decision_type, reviewer FROM
 def _(d):
     out = new_path(d.spark, "decisions")
     s = streamed(d).submitted()
-    st.ingest(s, DECISION_TYPES, out, new_path(d.spark, "checkpoint"))
+    keyed.ingest(s, DECISION_TYPES, out, new_path(d.spark, "checkpoint"))
     return d.spark.read.schema(s.schema).parquet(out).drop("note", "decided_at", "batch")
 
 
@@ -36,8 +37,8 @@ def _(d):
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY decided_at DESC, decision_id DESC) = 1""")
 def _(d):
     out = new_path(d.spark, "latest")
-    st.latest_per_document(streamed(d).decisions(), out, new_path(d.spark, "checkpoint"))
-    return st.current(d.spark, out)
+    keyed.latest(streamed(d).decisions(), out, new_path(d.spark, "checkpoint"))
+    return keyed.current(d.spark, out)
 
 
 @query("stream_monitoring_daily", """SELECT d.decided_at::DATE AS day, d.decision_type, count(*) AS n,
@@ -45,6 +46,5 @@ def _(d):
  FROM decisions d LEFT JOIN scores s ON s.doc_id = d.doc_id GROUP BY ALL""")
 def _(d):
     out = new_path(d.spark, "daily")
-    st.daily_counts(streamed(d).decisions(), out, new_path(d.spark, "checkpoint"))
-    counts = d.spark.read.schema("day date, doc_id string, decision_type string, n bigint").parquet(out)
-    return st.daily_report(counts, d.scores())
+    keyed.daily(streamed(d).decisions(), out, new_path(d.spark, "checkpoint"))
+    return st.daily_report(keyed.daily_totals(d.spark, out), d.scores())
