@@ -324,8 +324,8 @@ class _Coded(NamedTuple):
     bit: np.ndarray
 
 
-def _code(b: _Bits, texts: int, model: Model) -> _Coded:
-    """Codes the bits of a chunk; the same step of all its texts is one numpy step."""
+def _code(b: _Bits, texts: int, model: Model, learning: bool = True) -> _Coded:
+    """Codes the bits of a chunk; the same step of all its texts is one numpy step. `used` is counted for learning only."""
     heads = np.searchsorted(b.row, np.arange(texts + 1))
     step = (np.arange(len(b.row)) - heads[b.row]) >> STEP_BITS
     order = np.argsort(step.astype(np.uint16) if len(step) >> STEP_BITS < 1 << 16 else step, kind="stable")
@@ -336,7 +336,8 @@ def _code(b: _Bits, texts: int, model: Model) -> _Coded:
     for k in range(INPUTS):
         x[:, k] = _STRETCH[found[k]]
     bit = b.bit[order].astype(np.float32)
-    own = b.row[order] * GATES + gate
+    row = b.row[order]
+    own = row * GATES + gate
     weights = np.tile(model.weights.astype(np.float32), (texts, 1))
     odds, p = np.empty(len(order), np.float32), np.empty(len(order), np.float32)
     ends = np.cumsum(np.bincount(step)) if len(step) else np.zeros(0, np.int64)
@@ -359,7 +360,8 @@ def _code(b: _Bits, texts: int, model: Model) -> _Coded:
     cell = np.round(np.clip(odds, -8, 8) * ((CELLS - 1) / 16) + (CELLS - 1) / 2).astype(np.int64) + kind * np.int64(CELLS)
     p = (p + model.refined.astype(np.float32).ravel()[cell]) * np.float32(0.5)
     cost = -np.log2(np.abs(1 - bit - p))
-    return _Coded(np.bincount(b.row[order], cost, texts), np.bincount(own, minlength=texts * GATES).reshape(texts, GATES), weights.reshape(texts, GATES, INPUTS), cell, bit)
+    used = np.bincount(own, minlength=texts * GATES).reshape(texts, GATES) if learning else np.zeros((texts, 0))
+    return _Coded(np.bincount(row, cost, texts), used, weights.reshape(texts, GATES, INPUTS), cell, bit)
 
 
 def learn(docs: DataFrame, model: Model, table_bits: int, rounds: int = ROUNDS) -> Model:
@@ -424,7 +426,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, total: int, distinct
             for chunk in chunks(batch.column(3), CHUNK):
                 texts = len(chunk.offsets) - 1
                 t = _tokens(chunk, codes)
-                coded = _code(_bits(chunk, t, codes, bits), texts, now)
+                coded = _code(_bits(chunk, t, codes, bits), texts, now, False)
                 own = t.place >= 0
                 place, row = t.place[own], t.row[own]
                 base, n_known = np.bincount(row, logs[place], texts), np.bincount(row, known[place], texts)
