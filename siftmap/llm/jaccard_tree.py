@@ -3,7 +3,7 @@
 Two texts link when their sets of word n-grams have a Jaccard similarity of at least percent/100. No link is lost:
 
 1. Each set is cut by hash into parts, more parts than two linked sets can differ in; so linked sets agree on several whole parts.
-   Parts agreed on give candidate families. N-grams that very many texts hold are left out of the parts, as long as enough is
+   Parts agreed on give candidate families; parts meet in buckets, each batch sending a part once. N-grams that very many texts hold are left out of the parts, as long as enough is
    left; so a passage or line shared by many texts forms no family.
 2. A larger family is cut by classes of set size, and by hash within a class, into blocks of bounded numbers of texts and n-grams. Each pair of blocks whose
    size ranges allow a link is one task group: a signature tree over each block holds OR-combined token bitmaps and size
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmap.llm.graph import components, stored
@@ -42,6 +42,10 @@ FEW = 2
 BITS = 4096
 #: Hash classes in which n-grams are counted to tell common ones.
 COUNTERS = 1 << 20
+#: Parts that one bucket holds on average: the memory of a task group; the number of buckets grows with the input.
+BUCKET_PARTS = 1 << 20
+#: The lower six bytes of a set's hash name its node in the search for families; sets that share them share a family.
+KEY = np.uint64((1 << 48) - 1)
 TILES = "array<struct<fam bigint, i bigint, j bigint, side int>>"
 LEAF = 8
 FAN = 4
@@ -156,7 +160,7 @@ def _signature(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, sig (128 bits of the set; null if empty), key (64 of them), text_key (a hash of the text)."""
+    """doc_id, n_shingles, sig (128 bits of the set; null if empty), key (48 of them), text_key (a hash of the text)."""
 
     def run(batches):
         for batch in batches:
@@ -169,7 +173,7 @@ def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 counts[first:first + len(own)] = own
                 for k in np.flatnonzero(own).tolist():
                     sigs[first + k] = high[k].tobytes() + low[k].tobytes()
-                    keys[first + k] = int(low[k:k + 1].view(np.int64)[0])
+                    keys[first + k] = int(low[k] & KEY)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), batch.column(2)],
                 ["doc_id", "n_shingles", "sig", "key", "text_key"],
@@ -179,45 +183,102 @@ def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, key bigint, text_key bigint")
 
 
-def set_parts(docs: DataFrame, size: int, percent: int, common: np.ndarray | None = None) -> DataFrame:
-    """key and part of every set; a set repeated in a batch comes once. The hashes go straight into the shuffle and are stored nowhere else."""
+def _stars(part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries of parts and the sets holding them: the distinct edges (set, least set of a part) as two arrays, and the first entry of each part."""
+    order = np.lexsort((key, part))
+    part, key = part[order], key[order]
+    new = np.ones(len(part), bool)
+    new[1:] = part[1:] != part[:-1]
+    least = key[new][np.cumsum(new) - 1] if len(part) else key
+    far = np.flatnonzero(key != least)
+    pairs = np.unique(np.stack([key[far], least[far]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1], order[new]
+
+
+def _six(values: np.ndarray) -> bytes:
+    """The lower six bytes of each number."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
+def part_edges(docs: DataFrame, size: int, percent: int, buckets: int, common: np.ndarray | None = None) -> DataFrame:
+    """Edges key, least between sets that agree on a part; `key` is the set's key without its upper two bytes.
+
+    A batch ties the sets it holds itself and sends each part once, with its least set. Parts travel in blobs of six bytes each, by set
+    and bucket; the hashes are stored nowhere else. What six bytes confuse is an edge too many, never one too few.
+    """
     packed = None if common is None else np.packbits(common)
 
     def run(batches):
         often = None if packed is None else np.unpackbits(packed).view(bool)
         for batch in batches:
             seen = set()
+            keys, parts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for _, grams, bounds in _sets(batch.column(0), size):
                 low, _ = _signature(grams, bounds)
-                keys, parts = [], []
                 for k in np.flatnonzero(np.diff(bounds)).tolist():
                     if int(low[k]) not in seen:
                         seen.add(int(low[k]))
-                        parts.append(_parts(grams[bounds[k]:bounds[k + 1]], often, percent))
-                        keys.append(np.full(len(parts[-1]), low[k], np.uint64))
-                if keys:
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "part": pa.array(np.concatenate(parts))})
-
-    return docs.select("text").mapInArrow(run, "key bigint, part bigint")
+                        parts.append(_parts(grams[bounds[k]:bounds[k + 1]], often, percent).view(np.uint64))
+                        keys.append(np.full(len(parts[-1]), low[k] & KEY, np.uint64))
+            key, part = np.concatenate(keys), np.concatenate(parts)
+            a, b, first = _stars(part, key)
+            key, part = key[first], part[first]
+            bucket = part % np.uint64(buckets)
+            order = np.lexsort((key, bucket))
+            key, part, bucket = key[order], part[order] // np.uint64(buckets), bucket[order]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+            out = {"bucket": bucket[cuts].astype(np.int64).tolist(), "sets": [], "counts": [], "parts": [], "a": [], "b": []}
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+                own, n = np.unique(key[i:j], return_counts=True)
+                out["sets"].append(_six(own))
+                out["counts"].append(n.astype("<u2" if n.max() < 1 << 16 else "<u4").tobytes())
+                out["parts"].append(_six(part[i:j]))
+            out["a"], out["b"] = [b""] * len(cuts), [b""] * len(cuts)
+            home = a % np.uint64(buckets)
+            for h in np.unique(home).tolist():
+                at = home == h
+                out["bucket"].append(int(h))
+                for c, v in (("sets", b""), ("counts", b""), ("parts", b""), ("a", _six(a[at])), ("b", _six(b[at]))):
+                    out[c].append(v)
+            types = {"bucket": pa.int64()}
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c, pa.binary())) for c, v in out.items()})
+
+    def tie(table: pa.Table) -> pa.Table:
+        col = {c: table.column(c).to_pylist() for c in ("sets", "counts", "parts", "a", "b")}
+        keys = []
+        for s, c in zip(col["sets"], col["counts"]):
+            n = np.frombuffer(c, "<u2" if 3 * len(c) == len(s) else "<u4").astype(np.int64)
+            keys.append(np.repeat(_from_six(s), n))
+        a, b, _ = _stars(_from_six(b"".join(col["parts"])), np.concatenate(keys))
+        both = np.stack([np.concatenate([a, _from_six(b"".join(col["a"]))]), np.concatenate([b, _from_six(b"".join(col["b"]))])], axis=1)
+        both = np.unique(both, axis=0).astype(np.int64)
+        return pa.table({"key": pa.array(both[:, 0]), "least": pa.array(both[:, 1])})
+
+    blobs = docs.select("text").mapInArrow(run, "bucket bigint, sets binary, counts binary, parts binary, a binary, b binary")
+    return blobs.groupBy("bucket").applyInArrow(tie, "key bigint, least bigint")
 
 
 def _with_sets(docs: DataFrame, size: int) -> DataFrame:
-    """Sig, copies and tiles of each row and its n-grams; rows of the same set come once in a batch, and texts without that set (a clash of text hashes) go."""
+    """Text, sig, copies and tiles of rows whose text has the set `sig`; a set comes once in a batch, and texts without it (a clash of text hashes) go."""
 
     def run(batches):
         for batch in batches:
             first = {s: k for k, s in reversed(list(enumerate(batch.column(1).to_pylist())))}
             batch = batch.take(pa.array(sorted(first.values()), pa.int64()))
-            lists, right = [], []
+            right = []
             want = batch.column(1)
             for first, grams, bounds in _sets(batch.column(0), size):
                 low, high = _signature(grams, bounds)
                 right += [want[first + k].as_py() == high[k].tobytes() + low[k].tobytes() for k in range(len(low))]
-                lists.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(grams.view(np.int64))))
-            grams = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], grams], ["sig", "copies", "tiles", "grams"]).filter(pa.array(right, pa.bool_()))
+            yield batch.filter(pa.array(right, pa.bool_()))
 
-    return docs.select("text", "sig", "copies", "tiles").mapInArrow(run, f"sig binary, copies bigint, tiles {TILES}, grams array<bigint>")
+    return docs.select("text", "sig", "copies", "tiles").mapInArrow(run, f"text string, sig binary, copies bigint, tiles {TILES}")
 
 
 class _Tree:
@@ -353,7 +414,7 @@ def _forest(pairs: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _tile(percent: int, every: bool):
+def _tile(size: int, percent: int, every: bool):
     """Pairs a, b of a task group's texts: all links; or, unless `every`, a forest of them with n null, and for each text a with links
     how many rows n it is linked to, with b null."""
 
@@ -361,13 +422,13 @@ def _tile(percent: int, every: bool):
         side = table.column("side").to_numpy()
         sigs = table.column("sig").to_pylist()
         copies = table.column("copies").to_numpy()
-        lists = table.column("grams").combine_chunks()
+        texts = table.column("text")
         sides, index = [], []
         for s in np.unique(side):
             # rows that repeat an id and a text bring their set more than once
             at = np.array(list({sigs[k]: k for k in np.flatnonzero(side == s).tolist()}.values()))
-            some = lists.take(pa.array(at))
-            sides.append((some.values.to_numpy()[some.offsets[0].as_py():some.offsets[-1].as_py()], some.offsets.to_numpy().astype(np.int64) - some.offsets[0].as_py()))
+            found = [(grams, np.diff(bounds)) for _, grams, bounds in _sets(texts.take(pa.array(at)), size)]
+            sides.append((np.concatenate([g for g, _ in found]).view(np.int64), np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in found]))])))
             index.append(at)
         index = np.concatenate(index)
         if len(sides) == 1 and int(table.column("i")[0].as_py()) != int(table.column("j")[0].as_py()):
@@ -405,9 +466,9 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def _compared(docs: DataFrame, sketch: DataFrame, size: int, percent: int, every: bool, common: np.ndarray | None = None) -> DataFrame:
-    parts = set_parts(docs, size, percent, common)
-    least = F.min("key").over(Window.partitionBy("part"))
-    edges = parts.select("key", least.alias("least")).where("key > least").distinct()
+    # about one part for two n-grams
+    grams = sketch.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first().n
+    edges = part_edges(docs, size, percent, max(1, grams // (2 * BUCKET_PARTS)), common)
     families = components(edges, "key", "least").select(F.col("node").alias("key"), F.col("root").alias("fam"))
     # one text stands for a set, wherever it comes from: ids may be null or repeat
     one = F.min(F.struct("text_key", F.col("doc_id").isNull().alias("without"), "doc_id"))
@@ -423,8 +484,9 @@ def _compared(docs: DataFrame, sketch: DataFrame, size: int, percent: int, every
     placed = members.join(tiles, ["fam", "block"]).select("one", "sig", "copies", "tiles")
     rows = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
     rows = rows.join(placed, (F.col("hash") == F.col("one.text_key")) & F.col("id").eqNullSafe(F.col("one.doc_id")))
-    dealt = _with_sets(rows, size).select("sig", "copies", "grams", F.inline("tiles"))
-    return dealt.groupBy("fam", "i", "j").applyInArrow(_tile(percent, every), "a binary, b binary, n bigint")
+    # texts are dealt, not their n-grams: they are shorter and the shuffle can compress them
+    dealt = _with_sets(rows, size).select("sig", "copies", "text", F.inline("tiles"))
+    return dealt.groupBy("fam", "i", "j").applyInArrow(_tile(size, percent, every), "a binary, b binary, n bigint")
 
 
 def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
