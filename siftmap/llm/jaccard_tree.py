@@ -8,6 +8,8 @@ Two texts link when their sets of word n-grams have a Jaccard similarity of at l
 2. A larger family is cut by classes of set size, and by hash within a class, into blocks of bounded numbers of texts and n-grams. Each pair of blocks whose
    size ranges allow a link is one task group: a signature tree over each block holds OR-combined token bitmaps and size
    ranges, a dual traversal drops node pairs whose largest possible overlap is too small, and exact overlaps decide the rest.
+   Families of several blocks go through the trees twice: first with bitmaps alone, whose possible links split them into smaller
+   families, then with the texts that are left.
 3. Links are counted per text and become components. Texts with equal sets are one class from the start, and linked to each other. A
    task group returns the counts and, of its links, as many as tie its texts together; links() returns them all.
 
@@ -40,6 +42,9 @@ BAND = 1.4
 #: Parts with fewer n-grams than this say little: if a set has more of them than spare parts, it looks by its full parts too.
 FEW = 2
 BITS = 4096
+#: Bitmaps that split large families: bits for each n-gram, and the widest bitmap; a larger set's says less, and loses no link.
+LOAD = 4
+MOST_BITS = 1 << 16
 #: Hash classes in which n-grams are counted to tell common ones.
 COUNTERS = 1 << 20
 #: Parts that one bucket holds on average: the memory of a task group; the number of buckets grows with the input.
@@ -159,14 +164,28 @@ def _signature(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
+def _bitmap(grams: np.ndarray) -> bytes:
+    """Bits of the n-grams' hashes: a power of two of them, at least LOAD for each n-gram, at most MOST_BITS."""
+    width = min(max(64, 1 << int(LOAD * len(grams) - 1).bit_length()), MOST_BITS)
+    out = np.zeros(width, bool)
+    out[(mix(grams) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of `width` bytes: a wider one's stretches are OR-combined."""
+    out = np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0) for b in bits])
+    return out.view("<u8")
+
+
 def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_shingles, sig (128 bits of the set; null if empty), key (48 of them), text_key (a hash of the text)."""
+    """doc_id, n_shingles, sig (128 bits of the set; null if empty), key (48 of them), text_key (a hash of the text), bits (bitmap of the set)."""
 
     def run(batches):
         for batch in batches:
             n = len(batch)
             counts = np.zeros(n, np.int64)
-            sigs, keys = [None] * n, [None] * n
+            sigs, keys, bits = [None] * n, [None] * n, [None] * n
             for first, grams, bounds in _sets(batch.column(1), size):
                 low, high = _signature(grams, bounds)
                 own = np.diff(bounds)
@@ -174,13 +193,14 @@ def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 for k in np.flatnonzero(own).tolist():
                     sigs[first + k] = high[k].tobytes() + low[k].tobytes()
                     keys[first + k] = int(low[k] & KEY)
+                    bits[first + k] = _bitmap(grams[bounds[k]:bounds[k + 1]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), batch.column(2)],
-                ["doc_id", "n_shingles", "sig", "key", "text_key"],
+                [batch.column(0), pa.array(counts), pa.array(sigs, pa.binary()), pa.array(keys, pa.int64()), batch.column(2), pa.array(bits, pa.binary())],
+                ["doc_id", "n_shingles", "sig", "key", "text_key", "bits"],
             )
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, key bigint, text_key bigint")
+    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, key bigint, text_key bigint, bits binary")
 
 
 def _stars(part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -449,6 +469,54 @@ def _tile(size: int, percent: int, every: bool):
     return run
 
 
+def _bound_tile(percent: int):
+    """Of a task group's pairs of texts whose bitmaps leave a link possible, as many as tie its texts together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, size, key = (table.column(c).to_numpy() for c in ("side", "n_shingles", "key"))
+        bits = table.column("bits").to_pylist()
+        width = min(map(len, bits))
+        trees, ranks = [], []
+        for s in np.unique(side):
+            at = np.flatnonzero(side == s)
+            at = at[np.argsort(size[at], kind="stable")]
+            trees.append(_Tree(_folded([bits[k] for k in at.tolist()], width), size[at]))
+            ranks.append(at)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # one block alone in a group of two: the other one is in another family
+        if len(trees) == 2 or table.column("i")[0].as_py() == table.column("j")[0].as_py():
+            a, b = _candidates(trees[0], trees[-1], len(trees) == 1, percent)
+            a, b = ranks[0][a], ranks[-1][b]
+            ties = _forest(np.stack([a, b], axis=1), len(key))
+            a, b = a[ties], b[ties]
+        return pa.table({"a": pa.array(key[a]), "b": pa.array(key[b])})
+
+    return run
+
+
+def _split(members: DataFrame, percent: int) -> DataFrame:
+    """Members of families of several blocks, which chance agreements hold together, in the families that their bitmaps leave; texts that can link with none go."""
+    large = members.groupBy("fam").agg((F.min("block") < F.max("block")).alias("several")).where("several").select("fam")
+    own = members.join(large, "fam", "left_semi")
+    dealt = own.select("fam", "block", "key", "n_shingles", "bits").join(_tiles(own, percent), ["fam", "block"])
+    dealt = dealt.select("key", "n_shingles", "bits", F.inline("tiles"))
+    edges = dealt.groupBy("fam", "i", "j").applyInArrow(_bound_tile(percent), "a bigint, b bigint")
+    ties = components(edges, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("fam"))
+    whole = members.join(large, "fam", "left_anti").drop("block")
+    return whole.unionByName(own.drop("fam", "block").join(ties, "key"))
+
+
+def _tiles(members: DataFrame, percent: int) -> DataFrame:
+    """fam, block and the task groups that the block takes part in: pairs of blocks of a family whose sizes allow a link."""
+    blocks = members.groupBy("fam", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    pairs = a.join(b, (F.col("a.fam") == F.col("b.fam")) & (F.col("a.block") <= F.col("b.block")) & (F.col("a.high") * 100 >= F.col("b.low") * percent)).select(
+        F.col("a.fam").alias("fam"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
+    sides = pairs.select("fam", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionAll(
+        pairs.where("i < j").select("fam", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+    return sides.groupBy("fam", "block").agg(F.collect_list(F.struct("fam", "i", "j", "side")).alias("tiles"))
+
+
 def links(docs: DataFrame, sketch: DataFrame, size: int = SIZE, percent: int = PERCENT, common: np.ndarray | None = None) -> DataFrame:
     """All pairs a, b of different set signatures that link, each once."""
     return _compared(docs, sketch, size, percent, True, common).select("a", "b")
@@ -472,16 +540,10 @@ def _compared(docs: DataFrame, sketch: DataFrame, size: int, percent: int, every
     families = components(edges, "key", "least").select(F.col("node").alias("key"), F.col("root").alias("fam"))
     # one text stands for a set, wherever it comes from: ids may be null or repeat
     one = F.min(F.struct("text_key", F.col("doc_id").isNull().alias("without"), "doc_id"))
-    members = sketch.where("sig IS NOT NULL").groupBy("sig", "key", "n_shingles").agg(one.alias("one"), F.count(F.lit(1)).alias("copies")).join(families, "key")
+    members = sketch.where("sig IS NOT NULL").groupBy("sig", "key", "n_shingles").agg(one.alias("one"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")).join(families, "key")
     members = stored(_blocks(stored(members, "families")), "members")
-    blocks = members.groupBy("fam", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    pairs = a.join(b, (F.col("a.fam") == F.col("b.fam")) & (F.col("a.block") <= F.col("b.block")) & (F.col("a.high") * 100 >= F.col("b.low") * percent)).select(
-        F.col("a.fam").alias("fam"), F.col("a.block").alias("i"), F.col("b.block").alias("j"))
-    sides = pairs.select("fam", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionAll(
-        pairs.where("i < j").select("fam", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
-    tiles = sides.groupBy("fam", "block").agg(F.collect_list(F.struct("fam", "i", "j", "side")).alias("tiles"))
-    placed = members.join(tiles, ["fam", "block"]).select("one", "sig", "copies", "tiles")
+    members = stored(_blocks(stored(_split(members, percent), "families")).drop("bits"), "members")
+    placed = members.join(_tiles(members, percent), ["fam", "block"]).select("one", "sig", "copies", "tiles")
     rows = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
     rows = rows.join(placed, (F.col("hash") == F.col("one.text_key")) & F.col("id").eqNullSafe(F.col("one.doc_id")))
     # texts are dealt, not their n-grams: they are shorter and the shuffle can compress them
