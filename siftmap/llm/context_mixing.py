@@ -170,7 +170,7 @@ def _tokens(chunk, codes: Codes) -> _Tokens:
 
 
 class _Bits(NamedTuple):
-    row: np.ndarray
+    sizes: np.ndarray  # bits of each text
     bit: np.ndarray
     kind: np.ndarray
     slots: list[np.ndarray]
@@ -218,17 +218,24 @@ def _bits(chunk, t: _Tokens, codes: Codes, table_bits: int) -> _Bits:
         ctx[0][sym] = mix(a + np.uint64(1 << 40))
         ctx[1][sym] = mix(a + (b << np.uint64(8)) + np.uint64(1 << 41))
         ctx[2][sym] = mix(a + (b << np.uint64(8)) + (c << np.uint64(16)) + np.uint64(1 << 42))
-    sym = np.repeat(np.arange(symbols), size)
-    inner = (np.arange(len(sym)) - np.repeat(np.cumsum(size) - size, size)).view(np.uint64)
-    left = size.view(np.uint64)[sym] - inner
-    code = value[sym]
-    node = ((np.uint64(1) << inner) + (code >> left)) * _ODD[0]
+    # a one before the code marks its length, so a shift leaves the place in the tree
+    marked = np.repeat(value | (np.uint64(1) << size.view(np.uint64)), size)
+    ends = np.cumsum(size)
+    left = (np.repeat(ends, size) - np.arange(len(marked))).view(np.uint64)
+    node = (marked >> left) * _ODD[0]
     slots = []
     for k in range(3):
-        bits = PLAIN_BITS if k == 0 else table_bits
-        slots.append((((ctx[k][sym] ^ node) * _ODD[k]) >> np.uint64(64 - bits)).view(np.int64))
-    row = np.repeat(np.repeat(t.row, 1 + width), size)
-    return _Bits(row, ((code >> (left - np.uint64(1))) & np.uint64(1)).astype(np.uint8), kind[sym], slots)
+        at = np.repeat(ctx[k], size)
+        at ^= node
+        at *= _ODD[k]
+        at >>= np.uint64(64 - (PLAIN_BITS if k == 0 else table_bits))
+        slots.append(at.view(np.int64))
+    left -= np.uint64(1)
+    marked >>= left
+    marked &= np.uint64(1)
+    texts = len(chunk.offsets) - 1
+    last = np.concatenate([[0], ends])[np.concatenate([head, [symbols]])[np.searchsorted(t.row, np.arange(texts + 1))]]
+    return _Bits(np.diff(last), marked.astype(np.uint8), np.repeat(kind, size), slots)
 
 
 def _table_sizes(table_bits: int) -> list[int]:
@@ -240,20 +247,19 @@ def context_counts(docs: DataFrame, codes: Codes, table_bits: int) -> DataFrame:
     sizes = _table_sizes(table_bits)
 
     def run(batches):
-        total = {}
+        total = None
         for batch in batches:
             part = np.asarray(batch.column(1))
             for chunk in chunks(batch.column(0), CHUNK):
                 b = _bits(chunk, _tokens(chunk, codes), codes, table_bits)
-                own = part[chunk.first + b.row]
-                for p in np.unique(own).tolist():
-                    if p not in total:
-                        total[p] = [np.zeros(2 * s, np.uint32) for s in sizes]
-                    some = np.flatnonzero(own == p)
-                    for k in range(3):
-                        np.add.at(total[p][k], 2 * b.slots[k][some] + b.bit[some], np.uint32(1))
-        for p, tables in total.items():
-            for k, table in enumerate(tables):
+                if total is None:
+                    total = [np.zeros((2, 2 * s), np.uint32) for s in sizes]
+                own = np.repeat(part[chunk.first:chunk.first + len(b.sizes)].astype(np.int64), b.sizes)
+                for table, slot in zip(total, b.slots):
+                    np.add.at(table.ravel(), (own * (table.shape[1] // 2) + slot) * 2 + b.bit, np.uint32(1))
+        for p in (0, 1) if total else ():
+            for k, tables in enumerate(total):
+                table = tables[p]
                 for i in range(0, len(table), 2 * PIECE):
                     piece = table[i:i + 2 * PIECE]
                     most = piece.max()
@@ -324,44 +330,62 @@ class _Coded(NamedTuple):
     bit: np.ndarray
 
 
-def _code(b: _Bits, texts: int, model: Model, learning: bool = True) -> _Coded:
-    """Codes the bits of a chunk; the same step of all its texts is one numpy step. `used` is counted for learning only."""
-    heads = np.searchsorted(b.row, np.arange(texts + 1))
-    step = (np.arange(len(b.row)) - heads[b.row]) >> STEP_BITS
-    order = np.argsort(step.astype(np.uint16) if len(step) >> STEP_BITS < 1 << 16 else step, kind="stable")
-    found = [t[s[order]] for t, s in zip(model.tables, b.slots)]
-    kind = b.kind[order]
+def _code(b: _Bits, model: Model, learning: bool = True) -> _Coded:
+    """Codes the bits of a chunk; the same step of all its texts is one numpy step. `used` and `weights` are for learning only."""
+    texts, width = len(b.sizes), 1 << STEP_BITS
+    # runs of bits between two changes of weights, in the order of steps and then texts
+    n_runs = (b.sizes + width - 1) >> STEP_BITS
+    row = np.repeat(np.arange(texts), n_runs)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n_runs) - n_runs, n_runs)
+    order = np.argsort(step, kind="stable")
+    row, step = row[order], step[order]
+    size = np.minimum(b.sizes[row] - step * width, width)
+    start = np.cumsum(size) - size
+    source = np.repeat((np.cumsum(b.sizes) - b.sizes)[row] + step * width - start, size)
+    source += np.arange(len(source))
+    found = [t.take(s).take(source) for t, s in zip(model.tables, b.slots)]
+    kind = b.kind.take(source)
     gate = (kind << 4) + ((found[1] & 7) << 2).astype(np.uint8) + (found[2] & 7).astype(np.uint8)
-    x = np.empty((len(order), INPUTS), np.float32)
-    for k in range(INPUTS):
-        x[:, k] = _STRETCH[found[k]]
-    bit = b.bit[order].astype(np.float32)
-    row = b.row[order]
-    own = row * GATES + gate
-    weights = np.tile(model.weights.astype(np.float32), (texts, 1))
-    odds, p = np.empty(len(order), np.float32), np.empty(len(order), np.float32)
-    ends = np.cumsum(np.bincount(step)) if len(step) else np.zeros(0, np.int64)
-    low = 0
-    for high in ends.tolist():
-        at, some = own[low:high], x[low:high]
-        dot = np.einsum("ij,ij->i", weights.take(at, axis=0), some)
-        np.clip(dot, -12, 12, out=dot)
-        odds[low:high] = dot
-        guess = 1 / (1 + np.exp(-dot))
-        p[low:high] = guess
+    own = np.repeat(row * GATES, size)
+    own += gate
+    x = [_STRETCH.take(f) for f in found]
+    bit = b.bit.take(source).astype(np.float32)
+    weights = [np.tile(w, texts) for w in model.weights.astype(np.float32).T]
+    odds, p = np.empty(len(own), np.float32), np.empty(len(own), np.float32)
+    heads = np.flatnonzero(np.diff(step, prepend=-1))
+    bounds = [*start[heads].tolist(), len(own)]
+    for low, high, base in zip(bounds, bounds[1:], (row[heads] * GATES).tolist()):
+        at, some = own[low:high], [v[low:high] for v in x]
+        dot = odds[low:high]
+        np.multiply(weights[0].take(at), some[0], out=dot)
+        for w, v in zip(weights[1:], some[1:]):
+            dot += w.take(at) * v
+        np.minimum(np.maximum(dot, -12, out=dot), 12, out=dot)
+        guess = p[low:high]
+        np.negative(dot, out=guess)
+        np.exp(guess, out=guess)
+        guess += 1
+        np.reciprocal(guess, out=guess)
         error = bit[low:high] - guess
-        # texts still open come first only by chance, so a short step of a long text counts its own gates alone
-        base = int(at.min())
+        # a step's first text has its smallest row, so a short step of a long text counts its own gates alone
         at = at - base
         scale = RATE / (np.bincount(at) + 32)
-        for k in range(INPUTS):
-            weights[base:base + len(scale), k] += scale * np.bincount(at, error * some[:, k])
-        low = high
-    cell = np.round(np.clip(odds, -8, 8) * ((CELLS - 1) / 16) + (CELLS - 1) / 2).astype(np.int64) + kind * np.int64(CELLS)
-    p = (p + model.refined.astype(np.float32).ravel()[cell]) * np.float32(0.5)
-    cost = -np.log2(np.abs(1 - bit - p))
-    used = np.bincount(own, minlength=texts * GATES).reshape(texts, GATES) if learning else np.zeros((texts, 0))
-    return _Coded(np.bincount(row, cost, texts), used, weights.reshape(texts, GATES, INPUTS), cell, bit)
+        for w, v in zip(weights, some):
+            w[base:base + len(scale)] += scale * np.bincount(at, error * v)
+    scaled = np.minimum(np.maximum(odds, -8), 8)
+    scaled *= (CELLS - 1) / 16
+    scaled += (CELLS - 1) / 2
+    cell = np.rint(scaled).astype(np.int64)
+    cell += kind * np.int64(CELLS)
+    p += model.refined.astype(np.float32).ravel().take(cell)
+    p *= np.float32(0.5)
+    cost = np.log(np.abs(1 - bit - p))
+    cost = np.add.reduceat(cost, start, dtype=np.float64) if len(start) else np.zeros(0)
+    bits = np.bincount(row, cost, texts) / -np.log(2)
+    if not learning:
+        return _Coded(bits, np.zeros(0), np.zeros(0), cell, bit)
+    used = np.bincount(own, minlength=texts * GATES).reshape(texts, GATES)
+    return _Coded(bits, used, np.stack(weights, axis=1).reshape(texts, GATES, INPUTS), cell, bit)
 
 
 def learn(docs: DataFrame, model: Model, table_bits: int, rounds: int = ROUNDS) -> Model:
@@ -374,7 +398,7 @@ def learn(docs: DataFrame, model: Model, table_bits: int, rounds: int = ROUNDS)
             used, weights, seen = np.zeros(GATES), np.zeros((GATES, INPUTS)), np.zeros((2, KINDS * CELLS))
             for batch in batches:
                 for chunk in chunks(batch.column(0), CHUNK):
-                    c = _code(_bits(chunk, _tokens(chunk, now.codes), now.codes, table_bits), len(chunk.offsets) - 1, now)
+                    c = _code(_bits(chunk, _tokens(chunk, now.codes), now.codes, table_bits), now)
                     used += c.used.sum(axis=0)
                     weights += (c.used[:, :, None] * c.weights).sum(axis=0)
                     for bit in (0, 1):
@@ -426,7 +450,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, total: int, distinct
             for chunk in chunks(batch.column(3), CHUNK):
                 texts = len(chunk.offsets) - 1
                 t = _tokens(chunk, codes)
-                coded = _code(_bits(chunk, t, codes, bits), texts, now, False)
+                coded = _code(_bits(chunk, t, codes, bits), now, False)
                 own = t.place >= 0
                 place, row = t.place[own], t.row[own]
                 base, n_known = np.bincount(row, logs[place], texts), np.bincount(row, known[place], texts)

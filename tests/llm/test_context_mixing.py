@@ -77,7 +77,7 @@ def test_bits_tell_the_text():
     back = {(n, c): h for h, (c, n) in zip(hashes, built[:-1])}
     spelt = {h: w for w, h in zip(["the", "of", "and", "house", "w1"], cm.words(next(chunks(pa.array(["the of and house w1"]))), cm.SPACED).hash.tolist())}
     for row, text in enumerate(texts):
-        bits = b.bit[b.row == row].tolist()
+        bits = b.bit[np.repeat(np.arange(len(texts)), b.sizes) == row].tolist()
         out, at = [], 0
         while at < len(bits):
             code, n = 0, 0
@@ -107,9 +107,9 @@ def test_coding_equals_a_loop_over_bits(monkeypatch):
     row = np.repeat(np.arange(texts), n)
     size = [1 << cm.PLAIN_BITS, 1 << 16, 1 << 16]
     tables = [cm._odds(rng.integers(0, 30, s), rng.integers(0, 30, s)) for s in size]
-    b = cm._Bits(row, rng.integers(0, 2, len(row)), rng.integers(0, 2, len(row)).astype(np.uint8), [rng.integers(0, s, len(row)) for s in size])
+    b = cm._Bits(np.array(n), rng.integers(0, 2, len(row)), rng.integers(0, 2, len(row)).astype(np.uint8), [rng.integers(0, s, len(row)) for s in size])
     weights, refined = rng.normal(0.3, 0.1, (cm.GATES, cm.INPUTS)), np.sort(rng.random((cm.KINDS, cm.CELLS)))
-    got = cm._code(b, texts, cm.Model(None, tables, weights, refined))
+    got = cm._code(b, cm.Model(None, tables, weights, refined))
     cost = np.zeros(texts)
     for t in range(texts):
         own = weights.copy()
