@@ -238,6 +238,12 @@ def _bits(chunk, t: _Tokens, codes: Codes, table_bits: int) -> _Bits:
     return _Bits(np.diff(last), marked.astype(np.uint8), np.repeat(kind, size), slots)
 
 
+def _keep_freed_memory() -> None:
+    """Freeing one large block makes the C library keep later ones of up to its size, instead of mapping each array's pages anew."""
+    block = np.empty(31 << 20, np.uint8)
+    del block
+
+
 def _table_sizes(table_bits: int) -> list[int]:
     return [1 << PLAIN_BITS, 1 << table_bits, 1 << table_bits]
 
@@ -247,6 +253,7 @@ def context_counts(docs: DataFrame, codes: Codes, table_bits: int) -> DataFrame:
     sizes = _table_sizes(table_bits)
 
     def run(batches):
+        _keep_freed_memory()
         total = None
         for batch in batches:
             part = np.asarray(batch.column(1))
@@ -394,6 +401,7 @@ def learn(docs: DataFrame, model: Model, table_bits: int, rounds: int = ROUNDS)
         sent = docs.sparkSession.sparkContext.broadcast(_plain(model))
 
         def run(batches):
+            _keep_freed_memory()
             now = _whole(sent.value)
             used, weights, seen = np.zeros(GATES), np.zeros((GATES, INPUTS)), np.zeros((2, KINDS * CELLS))
             for batch in batches:
@@ -442,6 +450,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, total: int, distinct
     bits = _table_bits(total)
 
     def run(batches):
+        _keep_freed_memory()
         now = _whole(sent.value)
         codes = now.codes
         known = codes.n > 0
