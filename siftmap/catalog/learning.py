@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftmap.catalog import query
 from siftmap.functions.hashing import split_of
-from siftmap.operators import arima, datasets, labeling, living, registry, vector
+from siftmap.operators import arima, datasets, labeling, living, registry, shapley, vector
 from siftmap.operators import learning as op
 from siftmap.operators.evidence import centroids
 from siftmap.session import new_path
@@ -203,6 +203,15 @@ def _(d):
     return op.explain(op.train(data, cfg).model, op.features(op.training_rows(data, cfg), ["embedding"]))
 
 
+@query("global_explain_shapley")
+def _(d):
+    """Mean absolute Shapley value of each feature of boosted trees, over all training rows."""
+    cfg = op.Recipe("regression", "BOOSTED_TREE_REGRESSOR", op.Examples(label="amount"), {"max_iterations": 10, "max_tree_depth": 4})
+    data = examples(d)
+    model = op.train(data, cfg).model.stages[0]
+    return shapley.mean_influence(shapley.read(model, d.spark), op.features(op.training_rows(data, cfg), ["embedding"]))
+
+
 @query("predict_production")
 def _(d):
     """A model is saved, promoted to production, found through the alias, and applied."""
