@@ -263,21 +263,51 @@ def context_counts(docs: DataFrame, codes: Codes, table_bits: int) -> DataFrame:
                     total = [np.zeros((2, 2 * s), np.uint32) for s in sizes]
                 own = np.repeat(part[chunk.first:chunk.first + len(b.sizes)].astype(np.int64), b.sizes)
                 for table, slot in zip(total, b.slots):
-                    np.add.at(table.ravel(), (own * (table.shape[1] // 2) + slot) * 2 + b.bit, np.uint32(1))
+                    at = own * (table.shape[1] // 2)
+                    at += slot
+                    at += at
+                    at += b.bit
+                    np.add.at(table.ravel(), at, np.uint32(1))
         for p in (0, 1) if total else ():
             for k, tables in enumerate(total):
                 table = tables[p]
                 for i in range(0, len(table), 2 * PIECE):
                     piece = table[i:i + 2 * PIECE]
-                    most = piece.max()
-                    if most:
-                        kind = "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
+                    if piece.any():
+                        low, places, high = _narrow(piece)
                         yield pa.RecordBatch.from_pydict({
-                            "part": pa.array([p], pa.int32()), "predictor": pa.array([k], pa.int32()), "piece": pa.array([i // (2 * PIECE)], pa.int32()), "kind": pa.array([kind]),
-                            "counts": pa.array([piece.astype(kind).tobytes()], pa.binary())})
+                            "part": pa.array([p], pa.int32()), "predictor": pa.array([k], pa.int32()), "piece": pa.array([i // (2 * PIECE)], pa.int32()),
+                            "low": pa.array([low], pa.binary()), "places": pa.array([places], pa.binary()), "high": pa.array([high], pa.binary())})
 
     part = F.coalesce((F.crc32(F.col("doc_id").cast("string")) % 5 == FOLD).cast("int"), F.lit(0))
-    return docs.select("text", part).mapInArrow(run, "part int, predictor int, piece int, kind string, counts binary")
+    return docs.select("text", part).mapInArrow(run, "part int, predictor int, piece int, low binary, places binary, high binary")
+
+
+def _narrow(counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Counts in a nibble or a byte each, whichever is shorter in all, and the places and remainders of those above it."""
+    best = None
+    for most in (15, 255):
+        places = np.flatnonzero(counts > most)
+        size = len(counts) // (2 if most == 15 else 1) + 6 * len(places)
+        if best is None or size < best[0]:
+            best = size, most, places
+    _, most, places = best
+    low = np.minimum(counts, most).astype(np.uint8)
+    if most == 15:
+        low = low[::2] << 4 | low[1::2]
+    return low.tobytes(), places.astype("<u2").tobytes(), (counts[places] - np.uint32(most)).astype("<u4").tobytes()
+
+
+def _widen(low, places, high, size: int) -> np.ndarray:
+    """The counts `_narrow` was given, `size` of them."""
+    low = np.frombuffer(low, np.uint8)
+    out = np.empty(size, np.int64)
+    if len(low) < size:
+        out[::2], out[1::2] = low >> 4, low & 15
+    else:
+        out[:] = low
+    out[np.frombuffer(places, "<u2")] += np.frombuffer(high, "<u4")
+    return out
 
 
 def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -288,7 +318,12 @@ def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return ((odds + 4096) << 3 | level).astype("<u2")
 
 
-_STRETCH = (((np.arange(1 << 16) >> 3) - 4096) / 512).astype(np.float32)
+def _stretch(found: np.ndarray) -> np.ndarray:
+    """The log-odds of `_odds`."""
+    out = (found >> 3).astype(np.float32)
+    out -= 4096
+    out /= 512
+    return out
 
 
 def tables_of(counts: DataFrame, table_bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -297,10 +332,10 @@ def tables_of(counts: DataFrame, table_bits: int) -> tuple[list[np.ndarray], lis
     def add(batches):
         own: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            names = zip(*(batch.column(k).to_pylist() for k in range(4)))
-            for (part, k, piece, kind), c in zip(names, batch.column(4)):
+            names = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            for (part, k, piece), *blobs in zip(names, *(batch.column(k) for k in (3, 4, 5))):
                 key = (k, piece, part)
-                own[key] = own.get(key, 0) + np.frombuffer(c.as_buffer(), kind).astype(np.int64)
+                own[key] = own.get(key, 0) + _widen(*(b.as_buffer() for b in blobs), 2 * PIECE)
         for k, piece in sorted({key[:2] for key in own}):
             nothing = np.zeros(2 * PIECE, np.int64)
             without = own.get((k, piece, 0), nothing)
@@ -355,7 +390,7 @@ def _code(b: _Bits, model: Model, learning: bool = True) -> _Coded:
     gate = (kind << 4) + ((found[1] & 7) << 2).astype(np.uint8) + (found[2] & 7).astype(np.uint8)
     own = np.repeat(row * GATES, size)
     own += gate
-    x = [_STRETCH.take(f) for f in found]
+    x = [_stretch(f) for f in found]
     bit = b.bit.take(source).astype(np.float32)
     weights = [np.tile(w, texts) for w in model.weights.astype(np.float32).T]
     odds, p = np.empty(len(own), np.float32), np.empty(len(own), np.float32)

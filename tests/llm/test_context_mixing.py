@@ -159,3 +159,11 @@ def test_nothing_to_learn_from(spark):
     alone = next(k for k in range(100) if remainder(k) == 1)
     row = cm.audit(spark.createDataFrame([(alone, "a b", "x", 3)], SCHEMA + ", hash string, n int")).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 3, 0, 0, 0.0) and row.score < 0
+
+
+@pytest.mark.parametrize("counts", [[0] * 8, [15, 16, 0, 1, 2, 3, 15, 70000], [255, 256, 16, 1 << 31, 17, 18, 19, 20], [4] * 7 + [16]])
+def test_counts_travel_whole(counts):
+    given = np.array(counts * 100, np.uint32)
+    low, places, high = cm._narrow(given)
+    assert cm._widen(*(pa.scalar(b, pa.binary()).as_buffer() for b in (low, places, high)), len(given)).tolist() == given.tolist()
+    assert len(low) in (400, 800) and len(places) * 2 == len(high)
