@@ -2,9 +2,11 @@
 
 Documents become token ids and an end id; those longer than a sequence are cut into full pieces and a rest. Pieces are dealt by
 hash to groups of a bounded number, each packed on its own: bins are completed around the largest open piece with the fillings
-that no other filling dominates, best-fit packing is the first incumbent, and branches end where the waste they already hold
-reaches the incumbent's. Every piece of a group is in exactly one sequence, without gaps; only the last sequence of a group can be
-far from full, so the loss does not grow with the input.
+that no other filling dominates, all of them, least waste first, each made when the search asks for it. Best-fit packing is the first
+incumbent, and branches end where the waste they already hold reaches the incumbent's. The only stop is a number of fillings per group
+(NODES); `above_bound` says by how many sequences a group ended above tokens / capacity, so 0 proves that fewer are impossible.
+Every piece of a group is in exactly one sequence, without gaps; only the last sequence of a group can be far from full, so the loss
+does not grow with the input.
 
 Defined cases: a null or empty text is one piece of the end id alone; repeated rows are packed each; a null doc_id is kept as null.
 """
@@ -13,8 +15,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one packing group: the memory of a task, and one part-filled sequence in so many pieces.
 GROUP_PIECES = 20_000
-#: Nodes of the search per group; beyond them the incumbent stands.
+#: Fillings the search of a group looks at, beyond one for each piece; then the incumbent stands.
 NODES = 20_000
-#: Undominated fillings looked at for one bin, best first.
-FILLINGS = 24
+#: Bins, the last ones, whose enumeration stays in memory.
+KEPT = 64
 #: Words whose ids a worker remembers; then it starts afresh.
 REMEMBERED = 250_000
 #: Plain words encoded in one call.
@@ -181,48 +184,103 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _fillings(lengths: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room`, fullest first: multisets to which no open piece can be added, nor swapped for a larger one.
+class _Open:
+    """Lengths of the open pieces, ascending, how many there are of each, and the same as bits."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.lengths = sorted(counts)
+        self.left = dict(counts)
+        self.bits = sum(1 << v for v in counts)
+
+    def take(self, pieces: Iterable[tuple[int, int]]) -> None:
+        for v, n in pieces:
+            self.left[v] -= n
+            if not self.left[v]:
+                self.bits ^= 1 << v
+
+    def put(self, pieces: Iterable[tuple[int, int]]) -> None:
+        for v, n in pieces:
+            if not self.left[v]:
+                self.bits |= 1 << v
+            self.left[v] += n
+
+
+def _parts(n: int) -> Iterator[int]:
+    """1, 2, 4, ... and a rest, of which every number up to n is a sum."""
+    k = 1
+    while n > 0:
+        yield min(k, n)
+        n -= k
+        k *= 2
+
+
+def _sums(given: _Open, room: int) -> list[int]:
+    """Bits of the sums that the first 0, 1, 2, ... lengths can make; ends where all sums up to `room` can be made, as more change nothing."""
+    whole = (1 << room + 1) - 1
+    out = [1]
+    for v in given.lengths:
+        made = out[-1]
+        if v > room or made == whole:
+            break
+        for n in _parts(min(given.left[v], room // v)):
+            made |= made << n * v
+        out.append(made & whole)
+    return out
+
+
+def fillings(given: _Open, room: int, waste: int) -> Iterator[tuple[tuple[int, int], ...] | None]:
+    """All undominated fillings of `room` that waste at most `waste`, least waste first: (length, number) pairs, longest first.
 
-    The search goes depth first from long to short and stops once `most` fillings are found; the first is the best-fit one.
+    They are made one by one when asked for. None stands for a dominated one, so that the caller can count the work.
     """
-    out: list[tuple[int, ...]] = []
-    seen = 0
+    sums = _sums(given, room)
 
-    def grow(at: int, left: int, taken: list[int]) -> None:
-        nonlocal seen
-        seen += 1
-        if len(out) >= most or seen > 20 * most:
+    def exact(below: int, total: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        """Multisets of the first `below` lengths with exactly this sum; every step leads to one."""
+        if not total:
+            yield ()
             return
-        at = max(at, bisect_left(lengths, -left, key=lambda v: -v))
-        fits = next((i for i in range(at, len(lengths)) if counts[lengths[i]] > taken.count(lengths[i])), None)
-        if fits is None:
-            out.append(tuple(taken))
-            return
-        tried = 0
-        for i in range(fits, len(lengths)):
-            if counts[lengths[i]] > taken.count(lengths[i]):
-                taken.append(lengths[i])
-                grow(i, left - lengths[i], taken)
-                taken.pop()
-                tried += 1
-                if tried == 3 or len(out) >= most:
-                    return
-
-    grow(0, room, [])
-    unique = sorted(set(out), key=lambda f: (room - sum(f), len(f), tuple(-v for v in f)))
-    return [f for k, f in enumerate(unique) if not any(_dominates(g, f) for g in unique[:k])]
-
-
-def _dominates(g: tuple[int, ...], f: tuple[int, ...]) -> bool:
-    """Whether f's pieces fit into g's one to one or as partitions of them; a first-fit test, so some dominated ones may stay."""
-    room = sorted(g, reverse=True)
-    for v in f:
-        k = next((i for i, r in enumerate(room) if r >= v), None)
-        if k is None:
-            return False
-        room[k] -= v
-    return True
+        for i in range(min(below, bisect_right(given.lengths, total)) - 1, -1, -1):
+            if not sums[min(i + 1, len(sums) - 1)] >> total & 1:
+                return
+            v = given.lengths[i]
+            for n in range(min(given.left[v], total // v), 0, -1):
+                if sums[min(i, len(sums) - 1)] >> total - n * v & 1:
+                    for rest in exact(i, total - n * v):
+                        yield ((v, n), *rest)
+
+    for total in range(room, max(-1, room - waste - 1), -1):
+        if sums[-1] >> total & 1:
+            for found in exact(len(given.lengths), total):
+                yield None if _dominated(given, found, room - total, room) else found
+
+
+def _dominated(given: _Open, filling: tuple[tuple[int, int], ...], waste: int, room: int) -> bool:
+    """Whether an open piece left out can stand for some of the filling's: for less than its length, or for several that make it up.
+
+    What it stands for then fits wherever it would have gone, so a packing with the other filling needs no more bins.
+    """
+    one, many = 0, 0  # sums of one piece, of several
+    for v, k in filling:
+        for n in _parts(k):
+            if n == 1:
+                many |= (one | many) << v
+                one |= 1 << v
+            else:
+                many |= (1 | one | many) << n * v
+    out = given.bits & (1 << room + 1) - 1
+    for v, k in filling:
+        if given.left[v] == k:
+            out &= ~(1 << v)
+    if out & many:
+        return True
+    near = 1 | one | many  # sums raised by 0 to `wide`
+    wide = 0
+    while wide + 1 < waste:
+        step = min(wide + 1, waste - 1 - wide)
+        near |= near << step
+        wide += step
+    return bool(waste and near << 1 & out)
 
 
 def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
@@ -249,57 +307,67 @@ def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, ...]]:
 
 
 def complete(lengths: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[int, ...]]:
-    """Bins (multisets of lengths) for all pieces, as few as the search finds; never more than best fit."""
+    """Bins (multisets of lengths) for all pieces: the fewest, unless `nodes` fillings beyond one per piece end the search; never more than best fit."""
     values, n = np.unique(lengths, return_counts=True)
     counts = dict(zip(values.tolist(), n.tolist()))
     incumbent = _best_fit(counts, capacity)
-    least = -(-int(lengths.sum()) // capacity)
-    if len(incumbent) <= least:
-        return incumbent
-    spare = (len(incumbent) - 1) * capacity - int(lengths.sum())  # waste that one bin fewer allows
-    left = dict(counts)
-    order = sorted(left, reverse=True)
-    budget = nodes
-
-    def dive(waste: int, bins: list[tuple[int, ...]]) -> bool:
-        """Completes bins around the largest open piece, in place; true with all pieces placed within the waste bound."""
-        nonlocal budget
-        depth = []
-        while True:
-            big = next((v for v in order if left[v]), None)
-            if big is None:
-                return True
-            budget -= 1
-            options = None
-            if budget > 0:
-                left[big] -= 1
-                shorter = [v for v in order if v <= big and left[v] and v <= capacity - big]
-                options = iter([(big, *f) for f in _fillings(shorter, left, capacity - big, FILLINGS)])
-                left[big] += 1
-            depth.append((options, None, waste))
-            while depth:
-                options, taken, before = depth.pop()
-                if taken is not None:
-                    bins.pop()
-                    for v in taken:
-                        left[v] += 1
-                waste = before
-                pick = next(options, None) if options is not None else None
-                if pick is None or waste + capacity - sum(pick) > spare:
-                    if budget <= 0:
-                        return False
-                    continue
-                for v in pick:
-                    left[v] -= 1
-                bins.append(pick)
-                depth.append((options, pick, waste))
-                waste += capacity - sum(pick)
+    total = int(lengths.sum())
+    least = -(-total // capacity)
+    budget = [nodes + len(lengths)]
+    while len(incumbent) > least:
+        # the waste that one bin fewer allows
+        found = _search(_Open(counts), capacity, (len(incumbent) - 1) * capacity - total, budget)
+        if found is None:
+            break
+        incumbent = found
+    return incumbent
+
+
+class _Bin:
+    """A completed bin, and the fillings of it still to try."""
+
+    def __init__(self, big: int, before: int):
+        self.big, self.before = big, before
+        self.options: Iterator | None = None
+        self.tried = 0
+        self.filling: tuple[tuple[int, int], ...] = ()
+
+
+def _search(given: _Open, capacity: int, spare: int, budget: list[int]) -> list[tuple[int, ...]] | None:
+    """Bins that waste no more than `spare`, completed around the largest open piece; none, if there are none or the budget ends."""
+    bins: list[_Bin] = []
+    waste, back = 0, False
+    while back or given.bits:
+        if back:
+            if not bins:
+                return None
+            b = bins[-1]
+            given.put(b.filling)
+            waste = b.before
+        else:
+            b = _Bin(given.bits.bit_length() - 1, waste)
+            given.take([(b.big, 1)])
+            bins.append(b)
+            if len(bins) > KEPT:
+                bins[-KEPT - 1].options = None  # made again if the search comes back
+        if b.options is None:
+            b.options = islice(fillings(given, capacity - b.big, spare - waste), b.tried, None)
+        back = True
+        for found in b.options:
+            b.tried += 1
+            budget[0] -= 1
+            if budget[0] < 0:
+                return None
+            if found is not None:
+                b.filling = found
+                given.take(found)
+                waste += capacity - b.big - sum(v * n for v, n in found)
+                back = False
                 break
-            else:
-                return False
-
-    found: list[tuple[int, ...]] = []
-    return found if dive(0, found) else incumbent
+        if back:
+            given.put([(b.big, 1)])
+            bins.pop()
+    return [(b.big, *(v for v, n in b.filling for _ in range(n))) for b in bins]
 
 
 def _pack(capacity: int):
@@ -318,16 +386,18 @@ def _pack(capacity: int):
                 i = by_length[v].pop()
                 sequence[i], offset[i] = (key << 32) + b, at
                 at += v
-        return table.drop_columns(["grp"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        above = np.full(len(length), len(bins) - -(-int(length.sum()) // capacity), np.int64)
+        out = table.drop_columns(["grp"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+        return out.append_column("above_bound", pa.array(above))
 
     return run
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all documents with the sequence and the offset they go to."""
+    """Pieces of all documents with the sequence and the offset they go to, and how far their group is above its bound."""
     cut = stored(pieces(docs, vocabulary, capacity, end_id), "pieces")
     groups = max(1, -(-cut.count() // GROUP_PIECES))
     # row numbers of a stored table: the same in a task's retry, and repeated rows part as well as any others
     dealt = cut.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(
-        _pack(capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+        _pack(capacity), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, above_bound bigint")

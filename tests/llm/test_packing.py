@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -71,7 +72,7 @@ def test_words_alone_or_in_a_text_have_the_same_ids():
 
 @pytest.mark.parametrize("lengths, capacity, bins", [
     ([6, 5, 4, 3, 2, 2, 2, 6, 6], 12, 3), ([7, 6, 5, 5, 4, 4, 3, 3, 3], 10, 4), ([5] * 7, 10, 4), ([9, 1] * 5, 10, 5), ([3] * 9, 9, 3),
-    ([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 61, 3),
+    ([44, 24, 24, 22, 21, 17, 8, 8, 6, 6], 61, 3), ([53, 52, 50, 49, 49, 39, 38, 31, 29, 28, 27, 20, 20], 100, 5),
 ])
 def test_completion_finds_the_fewest(lengths, capacity, bins):
     got = packing.complete(np.array(lengths), capacity)
@@ -92,6 +93,80 @@ def test_search_is_never_worse_than_best_fit():
     assert better
 
 
+def fewest(lengths, capacity):
+    """By all orders of pieces: bins and the fill of the last one, for every multiset."""
+    values, n = np.unique(lengths, return_counts=True)
+    best = {(0,) * len(values): (1, 0)}
+    for state in itertools.product(*(range(k + 1) for k in n.tolist())):
+        for i, v in enumerate(values.tolist()):
+            if state[i] < n[i]:
+                bins, used = best[state]
+                after = state[:i] + (state[i] + 1,) + state[i + 1:]
+                best[after] = min(best.get(after, (99, 0)), (bins, used + v) if used + v <= capacity else (bins + 1, v))
+    return best[tuple(n.tolist())][0]
+
+
+def test_completion_equals_exhaustive_search():
+    rng = np.random.default_rng(4)
+    for k in range(220):
+        capacity = int(rng.choice([20, 61, 100, 997]))
+        top = capacity * 2 // 3 if k % 3 else capacity
+        lengths = rng.integers(1, top + 1, rng.integers(1, 11)) if k % 2 else rng.choice(rng.integers(1, top + 1, 5), rng.integers(10, 21))
+        got = packing.complete(lengths, capacity)
+        assert sorted(v for b in got for v in b) == sorted(lengths.tolist()) and max(map(sum, got)) <= capacity
+        assert len(got) == fewest(lengths, capacity)
+
+
+def plainly_undominated(counts, room, waste):
+    """Fillings that stay when any pieces (none, one, several) are exchanged for one longer piece left out, or several for an equal one."""
+    values = sorted(counts, reverse=True)
+    out = set()
+    for ns in itertools.product(*(range(counts[v] + 1) for v in values)):
+        total = sum(v * n for v, n in zip(values, ns))
+        if not room - waste <= total <= room:
+            continue
+        subsets = [(sum(v * m for v, m in zip(values, ms)), sum(ms)) for ms in itertools.product(*(range(n + 1) for n in ns))]
+        out_of = [v for v, n in zip(values, ns) if n < counts[v]]
+        if not any(t < x <= t + room - total or (t == x and m > 1) for t, m in subsets for x in out_of):
+            out.add(tuple((v, n) for v, n in zip(values, ns) if n))
+    return out
+
+
+def test_every_undominated_filling_comes_and_no_other():
+    rng = np.random.default_rng(8)
+    some = 0
+    for _ in range(150):
+        counts = {int(v): int(rng.integers(1, 4)) for v in rng.integers(1, 30, rng.integers(1, 6))}
+        room, waste = int(rng.integers(0, 60)), int(rng.integers(0, 20))
+        got = [f for f in packing.fillings(packing._Open(counts), room, waste) if f is not None]
+        assert len(got) == len(set(got)) and set(got) == plainly_undominated(counts, room, waste)
+        wasted = [room - sum(v * n for v, n in f) for f in got]
+        assert wasted == sorted(wasted)
+        some += len(got) > 1
+    assert some > 20
+
+
+def test_fillings_of_many_lengths_and_of_tiny_pieces():
+    assert next(packing.fillings(packing._Open({1500: 1, 1499: 1, 1498: 1, 998: 9}), 1996, 500)) == ((998, 2),)
+    assert next(packing.fillings(packing._Open({1: 2000}), 1365, 0)) == ((1, 1365),)
+    lengths = np.array([1] * 2000 + [2731, 2050, 2046, 1365, 3000])
+    assert len(packing.complete(lengths, 4096)) == -(-lengths.sum() // 4096)
+
+
+def test_a_search_that_ends_keeps_best_fit_and_enumerations_are_made_again(monkeypatch):
+    lengths = np.random.default_rng(2).integers(20, 70, 40)
+    counts = dict(zip(*(v.tolist() for v in np.unique(lengths, return_counts=True))))
+    assert len(packing.complete(lengths, 100, -len(lengths))) == len(packing._best_fit(counts, 100))
+    whole = packing.complete(lengths, 100)
+    monkeypatch.setattr(packing, "KEPT", 2)
+    assert packing.complete(lengths, 100) == whole
+
+
+def test_groups_above_their_bound_are_reported(spark):
+    rows = packing.pack(frame(spark, [" ".join(["ab"] * 39)] * 5), PATH, 64).collect()
+    assert check_layout(rows, 64) == 5 and {r.above_bound for r in rows} == {5 - -(-sum(r.length for r in rows) // 64)}
+
+
 def test_empty_table(spark):
     assert packing.pack(frame(spark, []), PATH).count() == 0
 
