@@ -196,6 +196,14 @@ def _(d):
     return d.spark.createDataFrame([(i, json.dumps(s), float(v)) for i, (s, v) in enumerate(t.trials)], "trial_id int, hyperparameters string, objective double")
 
 
+@query("hparam_search_density")
+def _(d):
+    """Trials proposed in rounds by what earlier ones measured."""
+    cfg = op.Recipe("regression", "LINEAR_REG", op.Examples(label="amount"), candidates=op.Candidates({"l1_reg": [1e-6, 1.0], "l2_reg": [1e-6, 10.0]}, 12, by="density"))
+    t = op.train(examples(d), cfg)
+    return d.spark.createDataFrame([(i, json.dumps(s), float(v)) for i, (s, v) in enumerate(t.trials)], "trial_id int, hyperparameters string, objective double")
+
+
 @query("global_explain")
 def _(d):
     cfg = LIGHT

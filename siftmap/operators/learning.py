@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftmap.functions.hashing import holdout_of
 from siftmap.functions.vectors import as_double
-from siftmap.operators import arima, registry, vector
+from siftmap.operators import arima, registry, suggest, vector
 from siftmap.plans.ordering import global_order
 from siftmap.session import new_path
 
@@ -99,10 +99,12 @@ class Examples:
 
 @dataclass(frozen=True)
 class Candidates:
-    """Values to try per setting, and how many combinations."""
+    """Values to try per setting, and how many combinations: a grid, or proposed in rounds by the densities of good and other trials."""
 
     values: dict[str, list[Any]]
     trials: int
+    by: str = "grid"
+    at_once: int = 4
 
 
 @dataclass(frozen=True)
@@ -126,6 +128,7 @@ class Recipe:
         reads = READS.get(self.model, set())
         out += [f"{self.model} has no setting {k}" for k in sorted(set(self.settings) - reads)]
         if self.candidates:
+            out += [f"no search by {self.candidates.by}"] if self.candidates.by not in ("grid", "density") else []
             out += [f"{k} can't be searched for {self.model}" for k in sorted(set(self.candidates.values) - (reads - NOT_SEARCHED))]
         if self.labelled and not self.examples.label:
             out.append(f"{self.kind} needs a label column")
@@ -465,7 +468,7 @@ def run_rows(spark: SparkSession, recipe: Recipe, trained: Trained, run_id: str,
 
 def search(rows: DataFrame, recipe: Recipe, shape: dict[str, Any]) -> tuple[list, dict[str, Any]]:
     """Objective per setting on a held-out quarter, and the best setting."""
-    settings = grid(recipe.candidates.values, recipe.candidates.trials)
+    asked = recipe.candidates
     if recipe.kind == "classification":
         ev = BinaryClassificationEvaluator() if shape["classes"] == 2 else MulticlassClassificationEvaluator(metricName="f1")
     elif recipe.kind == "regression":
@@ -474,12 +477,25 @@ def search(rows: DataFrame, recipe: Recipe, shape: dict[str, Any]) -> tuple[list
         ev = ClusteringEvaluator(distanceMeasure=recipe.complete().get("distance_type", "COSINE").lower())
     given = recipe.complete()
     base = estimator(recipe.model, given, seed=recipe.seed, **shape)
-    maps = []
-    for s in settings:
-        tuned = estimator(recipe.model, {**given, **s}, seed=recipe.seed, **shape)
-        maps.append({base.getParam(p.name): v for p, v in tuned.extractParamMap().items() if tuned.isSet(p)})
-    tvs = TrainValidationSplit(estimator=base, estimatorParamMaps=maps, evaluator=ev, trainRatio=0.75, parallelism=4, seed=recipe.seed)
-    results = list(zip(settings, tvs.fit(rows).validationMetrics))
+
+    def measured(settings: list[dict[str, Any]]) -> list[tuple[dict[str, Any], float]]:
+        maps = []
+        for s in settings:
+            tuned = estimator(recipe.model, {**given, **s}, seed=recipe.seed, **shape)
+            maps.append({base.getParam(p.name): v for p, v in tuned.extractParamMap().items() if tuned.isSet(p)})
+        tvs = TrainValidationSplit(estimator=base, estimatorParamMaps=maps, evaluator=ev, trainRatio=0.75, parallelism=asked.at_once, seed=recipe.seed)
+        return list(zip(settings, tvs.fit(rows).validationMetrics))
+
+    if asked.by == "grid":
+        results = measured(grid(asked.values, asked.trials))
+    else:
+        results = []
+        while len(results) < asked.trials:
+            n = min(asked.at_once, asked.trials - len(results))
+            settings = suggest.propose(asked.values, results, n, larger=ev.isLargerBetter(), start=max(asked.at_once, asked.trials // 3), seed=recipe.seed)
+            if not settings:
+                break
+            results += measured(settings)
     pick = max if ev.isLargerBetter() else min
     return results, pick(results, key=lambda r: r[1])[0]
 
