@@ -45,6 +45,28 @@ def test_two_large_sides(spark, cell):
     assert taken(vector.nearest(frame(spark, ASK, "q"), frame(spark, BASE, "b"), 5, max_bytes=1, cell_rows=cell)) == brute(5)
 
 
+@pytest.mark.parametrize("search", ["few", "into_few", "cells"])
+def test_a_task_holds_few_distances_at_once(spark, monkeypatch, search):
+    # tasks run in other processes, so they are told by value what to hold and fail if they hold more
+    whole = vector._distances
+
+    def small(a, b):
+        assert len(a) * len(b) <= 640, "too many distances at once"
+        return whole(a, b)
+
+    monkeypatch.setattr(vector, "TILE", 640)
+    monkeypatch.setattr(vector, "OUT_ROWS", 12)
+    monkeypatch.setattr(vector, "_distances", small)
+    a, b = frame(spark, ASK, "q"), frame(spark, BASE, "b")
+    if search == "few":
+        assert taken(vector.nearest(a, b, 5)) == brute(5)
+    elif search == "into_few":
+        found = vector._search_into_few(a, vector._small(b, 1 << 20), "string", 5)
+        assert {(r.a_id, r.b_id) for r in found.collect()} == {x[:2] for x in brute(5)}
+    else:
+        assert taken(vector.nearest(a, b, 5, max_bytes=1, cell_rows=1000)) == brute(5)
+
+
 def test_more_neighbours_than_rows(spark):
     assert vector.nearest(frame(spark, ASK[:1], "q"), frame(spark, BASE[:3], "b"), 10).count() == 3
 
