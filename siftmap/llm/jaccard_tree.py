@@ -49,6 +49,8 @@ MOST_BITS = 1 << 16
 COUNTERS = 1 << 20
 #: Parts that one bucket holds on average: the memory of a task group; the number of buckets grows with the input.
 BUCKET_PARTS = 1 << 20
+#: Parts that a mapping task holds before it sends them: its memory; a part is sent once for each such group of sets.
+HELD_PARTS = 1 << 19
 #: The lower six bytes of a set's hash name its node in the search for families; sets that share them share a family.
 KEY = np.uint64((1 << 48) - 1)
 TILES = "array<struct<fam bigint, i bigint, j bigint, side int>>"
@@ -206,13 +208,19 @@ def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
 def _stars(part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of entries of parts and the sets holding them: the distinct edges (set, least set of a part) as two arrays, and the first entry of each part."""
     order = np.lexsort((key, part))
-    part, key = part[order], key[order]
+    part = part[order]
     new = np.ones(len(part), bool)
     new[1:] = part[1:] != part[:-1]
-    least = key[new][np.cumsum(new) - 1] if len(part) else key
-    far = np.flatnonzero(key != least)
-    pairs = np.unique(np.stack([key[far], least[far]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], order[new]
+    del part
+    first = order[new]
+    key = key[order]
+    del order
+    # entries that are not the first of their part, in order; only these can be far from the least set
+    rest = np.flatnonzero(~new)
+    far, least = key[rest], key[new][np.searchsorted(np.flatnonzero(new), rest, "right") - 1]
+    keep = far != least
+    pairs = np.unique(np.stack([far[keep], least[keep]], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1], first
 
 
 def _six(values: np.ndarray) -> bytes:
@@ -229,16 +237,44 @@ def _from_six(data: bytes) -> np.ndarray:
 def part_edges(docs: DataFrame, size: int, percent: int, buckets: int, common: np.ndarray | None = None) -> DataFrame:
     """Edges key, least between sets that agree on a part; `key` is the set's key without its upper two bytes.
 
-    A batch ties the sets it holds itself and sends each part once, with its least set. Parts travel in blobs of six bytes each, by set
-    and bucket; the hashes are stored nowhere else. What six bytes confuse is an edge too many, never one too few.
+    A batch ties the sets it holds itself, up to HELD_PARTS parts of them at a time, and sends each part once for these, with its least set. Parts
+    travel in blobs of six bytes each, by set and bucket; the hashes are stored nowhere else. What six bytes confuse is an edge too many,
+    never one too few.
     """
     packed = None if common is None else np.packbits(common)
 
+    def blobs_of(keys: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
+        """What is sent of these sets; empties the lists."""
+        key, part = np.concatenate(keys), np.concatenate(parts)
+        keys.clear()
+        parts.clear()
+        a, b, first = _stars(part, key)
+        key, part = key[first], part[first]
+        bucket = part % np.uint64(buckets)
+        order = np.lexsort((key, bucket))
+        key, part, bucket = key[order], part[order] // np.uint64(buckets), bucket[order]
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        out = {"bucket": bucket[cuts].astype(np.int64).tolist(), "sets": [], "counts": [], "parts": [], "a": [], "b": []}
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
+            own, n = np.unique(key[i:j], return_counts=True)
+            out["sets"].append(_six(own))
+            out["counts"].append(n.astype("<u2" if n.max() < 1 << 16 else "<u4").tobytes())
+            out["parts"].append(_six(part[i:j]))
+        out["a"], out["b"] = [b""] * len(cuts), [b""] * len(cuts)
+        home = a % np.uint64(buckets)
+        for h in np.unique(home).tolist():
+            at = home == h
+            out["bucket"].append(int(h))
+            for c, v in (("sets", b""), ("counts", b""), ("parts", b""), ("a", _six(a[at])), ("b", _six(b[at]))):
+                out[c].append(v)
+        types = {"bucket": pa.int64()}
+        return pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c, pa.binary())) for c, v in out.items()})
+
     def run(batches):
         often = None if packed is None else np.unpackbits(packed).view(bool)
         for batch in batches:
             seen = set()
-            keys, parts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            keys, parts, held = [], [], 0
             for _, grams, bounds in _sets(batch.column(0), size):
                 low, _ = _signature(grams, bounds)
                 for k in np.flatnonzero(np.diff(bounds)).tolist():
@@ -246,28 +282,12 @@ def part_edges(docs: DataFrame, size: int, percent: int, buckets: int, common: n
                         seen.add(int(low[k]))
                         parts.append(_parts(grams[bounds[k]:bounds[k + 1]], often, percent).view(np.uint64))
                         keys.append(np.full(len(parts[-1]), low[k] & KEY, np.uint64))
-            key, part = np.concatenate(keys), np.concatenate(parts)
-            a, b, first = _stars(part, key)
-            key, part = key[first], part[first]
-            bucket = part % np.uint64(buckets)
-            order = np.lexsort((key, bucket))
-            key, part, bucket = key[order], part[order] // np.uint64(buckets), bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-            out = {"bucket": bucket[cuts].astype(np.int64).tolist(), "sets": [], "counts": [], "parts": [], "a": [], "b": []}
-            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)]):
-                own, n = np.unique(key[i:j], return_counts=True)
-                out["sets"].append(_six(own))
-                out["counts"].append(n.astype("<u2" if n.max() < 1 << 16 else "<u4").tobytes())
-                out["parts"].append(_six(part[i:j]))
-            out["a"], out["b"] = [b""] * len(cuts), [b""] * len(cuts)
-            home = a % np.uint64(buckets)
-            for h in np.unique(home).tolist():
-                at = home == h
-                out["bucket"].append(int(h))
-                for c, v in (("sets", b""), ("counts", b""), ("parts", b""), ("a", _six(a[at])), ("b", _six(b[at]))):
-                    out[c].append(v)
-            types = {"bucket": pa.int64()}
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, types.get(c, pa.binary())) for c, v in out.items()})
+                        held += len(parts[-1])
+                        if held >= HELD_PARTS:
+                            yield blobs_of(keys, parts)
+                            keys, parts, held = [], [], 0
+            if held:
+                yield blobs_of(keys, parts)
 
     def tie(table: pa.Table) -> pa.Table:
         col = {c: table.column(c).to_pylist() for c in ("sets", "counts", "parts", "a", "b")}
@@ -275,7 +295,8 @@ def part_edges(docs: DataFrame, size: int, percent: int, buckets: int, common: n
         for s, c in zip(col["sets"], col["counts"]):
             n = np.frombuffer(c, "<u2" if 3 * len(c) == len(s) else "<u4").astype(np.int64)
             keys.append(np.repeat(_from_six(s), n))
-        a, b, _ = _stars(_from_six(b"".join(col["parts"])), np.concatenate(keys))
+        keys = np.concatenate(keys)
+        a, b, _ = _stars(_from_six(b"".join(col.pop("parts"))), keys)
         both = np.stack([np.concatenate([a, _from_six(b"".join(col["a"]))]), np.concatenate([b, _from_six(b"".join(col["b"]))])], axis=1)
         both = np.unique(both, axis=0).astype(np.int64)
         return pa.table({"key": pa.array(both[:, 0]), "least": pa.array(both[:, 1])})

@@ -3,7 +3,9 @@
 import itertools
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from siftmap.llm import jaccard_tree
@@ -152,3 +154,40 @@ def test_large_families_in_blocks(spark, monkeypatch):
     texts = [" ".join(base[:n] + [f"x{rng.randrange(3)}"]) for n in range(100, 130) for _ in range(3)]
     rows = list(enumerate(texts))
     assert run(spark, rows) == brute(rows)
+
+
+def test_parts_are_sent_in_several_turns(spark, monkeypatch):
+    """Links between sets that one batch sends in different turns are found too."""
+    rng = random.Random(7)
+    rows = [(k, t) for k, t in enumerate(t for _ in range(6) for t in family(rng, 8, 60, 3))]
+    rng.shuffle(rows)
+    monkeypatch.setattr(jaccard_tree, "HELD_PARTS", 50, raising=False)
+    assert run(spark, rows) == brute(rows)
+
+
+class _Frame:
+    """Keeps the function that a batch goes through."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def select(self, *columns):
+        return self
+
+    groupBy = applyInArrow = select
+
+
+def test_memory_of_a_batch_does_not_grow_with_its_texts(monkeypatch):
+    monkeypatch.setattr(jaccard_tree, "HELD_PARTS", 1 << 15, raising=False)
+    run = jaccard_tree.part_edges(_Frame(), 4, 85, 8).run
+    rng = random.Random(8)
+    peaks = []
+    for n in (300, 300, 2400):
+        batch = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(n)]})
+        tracemalloc.start()
+        for _ in run(iter([batch])):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[2] < 1.5 * peaks[1], peaks
