@@ -28,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -238,6 +239,12 @@ def _bits(chunk, t: _Tokens, codes: Codes, table_bits: int) -> _Bits:
     return _Bits(np.diff(last), marked.astype(np.uint8), np.repeat(kind, size), slots)
 
 
+def _by_length(batch: pa.RecordBatch, column: int) -> pa.RecordBatch:
+    """The rows in order of their texts' bytes: a chunk takes as many steps as its longest text, so texts of like length share one."""
+    size = pa.compute.binary_length(batch.column(column)).fill_null(0)
+    return batch.take(pa.array(np.argsort(size.to_numpy(zero_copy_only=False), kind="stable")))
+
+
 def _keep_freed_memory() -> None:
     """Freeing one large block makes the C library keep later ones of up to its size, instead of mapping each array's pages anew."""
     block = np.empty(31 << 20, np.uint8)
@@ -261,12 +268,11 @@ def context_counts(docs: DataFrame, codes: Codes, table_bits: int) -> DataFrame:
                 b = _bits(chunk, _tokens(chunk, codes), codes, table_bits)
                 if total is None:
                     total = [np.zeros((2, 2 * s), np.uint32) for s in sizes]
-                own = np.repeat(part[chunk.first:chunk.first + len(b.sizes)].astype(np.int64), b.sizes)
-                for table, slot in zip(total, b.slots):
-                    at = own * (table.shape[1] // 2)
-                    at += slot
-                    at += at
+                own = part[chunk.first:chunk.first + len(b.sizes)].astype(np.int64)
+                for table, at in zip(total, b.slots):
+                    at <<= 1
                     at += b.bit
+                    at += np.repeat(own * table.shape[1], b.sizes)
                     np.add.at(table.ravel(), at, np.uint32(1))
         for p in (0, 1) if total else ():
             for k, tables in enumerate(total):
@@ -402,7 +408,7 @@ def _code(b: _Bits, model: Model, learning: bool = True) -> _Coded:
         np.multiply(weights[0].take(at), some[0], out=dot)
         for w, v in zip(weights[1:], some[1:]):
             dot += w.take(at) * v
-        np.minimum(np.maximum(dot, -12, out=dot), 12, out=dot)
+        np.clip(dot, -12, 12, out=dot)
         guess = p[low:high]
         np.negative(dot, out=guess)
         np.exp(guess, out=guess)
@@ -414,7 +420,7 @@ def _code(b: _Bits, model: Model, learning: bool = True) -> _Coded:
         scale = RATE / (np.bincount(at) + 32)
         for w, v in zip(weights, some):
             w[base:base + len(scale)] += scale * np.bincount(at, error * v)
-    scaled = np.minimum(np.maximum(odds, -8), 8)
+    scaled = np.clip(odds, -8, 8)
     scaled *= (CELLS - 1) / 16
     scaled += (CELLS - 1) / 2
     cell = np.rint(scaled).astype(np.int64)
@@ -440,7 +446,7 @@ def learn(docs: DataFrame, model: Model, table_bits: int, rounds: int = ROUNDS)
             now = _whole(sent.value)
             used, weights, seen = np.zeros(GATES), np.zeros((GATES, INPUTS)), np.zeros((2, KINDS * CELLS))
             for batch in batches:
-                for chunk in chunks(batch.column(0), CHUNK):
+                for chunk in chunks(_by_length(batch, 0).column(0), CHUNK):
                     c = _code(_bits(chunk, _tokens(chunk, now.codes), now.codes, table_bits), now)
                     used += c.used.sum(axis=0)
                     weights += (c.used[:, :, None] * c.weights).sum(axis=0)
@@ -491,6 +497,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, total: int, distinct
         known = codes.n > 0
         logs = np.log10((codes.n + 0.5) / below)
         for batch in batches:
+            batch = _by_length(batch, 3)
             for chunk in chunks(batch.column(3), CHUNK):
                 texts = len(chunk.offsets) - 1
                 t = _tokens(chunk, codes)

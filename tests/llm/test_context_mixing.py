@@ -167,3 +167,33 @@ def test_counts_travel_whole(counts):
     low, places, high = cm._narrow(given)
     assert cm._widen(*(pa.scalar(b, pa.binary()).as_buffer() for b in (low, places, high)), len(given)).tolist() == given.tolist()
     assert len(low) in (400, 800) and len(places) * 2 == len(high)
+
+
+def test_texts_of_like_length_share_a_chunk():
+    """The steps of all chunks: those of each chunk's longest text. Rows stay whole, null texts count as empty."""
+    rng = random.Random(5)
+    size = [1 + int(rng.lognormvariate(6, 1.2)) for _ in range(2000)] + [None]
+    batch = pa.RecordBatch.from_pydict({"at": list(range(len(size))), "text": [n and "x" * n for n in size]})
+
+    def steps(column):
+        return sum(int(np.diff(c.offsets).max()) for c in chunks(column, 1 << 15))
+
+    ordered = cm._by_length(batch, 1)
+    assert [len(t or "") for t in ordered.column(1).to_pylist()] == sorted(n or 0 for n in size)
+    assert sorted(zip(*ordered.to_pydict().values())) == sorted(zip(*batch.to_pydict().values()))
+    assert steps(ordered.column(1)) < 0.8 * steps(batch.column(1))
+
+
+def test_documents_are_coded_by_length(spark, monkeypatch):
+    """Long and short texts in turn: whatever is coded together is of like length."""
+    text = {k: " ".join(f"w{(k + i) % 50}" for i in range(2000 if k % 2 else 20)) for k in range(40)}
+    frame = spark.createDataFrame([(k, t) for k, t in text.items()], "doc_id long, text string").coalesce(1)
+    real = cm._code
+
+    def checked(b, *more):
+        assert b.sizes.max() < 20 * max(1, b.sizes.min()), b.sizes
+        return real(b, *more)
+
+    monkeypatch.setattr(cm, "CHUNK", 1 << 12)
+    monkeypatch.setattr(cm, "_code", checked)
+    assert cm.audit(frame).where("score < 0").count() == len(text)
