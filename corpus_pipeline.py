@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmap.llm import decontamination, jaccard_tree, langid, line_templates, packing
-from siftmap.llm.graph import stored
+from siftmap.llm.graph import WIDE_ROWS, gathered, stored
 from siftmap.llm.queries import vocabulary
 from siftmap.sources.tables import table
 
@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     changed = out.where(left)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    return gathered(changed.select(*docs.columns), docs.count(), WIDE_ROWS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = rows.join(first, (F.xxhash64("row.text") == F.col("first.text_key")) & F.col("row.doc_id").eqNullSafe(F.col("first.doc_id")))
     # rows that repeat an id and a text become one where they are read, before anything is shuffled again
     repeated = kept.where("first.copies > 1").groupBy("first").agg(F.first("row").alias("row"))
-    return kept.where("first.copies = 1").select("row.*").unionAll(repeated.select("row.*"))
+    return gathered(kept.where("first.copies = 1").select("row.*").unionAll(repeated.select("row.*")), docs.count(), WIDE_ROWS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

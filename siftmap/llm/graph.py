@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from siftmap.session import new_path
 
 
+#: Rows of narrow tables, and of those with texts or bitmaps, that a task writes before another one is worth its while.
+NARROW_ROWS, WIDE_ROWS = 1 << 18, 1 << 12
+
+
+def gathered(frame: DataFrame, rows: int, each: int = NARROW_ROWS) -> DataFrame:
+    """The frame in about rows / `each` partitions, as many as there are cores at least, if it has more; nothing is shuffled again.
+
+    Every task that writes a row makes a folder, and on a local disk Hadoop starts a process (chmod) for each: until that process has
+    its own program, it counts as a second executor of the same memory. Small tables in very many files are slow to read, too.
+    """
+    return frame.coalesce(max(frame.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """The frame, written to the shared folder and read again: lineage ends there and a lost executor loses nothing."""
     spark = frame.sparkSession
@@ -33,17 +46,18 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rows: int) -> DataFrame:
     """Columns node and root (the least node of its component) for every node with an edge to another node.
 
+    `rows`: about how many edges there are; it decides on the partitions of the first round only, as no round has more than the one before.
     Rounds grow with the logarithm of the longest path. Group minima combine before the shuffle, so a node with very
     many edges is an ordinary row count; the joins on it can be split by adaptive execution.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = stored(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    e = stored(gathered(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), rows), "edges")
     seen = _mark(e)
     while seen[0]:
-        e = stored(_small(_large(e)), "edges")
+        e = stored(gathered(_small(_large(e)), seen[0]), "edges")
         now = _mark(e)
         if now == seen:
             break

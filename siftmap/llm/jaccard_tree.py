@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmap.llm.graph import components, stored
+from siftmap.llm.graph import WIDE_ROWS, components, gathered, stored
 from siftmap.llm.wordhash import SPACED, chunks, mix, shingles, whole, words
 
 PERCENT = 85
@@ -53,6 +53,8 @@ BUCKET_PARTS = 1 << 20
 HELD_PARTS = 1 << 19
 #: The lower six bytes of a set's hash name its node in the search for families; sets that share them share a family.
 KEY = np.uint64((1 << 48) - 1)
+#: Edges of a set in the search for families, about; wrong, it only makes the first round's partitions larger or smaller.
+EDGES = 4
 TILES = "array<struct<fam bigint, i bigint, j bigint, side int>>"
 LEAF = 8
 FAN = 4
@@ -515,14 +517,14 @@ def _bound_tile(percent: int):
     return run
 
 
-def _split(members: DataFrame, percent: int) -> DataFrame:
-    """Members of families of several blocks, which chance agreements hold together, in the families that their bitmaps leave; texts that can link with none go."""
+def _split(members: DataFrame, percent: int, rows: int) -> DataFrame:
+    """Members of families of several blocks, which chance agreements hold together, in the families that their bitmaps leave; texts that can link with none go. `rows`: about how many."""
     large = members.groupBy("fam").agg((F.min("block") < F.max("block")).alias("several")).where("several").select("fam")
     own = members.join(large, "fam", "left_semi")
     dealt = own.select("fam", "block", "key", "n_shingles", "bits").join(_tiles(own, percent), ["fam", "block"])
     dealt = dealt.select("key", "n_shingles", "bits", F.inline("tiles"))
     edges = dealt.groupBy("fam", "i", "j").applyInArrow(_bound_tile(percent), "a bigint, b bigint")
-    ties = components(edges, "a", "b").select(F.col("node").alias("key"), F.col("root").alias("fam"))
+    ties = components(edges, "a", "b", rows).select(F.col("node").alias("key"), F.col("root").alias("fam"))
     whole = members.join(large, "fam", "left_anti").drop("block")
     return whole.unionByName(own.drop("fam", "block").join(ties, "key"))
 
@@ -556,27 +558,31 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 def _compared(docs: DataFrame, sketch: DataFrame, size: int, percent: int, every: bool, common: np.ndarray | None = None) -> DataFrame:
     # about one part for two n-grams
-    grams = sketch.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("n")).first().n
+    grams, texts = sketch.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("sig")).first()
     edges = part_edges(docs, size, percent, max(1, grams // (2 * BUCKET_PARTS)), common)
-    families = components(edges, "key", "least").select(F.col("node").alias("key"), F.col("root").alias("fam"))
+    families = components(edges, "key", "least", EDGES * texts).select(F.col("node").alias("key"), F.col("root").alias("fam"))
     # one text stands for a set, wherever it comes from: ids may be null or repeat
     one = F.min(F.struct("text_key", F.col("doc_id").isNull().alias("without"), "doc_id"))
     members = sketch.where("sig IS NOT NULL").groupBy("sig", "key", "n_shingles").agg(one.alias("one"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")).join(families, "key")
-    members = stored(_blocks(stored(members, "families")), "members")
-    members = stored(_blocks(stored(_split(members, percent), "families")).drop("bits"), "members")
+    members = stored(gathered(members, texts, WIDE_ROWS), "families")
+    members = stored(gathered(_blocks(members), texts, WIDE_ROWS), "members")
+    members = stored(gathered(_split(members, percent, texts), texts, WIDE_ROWS), "families")
+    members = stored(gathered(_blocks(members).drop("bits"), texts), "members")
     placed = members.join(_tiles(members, percent), ["fam", "block"]).select("one", "sig", "copies", "tiles")
     rows = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("hash"))
     rows = rows.join(placed, (F.col("hash") == F.col("one.text_key")) & F.col("id").eqNullSafe(F.col("one.doc_id")))
     # texts are dealt, not their n-grams: they are shorter and the shuffle can compress them
     dealt = _with_sets(rows, size).select("sig", "copies", "text", F.inline("tiles"))
-    return dealt.groupBy("fam", "i", "j").applyInArrow(_tile(size, percent, every), "a binary, b binary, n bigint")
+    found = dealt.groupBy("fam", "i", "j").applyInArrow(_tile(size, percent, every), "a binary, b binary, n bigint")
+    return gathered(found, texts, BLOCK_TEXTS)
 
 
 def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sketch of each row, what the task groups found, and for each set signature its component's root, smallest id and copies."""
     sketch = stored(sketches(docs, size), "sketch")
     found = stored(_compared(docs, sketch, size, percent, False, common_grams(docs, size)), "links")
-    tied = components(found.where("b IS NOT NULL"), "a", "b")
+    ties = found.where("b IS NOT NULL")
+    tied = components(ties, "a", "b", ties.count())
     classes = sketch.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     return sketch, found, classes.join(tied, F.col("sig") == F.col("node"), "left").select("sig", "rep", "copies", F.coalesce("root", "sig").alias("root"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from siftmap.llm.graph import stored
+from siftmap.llm.graph import gathered, stored
 from siftmap.llm.wordhash import CASED, Words, chunks, mix, words
 
 #: Documents of each language to learn from, about.
@@ -213,7 +213,8 @@ def fit(docs: DataFrame, vocabulary: str, per_language: int = PER_LANGUAGE, roun
     sizes = some.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     share = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = some.join(F.broadcast(sizes), "lang").where(share * F.col("rows") < per_language)
-    counts = stored(word_counts(picked), "words")
+    # the sample is bounded, and so are its words
+    counts = stored(gathered(word_counts(picked), 0), "words")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     pieces = Pieces(vocabulary)
     size = np.array([len(n) for n in pieces.names])

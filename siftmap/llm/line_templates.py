@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmap.llm.graph import stored
+from siftmap.llm.graph import gathered, stored
 from siftmap.llm.wordhash import Alphabet, Chunk, chunks, mix, words
 
 MIN_DOCS = 5
@@ -36,6 +36,8 @@ MIN_TOKENS = 3
 EXACT_DOCS, EXACT_TOKENS = 2, 8
 #: Hash classes of leaves by which lines are picked for a closer look; a class may hold others, which a join sorts out.
 CLASSES = 1 << 21
+#: Tokens of a line, about; they decide on the partitions of a stored table only.
+LINE_TOKENS = 8
 
 #: Tokens lie between ASCII white space; a line feed also ends a line.
 TOKENS = Alphabet(separators=b"\x20\x09\x0a\x0b\x0c\x0d", fold_case=False)
@@ -133,11 +135,12 @@ def recurring(
     """leaf, line, template, keeper (smallest document) of every line of a recurring template; `found` is lines() as stored."""
     distinct = found.groupBy("leaf", "line", "doc_id").agg(F.lit(1).alias("one")).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"))
     leaves = found.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.min("line").alias("a"), F.max("line").alias("b")).where(F.col("rows") >= min_docs)
-    known = stored(distinct.join(leaves.select("leaf", (F.col("a") != F.col("b")).alias("mixed")), "leaf"), "lines")
+    n = found.count()
+    known = stored(gathered(distinct.join(leaves.select("leaf", (F.col("a") != F.col("b")).alias("mixed")), "leaf"), n), "lines")
     alone = known.where("NOT mixed").select("leaf", "line", F.col("line").alias("template"), F.lit(True).alias("fixed"))
     mixed = known.where("mixed").select("leaf", "line", "docs")
     spelt = _tokens(docs, _leaf_classes(mixed.select("leaf")), depth, min_tokens).dropDuplicates(["leaf", "line", "place"])
-    tokens = stored(spelt.join(mixed, ["leaf", "line"]), "tokens")
+    tokens = stored(gathered(spelt.join(mixed, ["leaf", "line"]), LINE_TOKENS * n), "tokens")
     backed = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("lines")).where(F.col("lines") >= min_docs).drop("lines")
     # a constant token's place and value enter the template's hash, so the order of the sum does not matter
     parts = tokens.join(backed, ["leaf", "place", "token"]).groupBy("leaf", "line", "tokens").agg(
@@ -167,7 +170,7 @@ def dropped(
     if exact_docs is not None:
         same = found.select("doc_id", "text_key", "number", "exact").join(repeated(found, exact_docs, exact_texts), "exact")
         gone = gone.unionAll(same.where("doc_id != keeper").select("doc_id", "text_key", "number"))
-    return stored(gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("numbers")), "dropped")
+    return stored(gathered(gone.groupBy("doc_id", "text_key").agg(F.collect_set("number").alias("numbers")), found.count()), "dropped")
 
 
 def dedup(docs: DataFrame, **settings) -> DataFrame:
