@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from siftmap.llm.memory import returning
 from siftmap.llm.wordhash import ALNUM, chunks, mix, shingles, words
 
 SHINGLE = 5
@@ -224,6 +225,6 @@ def clean(docs: DataFrame, bench: DataFrame, slice_bytes: int = SLICE_BYTES) ->
                 keep[[r for r, _ in _matches(index, batch.column(text))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in docs.schema]))
+        docs = docs.mapInArrow(returning(run), StructType([StructField(f.name, f.dataType) for f in docs.schema]))
     return docs
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmap.llm.graph import WIDE_ROWS, components, gathered, stored
+from siftmap.llm.memory import returning, returning_group
 from siftmap.llm.wordhash import SPACED, chunks, mix, shingles, whole, words
 
 PERCENT = 85
@@ -149,7 +150,7 @@ def common_grams(docs: DataFrame, size: int = SIZE, counters: int = COUNTERS) ->
         for k, c in own.items():
             yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int64()), "counts": pa.array([c.astype("<i8").tobytes()], pa.binary())})
 
-    pieces = docs.select("text").mapInArrow(count, "piece bigint, counts binary")
+    pieces = docs.select("text").mapInArrow(returning(count), "piece bigint, counts binary")
     rows = pieces.repartition(counters // step, "piece").mapInArrow(add, "piece bigint, counts binary").toArrow()
     total = np.zeros(counters, np.int64)
     for k, c in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
@@ -204,7 +205,7 @@ def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
             )
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, sig binary, key bigint, text_key bigint, bits binary")
+    return rows.mapInArrow(returning(run), "doc_id bigint, n_shingles bigint, sig binary, key bigint, text_key bigint, bits binary")
 
 
 def _stars(part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -303,8 +304,8 @@ def part_edges(docs: DataFrame, size: int, percent: int, buckets: int, common: n
         both = np.unique(both, axis=0).astype(np.int64)
         return pa.table({"key": pa.array(both[:, 0]), "least": pa.array(both[:, 1])})
 
-    blobs = docs.select("text").mapInArrow(run, "bucket bigint, sets binary, counts binary, parts binary, a binary, b binary")
-    return blobs.groupBy("bucket").applyInArrow(tie, "key bigint, least bigint")
+    blobs = docs.select("text").mapInArrow(returning(run), "bucket bigint, sets binary, counts binary, parts binary, a binary, b binary")
+    return blobs.groupBy("bucket").applyInArrow(returning_group(tie), "key bigint, least bigint")
 
 
 def _with_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -321,7 +322,7 @@ def _with_sets(docs: DataFrame, size: int) -> DataFrame:
                 right += [want[first + k].as_py() == high[k].tobytes() + low[k].tobytes() for k in range(len(low))]
             yield batch.filter(pa.array(right, pa.bool_()))
 
-    return docs.select("text", "sig", "copies", "tiles").mapInArrow(run, f"text string, sig binary, copies bigint, tiles {TILES}")
+    return docs.select("text", "sig", "copies", "tiles").mapInArrow(returning(run), f"text string, sig binary, copies bigint, tiles {TILES}")
 
 
 class _Tree:

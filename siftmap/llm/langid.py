@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from siftmap.llm.graph import gathered, stored
+from siftmap.llm.memory import returning
 from siftmap.llm.wordhash import CASED, Words, chunks, mix, words
 
 #: Documents of each language to learn from, about.
@@ -339,7 +340,7 @@ def keep(docs: DataFrame, vocabulary: str, langs: list[str], mass: np.ndarray, l
         for batch, known, _, share, _ in _judged(vocabulary, langs, mass, batches, text):
             yield batch.filter(pa.array(known & (share > least)))
 
-    return docs.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in docs.schema]))
+    return docs.mapInArrow(returning(run), StructType([StructField(f.name, f.dataType) for f in docs.schema]))
 
 
 def held_out(column: str = "doc_id"):

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmap.llm.graph import gathered, stored
+from siftmap.llm.memory import returning
 from siftmap.llm.wordhash import Alphabet, Chunk, chunks, mix, words
 
 MIN_DOCS = 5
@@ -93,7 +94,7 @@ def lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, exa
                     ["doc_id", "text_key", "number", "leaf", "line", "exact"])
 
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, number int, leaf bigint, line bigint, exact bigint")
+    return rows.mapInArrow(returning(run), "doc_id bigint, text_key bigint, number int, leaf bigint, line bigint, exact bigint")
 
 
 def _leaf_classes(leaves: DataFrame) -> np.ndarray:
@@ -126,7 +127,7 @@ def _tokens(docs: DataFrame, classes: np.ndarray, depth: int, min_tokens: int) -
                      pa.array(np.repeat(n, n), pa.int32()), pa.array(place, pa.int32()), pa.array(token.view(np.int64))],
                     ["leaf", "line", "tokens", "place", "token"])
 
-    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "leaf bigint, line bigint, tokens int, place int, token bigint")
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(returning(run), "leaf bigint, line bigint, tokens int, place int, token bigint")
 
 
 def recurring(

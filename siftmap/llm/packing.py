@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmap.llm.graph import stored
+from siftmap.llm.memory import returning
 from siftmap.llm.wordhash import Alphabet, chunks, mix, words
 
 CAPACITY = 4096
@@ -37,8 +38,10 @@ NODES = 20_000
 KEPT = 64
 #: Words whose ids a worker remembers; then it starts afresh.
 REMEMBERED = 250_000
-#: Plain words encoded in one call.
+#: Plain words encoded as one text.
 JOINED = 256
+#: Texts encoded in one call: what the tokenizer holds of each is far larger than its ids.
+TURN = 32
 
 #: Text between ASCII spaces and line feeds; the vocabulary's ids of a text are those of its parts in order.
 PARTS = Alphabet(separators=b"\x20\x0a")
@@ -88,12 +91,19 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # hashes of the words, ascending
+        self.slot = np.zeros(0, np.int64)  # and their places in `first` and `count`
         self.flat = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def _tokens(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        for i in range(0, len(texts), TURN):
+            for e in self.tokenizer.encode_batch_fast(texts[i:i + TURN], add_special_tokens=False):
+                yield np.array(e.ids, np.uint32)
+
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for each text.
 
@@ -104,8 +114,7 @@ class Encoder:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         at = np.flatnonzero(plain)
         groups = [at[i:i + JOINED] for i in range(0, len(at), JOINED)]
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
+        for g, ids in zip(groups, self._tokens([" ".join([texts[i] for i in g]) for g in groups])):
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(g) or (len(ids) and ends[-1] != len(ids)):
                 plain[g] = False
@@ -113,9 +122,9 @@ class Encoder:
             count[g] = np.diff(ends, prepend=0)
             found.append((g, ids))
         rest = np.flatnonzero(~plain)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            count[i] = len(e.ids)
-            found.append((np.array([i]), np.array(e.ids, np.uint32)))
+        for i, ids in zip(rest, self._tokens([texts[i] for i in rest])):
+            count[i] = len(ids)
+            found.append((np.array([i]), ids))
         start = np.cumsum(count) - count
         flat = np.zeros(count.sum(), np.uint32)
         for g, ids in found:
@@ -123,7 +132,7 @@ class Encoder:
             flat[np.repeat(start[g], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = ids
         return flat, count
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         ids, count = self._ids(texts)
         k, n = len(self.known), len(texts)
         while self.used + len(ids) > len(self.flat):
@@ -133,7 +142,8 @@ class Encoder:
         self.flat[self.used:self.used + len(ids)] = ids
         self.first[k:k + n], self.count[k:k + n] = self.used + np.cumsum(count) - count, count
         self.used += len(ids)
-        self.known.update(zip(hashes, range(k, k + n)))
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.slot = np.insert(self.known, at, hashes), np.insert(self.slot, at, np.arange(k, k + n))
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First row, flat ids and bounds for each chunk of texts."""
@@ -148,13 +158,14 @@ class Encoder:
                 yield chunk.first, np.zeros(0, np.uint32), np.zeros(len(chunk.offsets), np.int64)
                 continue
             distinct, at, back = np.unique(w.hash, return_index=True, return_inverse=True)
-            keys = distinct.tolist()
-            new = [k for k, h in enumerate(keys) if h not in self.known]
-            if new:
-                raw = chunk.data.tobytes()
-                self._learn([keys[k] for k in new], [raw[w.start[at[k]]:w.end[at[k]]].decode("utf-8", "replace") for k in new])
-            known = self.known
-            slot = np.fromiter((known[h] for h in keys), np.int64, len(keys))[back]
+            place = np.searchsorted(self.known, distinct)
+            new = place == len(self.known)
+            new[~new] = self.known[place[~new]] != distinct[~new]
+            if new.any():
+                raw, own = chunk.data.tobytes(), at[new]
+                self._learn(distinct[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(w.start[own].tolist(), w.end[own].tolist())])
+                place = np.searchsorted(self.known, distinct)
+            slot = self.slot[place][back]
             n = self.count[slot]
             total = np.concatenate([[0], np.cumsum(n)])
             ids = self.flat[np.repeat(self.first[slot] - total[:-1], n) + np.arange(total[-1])]
@@ -181,7 +192,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select("doc_id", "text").mapInArrow(returning(run), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 class _Open:
