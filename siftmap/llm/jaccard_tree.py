@@ -3,8 +3,9 @@
 Two texts link when their sets of word n-grams have a Jaccard similarity of at least percent/100. No link is lost:
 
 1. Each set is cut by hash into parts, more parts than two linked sets can differ in; so linked sets agree on several whole parts.
-   Parts agreed on give candidate families; parts meet in buckets, each batch sending a part once. N-grams that very many texts hold are left out of the parts, as long as enough is
-   left; so a passage or line shared by many texts forms no family.
+   Each looks only by as many parts as two linked sets can differ in, and one more, those that say most: with the most n-grams that few texts hold. As both order
+   their parts alike, linked sets still agree on one; a few n-grams, or a passage or line shared by many texts, hardly ever form a family.
+   Parts agreed on give candidate families; parts meet in buckets, each batch sending a part once.
 2. A larger family is cut by classes of set size, and by hash within a class, into blocks of bounded numbers of texts and n-grams. Each pair of blocks whose
    size ranges allow a link is one task group: a signature tree over each block holds OR-combined token bitmaps and size
    ranges, a dual traversal drops node pairs whose largest possible overlap is too small, and exact overlaps decide the rest.
@@ -38,10 +39,10 @@ BLOCK_TEXTS = 1024
 BLOCK_GRAMS = 1 << 20
 #: Set sizes from CLASS^k on may share a block of a large family.
 CLASS = 1.05
-#: Set sizes from 1.4^k on share the number of parts.
-BAND = 1.4
-#: Parts with fewer n-grams than this say little: if a set has more of them than spare parts, it looks by its full parts too.
-FEW = 2
+#: Set sizes from BAND^k on share the number of parts.
+BAND = 1.1
+#: Parts beyond those that two linked sets can differ in, as a share of these: more of them leave more choice among smaller parts.
+SPARE = 0.4
 BITS = 4096
 #: Bitmaps that split large families: bits for each n-gram, and the widest bitmap; a larger set's says less, and loses no link.
 LOAD = 4
@@ -82,11 +83,10 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.nda
 
 
 def _bands(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """(band, parts, spare) under which a set of n looks for partners: the bands that the smaller set of a link may be in.
+    """(band, parts, sent) under which a set of n looks for partners: the bands that the smaller set of a link may be in.
 
-    Linked sets differ in at most parts - spare - 1 parts, with or without common n-grams. So they agree on more than `spare`
-    parts: on one with enough n-grams, or both have more than `spare` parts with few and look by their full parts too; there
-    again they agree on one that is not empty, or both have more than `spare` empty ones and look by all.
+    Linked sets differ in fewer than `sent` parts. So of all their parts, in any one order that goes by what a part holds, the first
+    `sent` of either set have one in common.
     """
     out = []
     k = 0
@@ -95,34 +95,26 @@ def _bands(n: int, percent: int) -> list[tuple[int, int, int]]:
         high = max(low + 1, int(np.ceil(BAND ** (k + 1))))
         if high - 1 >= -(-n * percent // 100):
             differ = (high - 1) * (100 - percent) // percent
-            spare = 3 + -(-differ // 10) if differ else 0
-            out.append((k, differ + 1 + spare, spare))
+            spare = 3 + int(np.ceil(SPARE * differ)) if differ else 0
+            out.append((k, differ + 1 + spare, differ + 1))
         low, k = high, k + 1
     return out
 
 
 def _parts(grams: np.ndarray, common: np.ndarray | None, percent: int) -> np.ndarray:
-    """Signatures of the parts of one set: without common n-grams, and of the full set where that leaves too few."""
+    """Signatures of the parts by which one set looks for partners: those with the most n-grams that are not common, then with the most n-grams."""
     out = []
     hashed = mix(grams ^ np.uint64(0x5851F42D4C957F2D))
     place, mixed = hashed >> np.uint64(16), mix(grams)
-    light = np.ones(len(grams), bool) if common is None else ~common[(hashed % np.uint64(len(common))).astype(np.int64)]
-    for band, parts, spare in _bands(len(grams), percent):
-
-        def view(place, mixed, salt):
-            part = (place % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            size = np.bincount(part, minlength=parts)
-            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[order], dtype=np.uint64)])
-            end = np.cumsum(size)
-            return size, mix(running[end] - running[end - size] + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 40) + np.uint64(salt << 56)))
-
-        size, total = view(place[light], mixed[light], 1)
-        strong = size >= FEW
-        out.append(total[strong] if parts > 1 else total[:0])
-        if parts == 1 or parts - strong.sum() > spare:
-            size, total = view(place, mixed, 2)
-            out.append(total[size > 0] if parts - (size > 0).sum() <= spare else total)
+    light = None if common is None else ~common[(hashed % np.uint64(len(common))).astype(np.int64)]
+    for band, parts, sent in _bands(len(grams), percent):
+        part = (place % np.uint64(parts)).astype(np.int64)
+        size = np.bincount(part, minlength=parts)
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[np.argsort(part, kind="stable")], dtype=np.uint64)])
+        end = np.cumsum(size)
+        total = mix(running[end] - running[end - size] + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)))
+        says = size if light is None else np.bincount(part[light], minlength=parts)
+        out.append(total[np.lexsort((total, -size, -says))[:sent]])
     return np.concatenate(out).view(np.int64)
 
 

@@ -191,3 +191,36 @@ def test_memory_of_a_batch_does_not_grow_with_its_texts(monkeypatch):
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[2] < 1.5 * peaks[1], peaks
+
+
+def _signed(sets, percent, common=None):
+    return [set(jaccard_tree._parts(s, common, percent).tolist()) for s in sets]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_sets_look_by_a_common_part(percent):
+    """Sets that just link, of any size and with any n-grams common, share a part that both look by."""
+    import numpy as np
+
+    rng = np.random.default_rng(percent)
+    for k in range(600):
+        n = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(0, 2**62, n, dtype=np.uint64))
+        differ = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+        less = int(rng.integers(0, differ + 1))
+        b = np.unique(np.concatenate([a[less:], rng.integers(0, 2**62, differ - less, dtype=np.uint64)]))
+        common = None if k % 3 == 0 else rng.random(64) < (0.2, 0.9)[k % 2]
+        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            one, other = _signed([a, b], percent, common)
+            assert one & other
+
+
+def test_single_common_n_grams_tie_no_family():
+    """Texts that share a few n-grams with each of the others, as those of one subject do, stay apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**62, 2000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(pool, 100, replace=False), rng.integers(0, 2**62, 200, dtype=np.uint64)])) for _ in range(300)]
+    signed = _signed(sets, 80)
+    assert sum(not a.isdisjoint(b) for a, b in itertools.combinations(signed, 2)) < 100
