@@ -149,3 +149,47 @@ def test_topics_are_all_rows_divisible_by_100(spark):
 
     d = Domain(spark, "/root/testdata/sf0.001")
     assert sorted(r.topic_id for r in asked(d).collect()) == sorted(f"t{r.doc_id}" for r in d.corpus().collect() if int(r.doc_id) % 100 == 0)
+
+
+def test_rows_that_are_too_far_are_not_compared_in_full(monkeypatch):
+    """The k nearest of many batches, with ties, equal rows and rows without a direction, and few distances in double precision."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+
+    def unit_rows(n, most):
+        m = np.zeros((n, 128))
+        for row in m:
+            row[rng.integers(0, 128, rng.integers(1, most))] = rng.random()
+        return vector._unit(m)
+
+    q, m = unit_rows(40, 9), unit_rows(6000, 20)
+    q[3], m[50], m[700:760], m[4000] = np.nan, np.nan, m[20], np.nan
+    ids = np.array([f"c{k * 7919 % 6000}" for k in range(6000)], dtype=object)
+    compared = []
+    distances = vector._distances
+    monkeypatch.setattr(vector, "_distances", lambda a, b: compared.append(len(a) * len(b)) or distances(a, b))
+    for dense in (False, True):
+        base = vector._unit(rng.standard_normal(m.shape)) if dense else m
+        best = vector._Best(len(q), 5)
+        for at in range(0, 6000, 1500):
+            best.add(np.arange(len(q)), q, ids[at:at + 1500], base[at:at + 1500])
+        for i in range(len(q)):
+            near = sorted((d, c) for d, c in zip(np.round(1 - base @ q[i], 9), ids) if d == d)[:5]
+            if near:
+                assert [c for _, c in near] == best.ids[i].tolist() and np.allclose([d for d, _ in near], best.dist[i])
+    assert sum(compared) < 0.25 * 2 * len(q) * len(m)
+
+
+def test_vectors_without_their_zeros(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import types as T
+
+    rows = [("a", Vectors.sparse(4, [0, 2], [1.0, 2.0])), ("b", Vectors.dense([0.0, 1.0, 0.0, 3.0])), ("c", Vectors.sparse(4, [], [])), ("d", None), ("e", Vectors.sparse(4, [3], [5.0]))]
+    sparse = spark.createDataFrame(rows, T.StructType([T.StructField("id", T.StringType()), T.StructField("vec", VectorUDT())]))
+    base = spark.createDataFrame([(i, v.toArray().tolist()) for i, v in rows if i in "abe"], "id string, vec array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0, 1.0, 0.0]), ("r", [0.0, 0.0, 0.0, 1.0])], "id string, vec array<double>")
+    want = sorted(map(tuple, vector.nearest(asked, base, 4).collect()))
+    assert len(want) == 6
+    for most in (vector.BROADCAST_BYTES, 32):
+        assert sorted(map(tuple, vector.nearest(asked, sparse, 4, most, 2).collect())) == want
